@@ -1,0 +1,16 @@
+"""Schemas of the input tables, as DDL, for explicit reads and streams."""
+
+ASSET_CHUNKS = "path STRING, mime_type STRING, seq BIGINT, chunk STRING, complete BOOLEAN"
+OTP_EVENTS = "event_id BIGINT, ts TIMESTAMP, phone STRING, action STRING, code STRING"
+OCR_RESULTS = "seq BIGINT, doc_type STRING, path STRING, result_json STRING"
+FRAMES = (
+    "frame_id BIGINT, session_id BIGINT, ts TIMESTAMP, photo_variance DOUBLE, "
+    "card_found BOOLEAN, quality_level STRING, is_blurry BOOLEAN, is_too_dark BOOLEAN"
+)
+DETECTIONS = (
+    "image_id BIGINT, class_name STRING, confidence DOUBLE, "
+    "x1 INT, y1 INT, x2 INT, y2 INT"
+)
+IMAGE = (
+    "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+)
