@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from kredenz.functions.numbers import exact_round
+
 
 def _half(c: Column) -> Column:
     return F.floor(c / 2).cast("int")
@@ -52,10 +54,10 @@ def bbox_globalize(
     gx1, gy1, gx2, gy2 = x1 + off_x, y1 + off_y, x2 + off_x, y2 + off_y
     return {
         "x1": gx1, "y1": gy1, "x2": gx2, "y2": gy2,
-        "x1_norm": F.round(gx1 / img_width, 3),
-        "y1_norm": F.round(gy1 / img_height, 3),
-        "x2_norm": F.round(gx2 / img_width, 3),
-        "y2_norm": F.round(gy2 / img_height, 3),
+        "x1_norm": exact_round(gx1 / img_width, 3),
+        "y1_norm": exact_round(gy1 / img_height, 3),
+        "x2_norm": exact_round(gx2 / img_width, 3),
+        "y2_norm": exact_round(gy2 / img_height, 3),
         "width": gx2 - gx1,
         "height": gy2 - gy1,
     }

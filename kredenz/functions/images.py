@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from kredenz.functions.numbers import exact_round
+
 MB = 1024.0 * 1024.0
 
 # Fixed values: (above this many MB, target KB, max side, quality, reason).
@@ -120,8 +122,8 @@ def quality_band(
     return {
         "quality_score": score,
         "quality_level": level,
-        "blur_score": F.round(blur, 2),
-        "brightness": F.round(mean_grey, 2),
+        "blur_score": exact_round(blur, 2),
+        "brightness": exact_round(mean_grey, 2),
         "is_blurry": blurry,
         "is_too_dark": dark,
         "is_too_bright": bright,

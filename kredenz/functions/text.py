@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from kredenz.functions.numbers import half_up, one_decimal
+from kredenz.functions.numbers import exact_units, half_up, one_decimal
 
 # Clean-up steps of an upload path; their order matters.
 PATH_STEPS = [
@@ -61,7 +61,7 @@ def or_else(c: Column, default: Column | str) -> Column:
 
 def confidence_band(confidence: Column) -> dict[str, Column]:
     """Colour band and percent text of a confidence."""
-    tenths = half_up(confidence * 1000)
+    tenths = exact_units(confidence * 100, 10, ties_up=True)
     return {
         "band": F.when(confidence > 0.8, "green").when(confidence > 0.6, "yellow").otherwise("red"),
         "pct_label": F.concat(one_decimal(tenths), F.lit("%")),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kredenz.dims import ANGLES, FIELD_LABELS, FIELDS, OPTIONAL_FIELDS, REQUIRED_FIELDS, STAGE_FLOORS
-from kredenz.functions.numbers import exact_mean, exact_sum
+from kredenz.functions.numbers import exact_mean, exact_round, exact_sum, exact_units
 
 
 def detection_filter(detections: DataFrame, stage: str | Column) -> DataFrame:
@@ -120,7 +120,7 @@ def field_presence(detections: DataFrame, images: DataFrame) -> DataFrame:
 
 def rounded_mean_columns() -> list[Column]:
     """Count, and sum in thousandths, of confidences rounded to 3 places."""
-    thousandths = F.round(F.col("confidence") * 1000).cast("bigint")
+    thousandths = exact_units(F.col("confidence"), 1000)
     return [F.count("confidence").alias("n_detections"), F.sum(thousandths).alias("thousandths")]
 
 
@@ -135,7 +135,7 @@ def avg_confidence(detections: DataFrame, images: DataFrame) -> DataFrame:
     return (
         images.select("image_id")
         .join(sums, "image_id", "left")
-        .select("image_id", F.round(rounded_mean(), 3).alias("avg_confidence"))
+        .select("image_id", exact_round(rounded_mean(), 3).alias("avg_confidence"))
     )
 
 

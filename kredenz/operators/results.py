@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kredenz.functions.numbers import exact_round
 from kredenz.functions.text import or_else
 
 ID, PASSPORT = "id", "passport"
@@ -98,7 +99,7 @@ def passport_envelope(seconds: Column, error: Column, fields: list[str] = PASSPO
     ok = error.isNull()
     return _json(
         success=ok,
-        processing_time=F.round(seconds, 2),
+        processing_time=exact_round(seconds, 2),
         data=F.when(ok, F.struct(*fields)),
         error=error,
         debug_info=F.struct(
@@ -113,7 +114,7 @@ def id_envelope(seconds: Column, error: Column, fields: list[str] = ID_FIELDS) -
     """Response text of a national ID; a failed request holds only its error."""
     body = _json(
         success=F.lit(True),
-        processing_time=F.round(seconds, 2),
+        processing_time=exact_round(seconds, 2),
         method=F.lit("egyptian_id"),
         extracted_data=F.struct(*fields),
         face_verification=F.struct(

@@ -16,6 +16,7 @@ from kredenz.dims import FIELDS
 from kredenz.functions.boxes import bbox_expand, bbox_globalize, bbox_pad_card, nid_band
 from kredenz.functions.images import compress_plan, fit_within, resize_plan
 from kredenz.functions.mrz import mrz_clean, mrz_date, mrz_sex
+from kredenz.functions.numbers import exact_round
 from kredenz.functions.status import progress_pct, status_flags, stepper_pct
 from kredenz.functions.text import (
     confidence_band, field_fallback, path_sanitize, path_valid, phone_mask,
@@ -445,7 +446,7 @@ def capture_readiness(t: Inputs) -> DataFrame:
     rows = flows.capture_readiness(t.frames(), t.frame_fields(), t.frame_digits())
     return rows.select(
         "frame_id", "session_id", "required_found", "optional_found", "fields_found",
-        "n_detections", "n_digits", F.round("mean_confidence", 3).alias("confidence"),
+        "n_detections", "n_digits", exact_round(F.col("mean_confidence"), 3).alias("confidence"),
         "photo_detected", "quality_level", "ready_for_capture", "message",
     )
 
@@ -581,7 +582,7 @@ def _streamed(t: Inputs, table: DataFrame, order: str, operator) -> DataFrame:
     def consume(stream: DataFrame, folder: str) -> None:
         drain(to_files(operator(stream), f"{folder}/out"), f"{folder}/checkpoint")
 
-    folder = arrive_in_slices(table, order, consume)
+    folder = arrive_in_slices(table, order, consume, slices=2)
     return t.spark.read.parquet(f"{folder}/out")
 
 
@@ -609,7 +610,7 @@ def _result_upsert_stream(t: Inputs) -> DataFrame:
     def consume(stream: DataFrame, folder: str) -> None:
         drain(result_upsert_stream(stream, f"{folder}/out"), f"{folder}/checkpoint")
 
-    folder = arrive_in_slices(t.ocr_results(), "seq", consume)
+    folder = arrive_in_slices(t.ocr_results(), "seq", consume, slices=2)
     return read_results(t.spark, f"{folder}/out")
 
 

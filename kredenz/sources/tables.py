@@ -225,8 +225,8 @@ class Inputs:
         )
 
     def frame_fields(self) -> DataFrame:
-        rows = """inline(array(struct('firstName' AS field, 1 AS k, 2 AS m), struct('lastName', 2, 7),
-                               struct('nid', 3, 11), struct('address', 4, 13), struct('serial', 5, 9)))"""
+        rows = """stack(5, 'firstName', 1, 2, 'lastName', 2, 7, 'nid', 3, 11, 'address', 4, 13,
+                        'serial', 5, 9) AS (field, k, m)"""
         return self.table("events").selectExpr("event_id AS frame_id", rows).where(
             "frame_id % m <> 1 AND frame_id % 23 <> 5"
         ).selectExpr(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from kredenz.runtime import scratch_path
@@ -37,14 +37,16 @@ def arrive_in_slices(
     """
     spark = table.sparkSession
     folder = scratch_path(spark, "stream")
+    table.write.parquet(f"{folder}/staged")
+    staged = spark.read.schema(table.schema).parquet(f"{folder}/staged")
     shares = [i / slices for i in range(1, slices)]
-    inner = sorted(set(table.approxQuantile(order, shares, 0.01)))
+    inner = sorted(set(staged.approxQuantile(order, shares, 0.01)))
     for low, high in zip([None, *inner], [*inner, None]):
-        part = table
+        part = staged
         if low is not None:
-            part = part.where(table[order] > low)
+            part = part.where(F.col(order) > low)
         if high is not None:
-            part = part.where(table[order] <= high)
+            part = part.where(F.col(order) <= high)
         part.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
         consume(stream, folder)

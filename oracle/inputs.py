@@ -255,7 +255,7 @@ FRAMES = """frames AS (
   WHERE event_id % m <> 1 AND event_id % 23 <> 5
 ), frame_seen AS (
   SELECT frame_id, count(*) AS n_detections,
-    sum(round(confidence * 1000)::BIGINT)::DOUBLE / 1000 / count(*) AS mean_confidence,
+    sum(printf('%.3f', confidence)::DECIMAL(18, 3))::DOUBLE / count(*) AS mean_confidence,
     bool_or(k = 1) AS f1, bool_or(k = 2) AS f2, bool_or(k = 3) AS f3, bool_or(k = 4) AS f4, bool_or(k = 5) AS f5
   FROM frame_fields WHERE confidence >= 0.3::DOUBLE GROUP BY frame_id
 ), facts AS (
@@ -312,13 +312,13 @@ FACES = """following AS (
     list_transform(list_zip(own, nxt), lambda z: z[1]::DOUBLE * ((vec_id % 11)::DOUBLE / 10)
       + z[2]::DOUBLE * (1::DOUBLE - (vec_id % 11)::DOUBLE / 10)) AS live
   FROM following
-), similar AS (
+), compared AS (
   SELECT case_id, list_cosine_similarity(own::DOUBLE[], live) AS score FROM faces WHERE has_id AND has_live
 ), verified AS (
   SELECT case_id, round(score, 6) AS similarity_score, NULL::VARCHAR AS error, score > 0.7::DOUBLE AS is_match,
     0.7::DOUBLE AS threshold,
     CASE WHEN score > 0.8::DOUBLE THEN 'high' WHEN score > 0.6::DOUBLE THEN 'medium' ELSE 'low' END AS confidence
-  FROM similar)"""
+  FROM compared)"""
 
 OTP = """otp_events AS (
   SELECT event_id, epoch_us(ts) AS micros, '+20' || lpad(user_id::VARCHAR, 10, '0') AS phone,

@@ -230,7 +230,7 @@ rule(
 )
 rule(
     "avg_confidence", i.KEPT,
-    """SELECT i.image_id, coalesce(round(sum(round(confidence, 3)::DECIMAL(9, 3))::DOUBLE / count(confidence), 3), 0)
+    """SELECT i.image_id, coalesce(printf('%.3f', sum(printf('%.3f', confidence)::DECIMAL(18, 3))::DOUBLE / count(confidence))::DOUBLE, 0)
          AS avg_confidence
        FROM images i LEFT JOIN kept k ON k.image_id = i.image_id GROUP BY i.image_id""",
 )
@@ -293,9 +293,9 @@ rule(
 )
 rule(
     "bbox_globalize", i.DETECTIONS,
-    f"""SELECT {_KEYS}, x1, y1, x2, y2, round(x1::DOUBLE / img_width, 3) AS x1_norm,
-         round(y1::DOUBLE / img_height, 3) AS y1_norm, round(x2::DOUBLE / img_width, 3) AS x2_norm,
-         round(y2::DOUBLE / img_height, 3) AS y2_norm, x2 - x1 AS width, y2 - y1 AS height
+    f"""SELECT {_KEYS}, x1, y1, x2, y2, printf('%.3f', x1::DOUBLE / img_width)::DOUBLE AS x1_norm,
+         printf('%.3f', y1::DOUBLE / img_height)::DOUBLE AS y1_norm, printf('%.3f', x2::DOUBLE / img_width)::DOUBLE AS x2_norm,
+         printf('%.3f', y2::DOUBLE / img_height)::DOUBLE AS y2_norm, x2 - x1 AS width, y2 - y1 AS height
        FROM (SELECT * REPLACE ((x1 + l_suppkey % 40)::INTEGER AS x1, (y1 + l_partkey % 30)::INTEGER AS y1,
          (x2 + l_suppkey % 40)::INTEGER AS x2, (y2 + l_partkey % 30)::INTEGER AS y2) FROM det)""",
 )
@@ -308,7 +308,7 @@ rule(
     "confidence_band", i.DETECTIONS,
     f"""SELECT {_KEYS}, CASE WHEN confidence > 0.8::DOUBLE THEN 'green' WHEN confidence > 0.6::DOUBLE THEN 'yellow'
          ELSE 'red' END AS band,
-         (round(confidence * 1000)::BIGINT // 10) || '.' || (round(confidence * 1000)::BIGINT % 10) || '%' AS pct_label
+         printf('%.1f', confidence * 100) || '%' AS pct_label
        FROM det""",
 )
 
@@ -392,7 +392,7 @@ _EDGES = """edges AS (
     ELSE 'poor' END AS quality_level FROM graded)"""
 rule(
     "image_quality", i.PIXELS,
-    """SELECT image_id, quality_score, quality_level, round(blur, 2) AS blur_score, round(grey, 2) AS brightness,
+    """SELECT image_id, quality_score, quality_level, printf('%.2f', blur)::DOUBLE AS blur_score, printf('%.2f', grey)::DOUBLE AS brightness,
          is_blurry, is_too_dark, is_too_bright, size_ok, width, height,
          CASE quality_level WHEN 'good' THEN 'Perfect! Hold steady.'
            WHEN 'medium' THEN CASE WHEN is_blurry THEN 'Image is blurry. Hold steady.'
@@ -422,7 +422,7 @@ rule("capture_stream", i.FRAMES, _PICK)
 rule(
     "capture_readiness", i.FRAMES,
     """SELECT frame_id, session_id, required_found, optional_found, fields_found, n_detections, n_digits,
-         round(mean_confidence, 3) AS confidence, photo_detected, quality_level, ready_for_capture, message
+         printf('%.3f', mean_confidence)::DOUBLE AS confidence, photo_detected, quality_level, ready_for_capture, message
        FROM messages""",
 )
 
@@ -507,9 +507,9 @@ rule(
 )
 
 
-def _fallback(keys: list[str]) -> str:
+def _fallback(keys: list[str], last: str = "''") -> str:
     tests = ", ".join(f"max(nullif(value, '')) FILTER (key = '{k}')" for k in keys)
-    return f"coalesce({tests}, '')"
+    return f"coalesce({tests}, {last})"
 
 
 _BUILT = (
@@ -518,13 +518,12 @@ _BUILT = (
 )
 rule(
     "field_fallback", i.CASES,
-    f"""SELECT case_id,
-         {_fallback(['full_name', 'first_name', 'second_name', 'name']).replace(", '')", f", {_BUILT})")} AS full_name,
+    f"""SELECT case_id, {_fallback(['full_name', 'first_name', 'second_name', 'name'], _BUILT)} AS full_name,
          {_fallback(['national_id', 'id', 'national_id_number'])} AS national_id,
          {_fallback(['address', 'location', 'residence'])} AS address,
          {_fallback(['birth_date', 'date_of_birth', 'birthday'])} AS birth_date,
          {_fallback(['gender', 'sex'])} AS gender, {_fallback(['governorate', 'state', 'province'])} AS governorate,
-         coalesce(max(nullif(value, '')) FILTER (key = 'full_name'), {_BUILT}) AS built_name
+         {_fallback(['full_name'], _BUILT)} AS built_name
        FROM scanned GROUP BY case_id""",
 )
 
