@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MICRO_UNITS = 1_000_000_000
+BILLION = 1_000_000_000
 
 
 def half_up(c: Column) -> Column:
@@ -45,12 +45,12 @@ def exact_sum(c: Column) -> Column:
     Adding integers gives the same answer in every order, so ties between
     groups do not depend on how rows were shuffled.
     """
-    return F.coalesce(F.sum(F.round(c * F.lit(float(MICRO_UNITS))).cast("bigint")), F.lit(0))
+    return F.coalesce(F.sum(F.rint(c * F.lit(float(BILLION))).cast("bigint")), F.lit(0))
 
 
 def exact_mean(total: Column, n: Column) -> Column:
     """Mean from ``exact_sum`` and a count; null for no rows."""
-    return F.when(n > 0, total / F.lit(float(MICRO_UNITS)) / n)
+    return F.when(n > 0, total / F.lit(float(BILLION)) / n)
 
 
 def population_variance(n: Column, s: Column, s2: Column) -> Column:

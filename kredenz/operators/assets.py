@@ -21,25 +21,28 @@ def _block(seq: Column | str) -> Column:
 
 
 def upload_bounds(chunks: DataFrame) -> DataFrame:
-    """Per path: ``done``, its last completing seq, and ``prior``, the one before.
+    """Per path: ``done``, its last completing seq, ``prior``, the one before, and
+    the MIME type the last completing chunk named.
 
     Only completing rows matter and only two per path; Spark keeps two per path
     in every map task before it shuffles.
     """
     newest = Window.partitionBy("path").orderBy(F.desc("seq"))
+    last = F.col("rank") == 1
     return (
         chunks.where("complete")
-        .select("path", "seq", F.row_number().over(newest).alias("rank"))
+        .select("path", "seq", "mime_type", F.row_number().over(newest).alias("rank"))
         .where("rank <= 2")
         .groupBy("path")
         .agg(
-            F.max(F.when(F.col("rank") == 1, F.col("seq"))).alias("done"),
-            F.max(F.when(F.col("rank") == 2, F.col("seq"))).alias("prior"),
+            F.max(F.when(last, F.col("seq"))).alias("done"),
+            F.max(F.when(~last, F.col("seq"))).alias("prior"),
+            F.max(F.when(last, F.col("mime_type"))).alias("mime_type"),
         )
     )
 
 
-def _with_bounds(chunks: DataFrame, how: str, keep: Column) -> DataFrame:
+def _with_bounds(chunks: DataFrame, bounds: DataFrame, how: str, keep: Column) -> DataFrame:
     """Join the log with its paths' bounds block by block.
 
     ``keep`` says which blocks of a path are needed, given the bounds. Only
@@ -47,30 +50,47 @@ def _with_bounds(chunks: DataFrame, how: str, keep: Column) -> DataFrame:
     no partner.
     """
     blocks = chunks.select("path", _block("seq").alias("block")).distinct()
-    needed = blocks.join(upload_bounds(chunks), "path", how).where(keep)
-    return chunks.withColumn("block", _block("seq")).join(needed, ["path", "block"])
+    needed = blocks.join(bounds, "path", how).where(keep)
+    log = chunks.drop("mime_type").withColumn("block", _block("seq"))
+    return log.join(needed, ["path", "block"])
 
 
-def asset_assemble(chunks: DataFrame, carry_over: bool = False) -> DataFrame:
+def _published(chunks: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The chunks of the last completed upload of every path in ``bounds``."""
+    before_end = F.col("block") <= _block(F.col("done"))
+    after_start = F.col("prior").isNull() | (F.col("block") >= _block(F.col("prior")))
+    return _with_bounds(chunks, bounds, "inner", before_end & after_start).where(
+        "seq <= done AND (prior IS NULL OR seq > prior)"
+    )
+
+
+def asset_assemble(
+    chunks: DataFrame,
+    carry_over: bool = False,
+    only: DataFrame | None = None,
+    without: DataFrame | None = None,
+) -> DataFrame:
     """Published files: ``path, mime_type, n_chunks, content``.
 
     The last completed upload of a path wins and the completing chunk names the
     MIME type. By default an upload starts after the previous completing chunk;
     with ``carry_over`` it also inherits every earlier chunk that did not
-    complete an upload.
+    complete an upload. ``only`` and ``without`` are tables of paths to build or
+    to leave out; they meet one row per path, before any content is read.
     """
-    before_end = F.col("block") <= _block(F.col("done"))
+    bounds = upload_bounds(chunks)
+    if only is not None:
+        bounds = only_keys(bounds, only, "path")
+    if without is not None:
+        bounds = delete_by_key(bounds, without, "path")
     if carry_over:
-        rows = _with_bounds(chunks, "inner", before_end).where(
+        early = F.col("block") <= _block(F.col("done"))
+        rows = _with_bounds(chunks, bounds, "inner", early).where(
             "seq = done OR (seq < done AND NOT complete)"
         )
     else:
-        after_start = F.col("prior").isNull() | (F.col("block") >= _block(F.col("prior")))
-        rows = _with_bounds(chunks, "inner", before_end & after_start).where(
-            "seq <= done AND (prior IS NULL OR seq > prior)"
-        )
-    return rows.groupBy("path").agg(
-        F.max(F.when(F.col("seq") == F.col("done"), F.col("mime_type"))).alias("mime_type"),
+        rows = _published(chunks, bounds)
+    return rows.groupBy("path", "mime_type").agg(
         F.count("*").alias("n_chunks"),
         F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("content"),
     )
@@ -80,40 +100,39 @@ def asset_pending(chunks: DataFrame) -> DataFrame:
     """Unfinished uploads: ``path, n_chunks`` after the last completing chunk."""
     unfinished = F.col("done").isNull() | (F.col("block") >= _block(F.col("done")))
     return (
-        _with_bounds(chunks, "left", unfinished)
+        _with_bounds(chunks, upload_bounds(chunks), "left", unfinished)
         .where("done IS NULL OR seq > done")
         .groupBy("path")
         .agg(F.count("*").alias("n_chunks"))
     )
 
 
-def asset_list(assets: DataFrame, ordered: bool = True) -> DataFrame:
-    """File listing ``path, mime_type, size, size_label`` in path order."""
-    listing = assets.select("path", "mime_type", F.length("content").cast("bigint").alias("size"))
-    listing = listing.withColumn("size_label", size_label(F.col("size")))
-    return listing.orderBy("path") if ordered else listing
-
-
 def asset_sizes(chunks: DataFrame) -> DataFrame:
-    """The same listing straight from the chunk log, without building contents."""
-    sized = chunks.select("path", "mime_type", "seq", "complete", F.length("chunk").alias("len"))
-    before_end = F.col("block") <= _block(F.col("done"))
-    after_start = F.col("prior").isNull() | (F.col("block") >= _block(F.col("prior")))
-    return (
-        _with_bounds(sized, "inner", before_end & after_start)
-        .where("seq <= done AND (prior IS NULL OR seq > prior)")
-        .groupBy("path")
-        .agg(
-            F.max(F.when(F.col("seq") == F.col("done"), F.col("mime_type"))).alias("mime_type"),
-            F.sum("len").cast("bigint").alias("size"),
-        )
-        .withColumn("size_label", size_label(F.col("size")))
+    """``path, mime_type, size`` straight from the chunk log; contents are not built."""
+    lengths = chunks.select("path", "mime_type", "seq", "complete", F.length("chunk").alias("n"))
+    return _published(lengths, upload_bounds(chunks)).groupBy("path", "mime_type").agg(
+        F.sum("n").cast("bigint").alias("size")
     )
 
 
+def asset_list(sizes: DataFrame) -> DataFrame:
+    """File listing in path order, each size with its label."""
+    return sizes.withColumn("size_label", size_label(F.col("size"))).orderBy("path")
+
+
+def only_keys(table: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """The rows of the given keys."""
+    return table.join(keys.select(*on), list(on), "left_semi")
+
+
 def get_by_key(table: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
-    """Point lookup: every key once, with nulls where the table has no row."""
-    return keys.select(*on).distinct().join(table, list(on), "left")
+    """Point lookup: every key once, with nulls where the table has no row.
+
+    The semi join goes first because Catalyst can move it below an aggregate
+    that builds the table, which it cannot do with the outer join.
+    """
+    found = only_keys(table, keys, *on)
+    return keys.select(*on).distinct().join(found, list(on), "left")
 
 
 def delete_by_key(table: DataFrame, keys: DataFrame, *on: str) -> DataFrame:

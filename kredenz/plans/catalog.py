@@ -73,22 +73,18 @@ def asset_pending(t: Inputs) -> DataFrame:
 
 @query
 def asset_list(t: Inputs) -> DataFrame:
-    return assets.asset_list(t.assets())
-
-
-@query
-def asset_sizes(t: Inputs) -> DataFrame:
-    return assets.asset_sizes(t.asset_chunks())
+    return assets.asset_list(assets.asset_sizes(t.asset_chunks()))
 
 
 @query
 def asset_get(t: Inputs) -> DataFrame:
-    return assets.get_by_key(t.assets(), t.lookup_keys(), "path")
+    keys = t.lookup_keys()
+    return assets.get_by_key(assets.asset_assemble(t.asset_chunks(), only=keys), keys, "path")
 
 
 @query
 def asset_delete(t: Inputs) -> DataFrame:
-    return assets.delete_by_key(t.assets(), t.delete_paths(), "path")
+    return assets.asset_assemble(t.asset_chunks(), without=t.delete_paths())
 
 
 @query
@@ -110,7 +106,7 @@ def upload_guard(t: Inputs) -> DataFrame:
 
 @query
 def image_files(t: Inputs) -> DataFrame:
-    return assets.image_files(assets.asset_sizes(t.asset_chunks())).select("path", "mime_type", "size")
+    return assets.image_files(assets.asset_sizes(t.asset_chunks()))
 
 
 # -- stored results -------------------------------------------------------

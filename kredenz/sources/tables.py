@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kredenz.operators.assets import asset_assemble
-
 PIXEL_GRID = 8
 CHUNK_CHARS = 1000
 
@@ -64,9 +62,6 @@ class Inputs:
             "last AND finished AS complete",
         )
 
-    def assets(self) -> DataFrame:
-        return asset_assemble(self.asset_chunks())
-
     def delete_paths(self) -> DataFrame:
         return self._documents().where("doc_id % 9 = 0 OR doc_id % 50 = 1").selectExpr(
             "CASE WHEN doc_id % 9 = 0 THEN path ELSE concat('missing/', doc_id) END AS path"

@@ -29,7 +29,6 @@ rule(
        HAVING NOT bool_or(complete)""",
 )
 rule("asset_list", i.SIZED, "SELECT path, mime_type, size, size_label FROM labelled ORDER BY path")
-rule("asset_sizes", i.SIZED, "SELECT path, mime_type, size, size_label FROM labelled")
 rule(
     "asset_get", i.ASSETS,
     "SELECT k.path, mime_type, n_chunks, content FROM lookup_keys k LEFT JOIN assets a ON a.path = k.path",
