@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from kredenz.functions.text import size_label
 from kredenz.runtime import with_position
 
-BLOCK = 4096
+BLOCK_BITS = 12
+BLOCK = 1 << BLOCK_BITS
 
 
 def _block(seq: Column | str) -> Column:
-    return F.floor(F.col(seq) / BLOCK) if isinstance(seq, str) else F.floor(seq / BLOCK)
+    return F.shiftright(seq, BLOCK_BITS)
 
 
 def upload_bounds(chunks: DataFrame) -> DataFrame:
