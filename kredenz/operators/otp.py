@@ -6,15 +6,17 @@ history into one task. The history is range-sorted on ``(phone, ts, event_id)``
 instead, which cuts a busy phone into many blocks, and every block is folded on
 its own:
 
-1. fold each block from an empty state and keep one row per block: its first
-   and last phone and the state it ends in;
-2. hand each block the end state of the block before, when both are on the same
-   phone, and fold again the blocks that consist of one phone only and were
-   handed a new state, until no hand-over changes;
+1. find the blocks whose last phone goes on in the next block and fold only
+   that phone's rows in them, keeping one end state per block;
+2. hand each end state to the next block, and fold again the blocks that lie
+   wholly inside one phone and were handed something new, until no hand-over
+   changes;
 3. fold every block once from its final hand-over and emit the outcomes.
 
 A block with more than one phone ends in the same state whatever it is handed,
-so step 2 only ever repeats blocks inside one phone's history.
+so step 2 only repeats blocks inside one phone's history. Histories that meet
+(a pause longer than the lifetime, a passed check) settle in two rounds; a phone
+that never pauses may need as many rounds as it fills blocks.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ INVALID = "Invalid OTP."
 WAIT = "OTP already sent. Please wait {} seconds."
 
 OUTCOMES = "event_id bigint, phone string, action string, code string, micros bigint, success boolean, message string"
-BLOCK_ENDS = "block bigint, first_phone string, last_phone string, code string, expiry bigint"
+END_STATES = "block bigint, code string, expiry bigint"
 
 State = tuple[str, int] | None  # code and expiry in microseconds
 
@@ -73,27 +75,24 @@ class _Fold:
         return out
 
 
-def _block_ends(ttl: int, handed: dict[int, tuple], only: set[int] | None):
-    """One row per block: its first and last phone and its end state."""
+def _end_states(ttl: int, handed: dict[int, tuple], chosen: set[int]):
+    """The state each chosen block ends in."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = first = block = None
+        fold = block = None
         for pdf in batches:
             if pdf.empty:
                 continue
             if fold is None:
-                block, first = int(pdf["_block"].iloc[0]), pdf.phone.iloc[0]
-                if only is not None and block not in only:
+                block = int(pdf["_block"].iloc[0])
+                if block not in chosen:
                     return
                 fold = _Fold(ttl, *handed.get(block, (None, None)))
             fold.run(pdf)
         if fold is not None:
             code, expiry = fold.state or (None, None)
             yield pd.DataFrame(
-                {
-                    "block": [block], "first_phone": [first], "last_phone": [fold.phone],
-                    "code": [code], "expiry": pd.array([expiry], dtype="Int64"),
-                }
+                {"block": [block], "code": [code], "expiry": pd.array([expiry], dtype="Int64")}
             )
 
     return run
@@ -115,35 +114,33 @@ def _outcomes(ttl: int, handed: dict[int, tuple]):
     return run
 
 
-def _hand_overs(ends: list) -> dict[int, tuple]:
-    """What each block is handed: phone and state left by the block before."""
-    handed = {}
-    for before, here in zip(ends, ends[1:]):
-        if before.code is not None and before.last_phone == here.first_phone:
-            handed[here.block] = (here.first_phone, (before.code, before.expiry))
-    return handed
-
-
 def _settle(ordered: DataFrame, ttl: int) -> dict[int, tuple]:
-    """Repeat step 2 until the hand-overs stand still.
+    """Phone and state every block is handed by the block before it.
 
-    The collected rows are one per shuffle partition, never per event.
+    What is collected is one row per shuffle partition, never one per event.
     """
-    ends = {
-        r.block: r for r in ordered.mapInPandas(_block_ends(ttl, {}, None), BLOCK_ENDS).collect()
-    }
-    used: dict[int, tuple] = {}
-    while True:
-        handed = _hand_overs([ends[b] for b in sorted(ends)])
-        stale = {
-            b for b, r in ends.items()
-            if r.first_phone == r.last_phone and handed.get(b) != used.get(b)
+    phones = F.min("phone").alias("first"), F.max("phone").alias("last")
+    edges = sorted(ordered.groupBy("_block").agg(*phones).collect())
+    goes_on = {a[0]: (a.last, b[0]) for a, b in zip(edges, edges[1:]) if a.last == b.first}
+    if not goes_on:
+        return {}
+    inside_one = {e[0] for e in edges if e.first == e.last}
+    carriers = ordered.sparkSession.createDataFrame(
+        [(block, phone) for block, (phone, _) in goes_on.items()], "_block bigint, phone string"
+    )
+    # One row per partition at most, so the broadcast is bounded.
+    carried = ordered.join(F.broadcast(carriers), ["_block", "phone"])
+    ends: dict[int, State] = {}
+    handed: dict[int, tuple] = {}
+    stale = set(goes_on)
+    while stale:
+        for r in carried.mapInPandas(_end_states(ttl, handed, stale), END_STATES).collect():
+            ends[r.block] = None if r.code is None else (r.code, r.expiry)
+        before, handed = handed, {
+            follower: (phone, ends[block]) for block, (phone, follower) in goes_on.items() if ends[block]
         }
-        if not stale:
-            return handed
-        again = ordered.mapInPandas(_block_ends(ttl, handed, stale), BLOCK_ENDS).collect()
-        ends.update({r.block: r for r in again})
-        used = handed
+        stale = {b for b in inside_one & set(goes_on) if handed.get(b) != before.get(b)}
+    return handed
 
 
 def micros(ts: str | Column = "ts") -> Column:

@@ -39,8 +39,11 @@ def result_list(results: DataFrame) -> DataFrame:
     return results.orderBy("doc_type", "path")
 
 
-def result_counts(results: DataFrame) -> DataFrame:
-    return results.groupBy("doc_type").agg(F.count("*").alias("n_results"))
+def result_counts(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """How many results each store and how many files the document store holds."""
+    stored = results.groupBy(F.col("doc_type").alias("store")).agg(F.count("*").alias("n"))
+    files = documents.select(F.lit("documents").alias("store")).groupBy("store").agg(F.count("*").alias("n"))
+    return stored.unionByName(files)
 
 
 def _parsed(results: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ def result_list(t: Inputs) -> DataFrame:
 
 @query
 def result_counts(t: Inputs) -> DataFrame:
-    return results.result_counts(results.result_upsert(t.ocr_results()))
+    latest = results.result_upsert(t.ocr_results())
+    return results.result_counts(latest, assets.upload_bounds(t.asset_chunks()))
 
 
 @query
@@ -537,6 +538,13 @@ def case_review(t: Inputs) -> DataFrame:
     return flows.case_review(_cases(t), t.status_events())
 
 
+@query
+def rating_get(t: Inputs) -> DataFrame:
+    """Ratings of all document ids; most ids were never rated."""
+    ids = t.table("documents").select("doc_id")
+    return assets.get_by_key(cases.rating_latest(t.ratings()), ids, "doc_id")
+
+
 # -- records end to end ---------------------------------------------------
 
 

@@ -72,7 +72,12 @@ rule(
     "result_get", i.RESULTS,
     "SELECT k.doc_type, k.path, result_json FROM result_keys k LEFT JOIN latest USING (doc_type, path)",
 )
-rule("result_counts", i.RESULTS, "SELECT doc_type, count(*) AS n_results FROM latest GROUP BY doc_type")
+rule(
+    "result_counts", i.RESULTS,
+    """SELECT doc_type AS store, count(*) AS n FROM latest GROUP BY doc_type
+       UNION ALL SELECT 'documents', count(DISTINCT path) FROM asset_chunks WHERE complete""",
+    i.CHUNKS,
+)
 rule(
     "result_delete", i.RESULTS,
     LATEST + " WHERE NOT EXISTS (SELECT 1 FROM result_keys k WHERE k.doc_type = latest.doc_type AND k.path = latest.path)",
@@ -458,6 +463,10 @@ rule(
 # -- ratings and cases ----------------------------------------------------
 
 rule("rating_latest", i.RATINGS, "SELECT doc_id, rating FROM latest_ratings ORDER BY doc_id")
+rule(
+    "rating_get", i.RATINGS,
+    "SELECT d.doc_id, rating FROM documents d LEFT JOIN latest_ratings r ON r.doc_id = d.doc_id",
+)
 rule(
     "rating_join", i.SIZED,
     """SELECT position, path, mime_type, coalesce(rating, 0) AS rating,
