@@ -170,13 +170,17 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
 def digit_assemble(digits: DataFrame, key: str = "image_id") -> DataFrame:
     """ID number from digit boxes, left to right; ties in arrival order.
 
-    The result is one text per image and as long as the image has digits.
+    Digits are first put together per pixel column, which spreads an image with
+    very many boxes over many tasks; the second step joins at most one piece per
+    column.
     """
-    return digits.groupBy(key).agg(
-        F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY struct(x1, det_seq))").alias(
-            "id_number"
-        ),
-        F.count("*").alias("n_digits"),
+    columns = digits.groupBy(key, "x1").agg(
+        F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
+        F.count("*").alias("n"),
+    )
+    return columns.groupBy(key).agg(
+        F.expr("listagg(piece) WITHIN GROUP (ORDER BY x1)").alias("id_number"),
+        F.sum("n").alias("n_digits"),
     )
 
 

@@ -202,9 +202,14 @@ class Inputs:
         ).selectExpr("*", "concat(class_name, l_partkey) AS text")
 
     def digit_boxes(self) -> DataFrame:
-        """One digit per box, ordered by x1 with ties in arrival order."""
-        return self.detections().selectExpr(
-            "image_id", "det_seq", "cast(l_partkey % 10 AS INT) AS digit", "x1 div 100 AS x1"
+        """Four digits per line item; several may share a pixel column."""
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS image_id", "l_linenumber", "l_partkey", "l_suppkey",
+            "explode(sequence(0, 3)) AS i",
+        ).selectExpr(
+            "image_id", "struct(l_linenumber, l_partkey, l_suppkey, i) AS det_seq",
+            "cast((l_partkey + l_suppkey * i) % 10 AS INT) AS digit",
+            "cast((l_partkey + i * 131) % 600 div 10 AS INT) AS x1",
         )
 
     # -- frames -----------------------------------------------------------

@@ -237,10 +237,14 @@ PRESENCE = KEPT + """, presence AS (
     coalesce(bool_or(class_name = 'serial'), false) AS f5
   FROM images i LEFT JOIN kept k ON k.image_id = i.image_id GROUP BY i.image_id)"""
 
-DIGITS = """numbers AS (
-  SELECT image_id, string_agg((l_partkey % 10)::VARCHAR, '' ORDER BY x1 // 100, det_seq) AS id_number,
+DIGITS = """boxed AS (
+  SELECT l_orderkey AS image_id, l_linenumber, l_partkey, i, (l_partkey + i * 131) % 600 // 10 AS x1, l_suppkey,
+    (l_partkey + l_suppkey * i) % 10 AS digit
+  FROM lineitem CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i)
+), numbers AS (
+  SELECT image_id, string_agg(digit::VARCHAR, '' ORDER BY x1, l_linenumber, l_partkey, l_suppkey, i) AS id_number,
          count(*) AS n_digits
-  FROM det GROUP BY image_id)"""
+  FROM boxed GROUP BY image_id)"""
 
 FRAMES = """frames AS (
   SELECT event_id AS frame_id, user_id AS session_id, ts, (event_id * 13 % 300)::DOUBLE AS photo_variance,
