@@ -6,23 +6,25 @@ history into one task. The history is range-sorted on ``(phone, ts, event_id)``
 instead, which cuts a busy phone into many blocks, and every block is folded on
 its own:
 
-1. find the blocks whose last phone goes on in the next block and fold only
-   that phone's rows in them, keeping one end state per block;
-2. hand each end state to the next block, and fold again the blocks that lie
-   wholly inside one phone and were handed something new, until no hand-over
-   changes;
-3. fold every block once from its final hand-over and emit the outcomes.
-
-A block with more than one phone ends in the same state whatever it is handed,
-so step 2 only repeats blocks inside one phone's history. Histories that meet
-(a pause longer than the lifetime, a passed check) settle in two rounds; a phone
-that never pauses may need as many rounds as it fills blocks.
+1. find the blocks whose last phone goes on in the next block; for that phone's
+   rows in them, work out what state the block would be left in if a given send
+   were accepted, and keep the rows of one code lifetime from the start, because
+   the first send accepted in the block must be among them;
+2. walk over those short openings phone by phone: the first send accepted in a
+   block decides the state handed to the next one;
+3. fold every block once from what it was handed and emit the outcomes.
+
+All three steps are exact for every history; step 2 reads openings only, a small
+share of a busy phone's rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -39,7 +41,11 @@ INVALID = "Invalid OTP."
 WAIT = "OTP already sent. Please wait {} seconds."
 
 OUTCOMES = "event_id bigint, phone string, action string, code string, micros bigint, success boolean, message string"
-END_STATES = "block bigint, code string, expiry bigint"
+OPENINGS = (
+    "phone string, block bigint, row bigint, action string, micros bigint, code string, "
+    "left_code string, left_expiry bigint"
+)
+HAND_OVERS = "block bigint, phone string, code string, expiry bigint"
 
 State = tuple[str, int] | None  # code and expiry in microseconds
 
@@ -75,25 +81,84 @@ class _Fold:
         return out
 
 
-def _end_states(ttl: int, handed: dict[int, tuple], chosen: set[int]):
-    """The state each chosen block ends in."""
+def left_with(micros: np.ndarray, sends: np.ndarray, codes: list[str], ttl: int) -> np.ndarray:
+    """For each send row, if accepted: the send row whose code is held at the end.
+
+    -1 stands for no code held. Rows are one phone's, in order; working
+    backwards, each send passes on the answer of the send accepted next.
+    """
+    rows = np.flatnonzero(sends)
+    n = len(rows)
+    # Position of the next send at or after this one's expiry.
+    later = np.maximum(np.searchsorted(micros[rows], micros[rows] + ttl), np.arange(n) + 1)
+    checks = defaultdict(list)
+    for row in np.flatnonzero(~sends):
+        checks[codes[row]].append(row)
+    answer = np.full(len(micros), -1)
+    for k in range(n - 1, -1, -1):
+        row, following = rows[k], later[k]
+        same = checks.get(codes[row], [])
+        at = bisect_right(same, row)
+        passed = (
+            at < len(same)
+            and micros[same[at]] <= micros[row] + ttl
+            and (following == n or same[at] < rows[following])
+        )
+        if passed:
+            following = np.searchsorted(rows, same[at])
+        if following < n:
+            answer[row] = answer[rows[following]]
+        elif not passed:
+            answer[row] = row
+    return answer
+
+
+def _openings(ttl: int):
+    """The rows in which a block's first accepted send must lie, with its effect."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = block = None
+        parts = [pdf for pdf in batches if not pdf.empty]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        micros, sends = pdf.micros.to_numpy(), (pdf.action == "send").to_numpy()
+        held = left_with(micros, sends, pdf.code.tolist(), ttl)
+        # A state handed in expires at most one lifetime after the first row.
+        surely = np.flatnonzero(sends & (micros >= micros[0] + ttl))
+        opening = pdf.iloc[: surely[0] + 1 if len(surely) else len(pdf)]
+        left = held[: len(opening)]
+        yield opening.assign(
+            block=opening["_block"],
+            row=opening["_row"],
+            left_code=pdf.code.iloc[left].where(left >= 0, None).to_numpy(),
+            left_expiry=pd.array(np.where(left >= 0, micros[left] + ttl, 0), dtype="Int64"),
+        )[["phone", "block", "row", "action", "micros", "code", "left_code", "left_expiry"]]
+
+    return run
+
+
+def _walk(ttl: int):
+    """The state each block leaves its last phone in, from the openings in order."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state, decided, out = (None, None), None, False, []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            if fold is None:
-                block = int(pdf["_block"].iloc[0])
-                if block not in chosen:
-                    return
-                fold = _Fold(ttl, *handed.get(block, (None, None)))
-            fold.run(pdf)
-        if fold is not None:
-            code, expiry = fold.state or (None, None)
-            yield pd.DataFrame(
-                {"block": [block], "code": [code], "expiry": pd.array([expiry], dtype="Int64")}
-            )
+            for row in pdf.itertuples(index=False):
+                if (row.phone, row.block) != here:
+                    if here[0] is not None:
+                        out.append((here[1], here[0], *(state or (None, None))))
+                    if row.phone != here[0]:
+                        state = None
+                    here, decided = (row.phone, row.block), False
+                if decided:
+                    continue
+                state, success, _ = step(state, row.action, row.micros, row.code, ttl)
+                if success and row.action == "send":
+                    decided = True
+                    state = None if row.left_code is None else (row.left_code, int(row.left_expiry))
+        if here[0] is not None:
+            out.append((here[1], here[0], *(state or (None, None))))
+        yield pd.DataFrame(out, columns=["block", "phone", "code", "expiry"]).astype({"expiry": "Int64"})
 
     return run
 
@@ -121,26 +186,23 @@ def _settle(ordered: DataFrame, ttl: int) -> dict[int, tuple]:
     """
     phones = F.min("phone").alias("first"), F.max("phone").alias("last")
     edges = sorted(ordered.groupBy("_block").agg(*phones).collect())
-    goes_on = {a[0]: (a.last, b[0]) for a, b in zip(edges, edges[1:]) if a.last == b.first}
-    if not goes_on:
+    follower = {a[0]: (a.last, b[0]) for a, b in zip(edges, edges[1:]) if a.last == b.first}
+    if not follower:
         return {}
-    inside_one = {e[0] for e in edges if e.first == e.last}
     carriers = ordered.sparkSession.createDataFrame(
-        [(block, phone) for block, (phone, _) in goes_on.items()], "_block bigint, phone string"
+        [(block, phone) for block, (phone, _) in follower.items()], "_block bigint, phone string"
     )
     # One row per partition at most, so the broadcast is bounded.
     carried = ordered.join(F.broadcast(carriers), ["_block", "phone"])
-    ends: dict[int, State] = {}
-    handed: dict[int, tuple] = {}
-    stale = set(goes_on)
-    while stale:
-        for r in carried.mapInPandas(_end_states(ttl, handed, stale), END_STATES).collect():
-            ends[r.block] = None if r.code is None else (r.code, r.expiry)
-        before, handed = handed, {
-            follower: (phone, ends[block]) for block, (phone, follower) in goes_on.items() if ends[block]
-        }
-        stale = {b for b in inside_one & set(goes_on) if handed.get(b) != before.get(b)}
-    return handed
+    openings = carried.mapInPandas(_openings(ttl), OPENINGS)
+    walked = (
+        openings.repartition("phone")
+        .sortWithinPartitions("phone", "block", "row")
+        .mapInPandas(_walk(ttl), HAND_OVERS)
+    )
+    return {
+        follower[r.block][1]: (r.phone, (r.code, r.expiry)) for r in walked.collect() if r.code is not None
+    }
 
 
 def micros(ts: str | Column = "ts") -> Column:

@@ -3,7 +3,9 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from kredenz.operators import otp
@@ -44,32 +46,66 @@ def outcomes(spark, rows, ttl=30):
     return {r.event_id: (r.success, r.message) for r in otp.otp_replay(events_of(spark, rows), ttl).collect()}
 
 
-def random_rows(n, seed, busy_share, gap):
+def random_rows(n, seed, busy_share, gap, codes=3):
     rng = random.Random(seed)
     rows, now = [], 0
     for i in range(n):
         now += rng.randrange(gap)
         phone = "busy" if rng.random() < busy_share else f"p{rng.randrange(30)}"
-        rows.append((i, now, phone, rng.choice(["send", "send", "verify"]), str(rng.randrange(3))))
+        rows.append((i, now, phone, rng.choice(["send", "send", "verify"]), str(rng.randrange(codes))))
     return rows
 
 
-@pytest.mark.parametrize("seed, busy, gap", [(1, 1 / 3, 2_000_000), (2, 0.95, 900_000), (3, 1.0, 40_000_000)])
-def test_replay_with_a_busy_phone(spark, seed, busy, gap):
-    rows = random_rows(4000, seed, busy, gap)
+@pytest.fixture(params=[True, False], ids=["few blocks", "many blocks"])
+def blocks(spark, request):
+    """Small tables fold into few blocks unless coalescing is off."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    spark.conf.set("spark.sql.shuffle.partitions", 4 if request.param else 24)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+
+
+@pytest.mark.parametrize(
+    "seed, busy, gap, codes",
+    [(1, 1 / 3, 2_000_000, 3), (2, 0.95, 900_000, 50), (3, 1.0, 40_000_000, 2), (4, 1.0, 300_000, 400), (5, 0.9, 2, 3)],
+)
+def test_replay_with_a_busy_phone(spark, blocks, seed, busy, gap, codes):
+    rows = random_rows(3000, seed, busy, gap, codes)
     expected, _ = plain_replay(rows, 30)
     assert outcomes(spark, rows) == expected
 
 
-def test_replay_of_regular_sends_over_many_blocks(spark):
+def test_replay_of_regular_sends(spark, blocks):
     """A code every second and no pause: each block depends on the one before."""
-    rows = [(i, i * 1_000_000, "bot", "send" if i % 17 else "verify", "x") for i in range(3000)]
+    rows = [(i, i * 1_000_000, "bot", "send" if i % 17 else "verify", str(i)) for i in range(3000)]
     expected, _ = plain_replay(rows, 30)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
-    try:
-        assert outcomes(spark, rows) == expected
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert outcomes(spark, rows) == expected
+
+
+def test_blocks_shorter_than_a_lifetime(spark, blocks):
+    rows = random_rows(2000, 8, 1.0, 5_000, 4)
+    for ttl in (1, 5, 3600):
+        expected, _ = plain_replay(rows, ttl)
+        assert outcomes(spark, rows, ttl) == expected
+
+
+@given(
+    st.lists(st.tuples(st.integers(0, 3), st.booleans(), st.sampled_from("abc")), min_size=1, max_size=40),
+    st.integers(1, 4),
+)
+def test_left_with_agrees_with_the_fold(events, ttl):
+    """Accept any send, fold on from there: the held code is the one foretold."""
+    times = np.cumsum([gap for gap, _, _ in events])
+    sends = np.array([send for _, send, _ in events])
+    codes = [code for _, _, code in events]
+    answer = otp.left_with(times, sends, codes, ttl)
+    for row in np.flatnonzero(sends):
+        state = (codes[row], times[row] + ttl)
+        for later in range(row + 1, len(events)):
+            state, _, _ = otp.step(state, "send" if sends[later] else "verify", times[later], codes[later], ttl)
+        told = answer[row]
+        assert state == (None if told < 0 else (codes[told], times[told] + ttl))
 
 
 def test_expiry_moment(spark):
