@@ -7,6 +7,12 @@ from pyspark.sql import Column, functions as F
 from kredenz.functions.numbers import exact_round
 
 
+# Card crop margins as (least pixels, share of the box side).
+MARGIN_TOP = (20, 0.1)
+MARGIN_SIDE = (10, 0.05)
+MARGIN_BOTTOM = (50, 0.15)
+
+
 def _half(c: Column) -> Column:
     return F.floor(c / 2).cast("int")
 
@@ -33,9 +39,12 @@ def bbox_pad_card(
 ) -> dict[str, Column]:
     """Card crop: margins from the box size, or ``flat`` pixels on every side."""
     if flat is None:
-        top = F.greatest(F.lit(20), _scaled(y2 - y1, 0.1))
-        side = F.greatest(F.lit(10), _scaled(x2 - x1, 0.05))
-        bottom = F.greatest(F.lit(50), _scaled(y2 - y1, 0.15))
+        def margin(least: int, share: float, side: Column) -> Column:
+            return F.greatest(F.lit(least), _scaled(side, share))
+
+        top = margin(*MARGIN_TOP, y2 - y1)
+        side = margin(*MARGIN_SIDE, x2 - x1)
+        bottom = margin(*MARGIN_BOTTOM, y2 - y1)
     else:
         top = side = bottom = F.lit(flat)
     return {
@@ -52,6 +61,7 @@ def bbox_globalize(
 ) -> dict[str, Column]:
     """Crop coordinates back to the image, plus shares of its size to 3 places."""
     gx1, gy1, gx2, gy2 = x1 + off_x, y1 + off_y, x2 + off_x, y2 + off_y
+    img_width, img_height = (F.nullif(c, F.lit(0)) for c in (img_width, img_height))
     return {
         "x1": gx1, "y1": gy1, "x2": gx2, "y2": gy2,
         "x1_norm": exact_round(gx1 / img_width, 3),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed value: error of a pair with a side missing.
 NO_FACE = "Face not detected in one of the images"
 
 

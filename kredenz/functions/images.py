@@ -37,12 +37,13 @@ FEEDBACK = {
 
 def resize_plan(width: Column, height: Column) -> dict[str, Column]:
     """Target size before text recognition: shrink large, grow small, else keep."""
+    side_w, side_h = F.nullif(width, F.lit(0)), F.nullif(height, F.lit(0))
     large = (width > 1500) | (height > 1500)
     small = (width < 400) | (height < 300)
     wide = width > height
-    shrunk_w = F.when(wide, 1000).otherwise((width * (F.lit(1000.0) / height)).cast("int"))
-    shrunk_h = F.when(wide, (height * (F.lit(1000.0) / width)).cast("int")).otherwise(1000)
-    grow = F.greatest(F.lit(400.0) / width, F.lit(300.0) / height)
+    shrunk_w = F.when(wide, 1000).otherwise((width * (F.lit(1000.0) / side_h)).cast("int"))
+    shrunk_h = F.when(wide, (height * (F.lit(1000.0) / side_w)).cast("int")).otherwise(1000)
+    grow = F.greatest(F.lit(400.0) / side_w, F.lit(300.0) / side_h)
     return {
         "new_width": F.when(large, F.greatest(shrunk_w, F.lit(400)))
         .when(small, (width * grow).cast("int")).otherwise(width),
@@ -75,15 +76,16 @@ def compress_plan(
         "reason": tier(4),
     }
     if compressed is not None:
-        out["saved_pct"] = (F.lit(1.0) - compressed / size) * 100
-        out["shrink_factor"] = size / compressed
-        out["kept_share"] = compressed / size
+        kept = compressed / F.nullif(size, F.lit(0))
+        out["saved_pct"] = (F.lit(1.0) - kept) * 100
+        out["shrink_factor"] = size / F.nullif(compressed, F.lit(0))
+        out["kept_share"] = kept
     return out
 
 
 def fit_within(width: Column, height: Column, max_w: Column, max_h: Column) -> dict[str, Column]:
     """Dimensions scaled down to a box with the aspect ratio kept."""
-    aspect = width / height
+    aspect = width / F.nullif(height, F.lit(0))
     over = (width > max_w) | (height > max_h)
     by_width = over & (width > height)
     new_w = F.least(max_w, width).cast("double")
@@ -98,6 +100,7 @@ def quality_band(
     laplacian_variance: Column, mean_grey: Column, width: Column, height: Column
 ) -> dict[str, Column]:
     """The eleven quality values from the two pixel statistics and the size."""
+    # Fixed values here and below: weights and limits of the quality score.
     blur = F.least(laplacian_variance / 100, F.lit(1.0))
     blurry = laplacian_variance < 50
     dark, bright = mean_grey < 50, mean_grey > 200

@@ -16,6 +16,11 @@ from kredenz.runtime import with_position
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
 
+# Refusals of a payload, and the least bytes of an image.
+EMPTY_PAYLOAD = "No image data provided"
+SMALL_PAYLOAD = "Data too small to be a valid image"
+MINIMUM_BYTES = 100
+
 
 def _block(seq: Column | str) -> Column:
     return F.shiftright(seq, BLOCK_BITS)
@@ -167,15 +172,15 @@ def image_files(assets: DataFrame) -> DataFrame:
     return assets.where(F.col("mime_type").startswith("image/"))
 
 
-def upload_guard(payloads: DataFrame, minimum: int = 100) -> DataFrame:
+def upload_guard(payloads: DataFrame, minimum: int = MINIMUM_BYTES) -> DataFrame:
     """Why a payload is refused, or null. Passports have no minimum size."""
     n = F.length("content")
     return payloads.withColumn(
         "guard_error",
-        F.when(F.coalesce(n, F.lit(0)) == 0, "No image data provided")
-        .when((F.col("doc_type") == "live") & (n < minimum), "Data too small to be a valid image")
+        F.when(F.coalesce(n, F.lit(0)) == 0, EMPTY_PAYLOAD)
+        .when((F.col("doc_type") == "live") & (n < minimum), SMALL_PAYLOAD)
         .when(
             (F.col("doc_type") == "id") & (n < minimum),
-            F.concat(F.lit("Data too small to be a valid image: "), n.cast("string"), F.lit(" bytes")),
+            F.concat(F.lit(f"{SMALL_PAYLOAD}: "), n.cast("string"), F.lit(" bytes")),
         ),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kredenz.dims import ID_DIGITS
@@ -12,6 +14,27 @@ from kredenz.operators.quality import PHOTO_SEEN
 
 MIN_CONFIDENCE = 0.4
 
+# What the person is told. {found}, {digits} and {missing} are filled in.
+MESSAGES = {
+    "nothing": "No ID card detected. Show your ID to camera.",
+    "missing_of_five": "{found}/5 fields. Missing: {missing}",
+    "missing_of_four": "{found}/4 required. Missing: {missing} (First Name optional)",
+    "digits_with_five": "All 5 fields detected! ID digits: {digits}/14. Adjust angle.",
+    "digits_with_four": "4/4 required fields. ID digits: {digits}/14. Adjust angle.",
+    "no_photo": "All fields + digits detected. Adjust angle to show photo clearly.",
+    "blurry": "All required fields detected but image is blurry. Hold steady.",
+    "dark": "All required fields detected but too dark. Find better lighting.",
+    "ready_with_five": "Perfect! All 5 fields + photo + 14 digits detected.",
+    "ready_with_four": "Perfect! All required fields + photo + 14 digits. Ready!",
+    "other": "All required fields detected. Improve image quality.",
+}
+
+
+def _say(kind: str, **values: Column) -> Column:
+    """A message with its values put in, as one concatenation."""
+    parts = re.split(r"\{(\w+)\}", MESSAGES[kind])
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
 
 def frame_facts(frames: DataFrame, fields: DataFrame, digits: DataFrame) -> DataFrame:
     """Frames with everything readiness and messages need.
@@ -52,37 +75,27 @@ def capture_ready(facts: DataFrame) -> DataFrame:
 
 def capture_message(facts: DataFrame) -> DataFrame:
     """What the person is told about a frame: the first reason that applies."""
-    first = F.col("has_firstName")
-    missing = F.array_join("missing_labels", ", ")
     found, digits = F.col("fields_found").cast("string"), F.col("n_digits").cast("string")
-    incomplete = F.when(first, F.concat(found, F.lit("/5 fields. Missing: "), missing)).otherwise(
-        F.concat(found, F.lit("/4 required. Missing: "), missing, F.lit(" (First Name optional)"))
-    )
-    few_digits = F.concat(
-        F.when(first, "All 5 fields detected!").otherwise("4/4 required fields."),
-        F.lit(" ID digits: "), digits, F.lit("/14. Adjust angle."),
-    )
-    ready = F.when(first, "Perfect! All 5 fields + photo + 14 digits detected.").otherwise(
-        "Perfect! All required fields + photo + 14 digits. Ready!"
-    )
+    missing = F.array_join("missing_labels", ", ")
+
+    def by_first_name(five: str, four: str, **values: Column) -> Column:
+        return F.when(F.col("has_firstName"), _say(five, **values)).otherwise(_say(four, **values))
+
     message = (
-        F.when(F.col("n_detections") == 0, "No ID card detected. Show your ID to camera.")
-        .when(~F.col("all_required"), incomplete)
-        .when(F.col("n_digits") < ID_DIGITS, few_digits)
-        .when(
-            ~F.col("photo_detected"),
-            "All fields + digits detected. Adjust angle to show photo clearly.",
-        )
+        F.when(F.col("n_detections") == 0, _say("nothing"))
         .when(
-            F.col("is_blurry"),
-            "All required fields detected but image is blurry. Hold steady.",
+            ~F.col("all_required"),
+            by_first_name("missing_of_five", "missing_of_four", found=found, missing=missing),
         )
         .when(
-            F.col("is_too_dark"),
-            "All required fields detected but too dark. Find better lighting.",
+            F.col("n_digits") < ID_DIGITS,
+            by_first_name("digits_with_five", "digits_with_four", digits=digits),
         )
-        .when(F.col("ready_for_capture"), ready)
-        .otherwise("All required fields detected. Improve image quality.")
+        .when(~F.col("photo_detected"), _say("no_photo"))
+        .when(F.col("is_blurry"), _say("blurry"))
+        .when(F.col("is_too_dark"), _say("dark"))
+        .when(F.col("ready_for_capture"), by_first_name("ready_with_five", "ready_with_four"))
+        .otherwise(_say("other"))
     )
     return facts.withColumn("message", message)
 

@@ -33,6 +33,7 @@ from kredenz.runtime import in_order
 MICROS = 1_000_000
 TTL_SECONDS = 30
 
+# The answers to sends and checks.
 SENT = "OTP sent successfully!"
 OK = "OTP verified successfully!"
 NONE = "No OTP requested for this phone."

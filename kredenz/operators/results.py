@@ -18,6 +18,15 @@ ARTIFACTS = {
     "mrz_region": "mrz_roi_path",
 }
 
+# File names of the artifacts of a national ID and of a passport.
+ID_ARTIFACTS = {
+    "debug_image_path": "egyptian_id_debug.jpg",
+    "cropped_image_path": "cropped_id_card.jpg",
+    "yolo_output_path": "d2.jpg",
+    "preprocessed_image_path": "preprocessed_image.jpg",
+}
+MRZ_ARTIFACT = "mrz_roi.jpg"
+
 ID_FIELDS = [
     "first_name", "second_name", "full_name", "national_id", "address",
     "birth_date", "governorate", "gender", "serial", "face_image",
@@ -107,7 +116,7 @@ def passport_envelope(seconds: Column, error: Column, fields: list[str] = PASSPO
         error=error,
         debug_info=F.struct(
             ok.alias("mrz_detected"),
-            F.when(ok, "mrz_roi.jpg").alias("mrz_roi_path"),
+            F.when(ok, MRZ_ARTIFACT).alias("mrz_roi_path"),
             F.when(~ok, "No MRZ detected").alias("error"),
         ),
     )
@@ -126,10 +135,7 @@ def id_envelope(seconds: Column, error: Column, fields: list[str] = ID_FIELDS) -
             F.when(F.col("face_image").isNull(), "No face detected in ID image").alias("face_error"),
         ),
         debug_info=F.struct(
-            F.lit("egyptian_id_debug.jpg").alias("debug_image_path"),
-            F.lit("cropped_id_card.jpg").alias("cropped_image_path"),
-            F.lit("d2.jpg").alias("yolo_output_path"),
-            F.lit("preprocessed_image.jpg").alias("preprocessed_image_path"),
+            *[F.lit(name).alias(key) for key, name in ID_ARTIFACTS.items()]
         ),
         total_fields=F.lit(8),
     )

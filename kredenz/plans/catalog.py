@@ -342,7 +342,7 @@ def _resize_plan(t: Inputs) -> DataFrame:
 
 @query
 def _compress_plan(t: Inputs) -> DataFrame:
-    sizes = t.file_sizes().where("bytes > 0")
+    sizes = t.file_sizes()
     plan = compress_plan(F.col("bytes"), 1000, F.floor(F.col("bytes") / 3))
     planned = sizes.select("p_partkey", "width", "height", *_named(plan))
     fit = fit_within(*_box("width", "height", "max_w", "max_h"))

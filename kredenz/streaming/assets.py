@@ -10,24 +10,30 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kredenz.streaming.runs import use_rocksdb
 
-PUBLISHED = "path string, mime_type string, n_chunks bigint, content string, seq bigint"
 
 
 class UploadProcessor(StatefulProcessor):
-    """Collects the chunks of the running upload of each path."""
+    """Collects the chunks of the running upload of each path.
+
+    ``kind`` is the chunks' type, string or binary.
+    """
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.empty = b"" if kind == "binary" else ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getListState("pending", "chunk string")
+        self.pending = handle.getListState("pending", f"chunk {self.kind}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
-        fresh: list[str] = []
+        fresh = []
         published = []
         for row in pdf.itertuples(index=False):
             fresh.append(row.chunk)
             if row.complete:
                 chunks = [c[0] for c in self.pending.get()] + fresh
-                published.append((key[0], row.mime_type, len(chunks), "".join(chunks), row.seq))
+                published.append((key[0], row.mime_type, len(chunks), self.empty.join(chunks), row.seq))
                 self.pending.clear()
                 fresh = []
         if fresh:
@@ -43,8 +49,10 @@ class UploadProcessor(StatefulProcessor):
 def asset_stream(chunks: DataFrame) -> DataFrame:
     """Every completed upload, with the ``seq`` of its completing chunk."""
     use_rocksdb(chunks.sparkSession)
+    kind = chunks.schema["chunk"].dataType.simpleString()
+    published = f"path string, mime_type string, n_chunks bigint, content {kind}, seq bigint"
     return chunks.groupBy("path").transformWithStateInPandas(
-        UploadProcessor(), PUBLISHED, outputMode="append", timeMode="none"
+        UploadProcessor(kind), published, outputMode="append", timeMode="none"
     )
 
 

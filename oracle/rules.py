@@ -335,9 +335,9 @@ rule(
 rule(
     "compress_plan", i.FILE_SIZES,
     """SELECT p_partkey, needs, recommended, target_kb, max_w, max_h, quality, reason,
-         round((1 - (bytes // 3)::DOUBLE / bytes) * 100, 6) AS saved_pct,
+         CASE WHEN bytes > 0 THEN round((1 - (bytes // 3)::DOUBLE / bytes) * 100, 6) END AS saved_pct,
          CASE WHEN bytes // 3 > 0 THEN round(bytes::DOUBLE / (bytes // 3), 6) END AS shrink_factor,
-         round((bytes // 3)::DOUBLE / bytes, 6) AS kept_share,
+         CASE WHEN bytes > 0 THEN round((bytes // 3)::DOUBLE / bytes, 6) END AS kept_share,
          round(CASE WHEN width <= max_w AND height <= max_h THEN width::DOUBLE
            WHEN width > height THEN least(max_w, width)::DOUBLE
            ELSE least(max_h, height) * (width::DOUBLE / height) END, 6) AS fit_w,
@@ -354,7 +354,7 @@ rule(
          'Image is large (>2MB). Compression recommended.',
          'Image is very large (>4MB). Strong compression recommended.'][tier] AS reason
       FROM (SELECT *, bytes / 1048576.0::DOUBLE AS mb, CASE WHEN bytes > 4194304 THEN 4 WHEN bytes > 2097152 THEN 3
-        WHEN bytes > 1048576 THEN 2 ELSE 1 END AS tier FROM file_sizes WHERE bytes > 0) f)""",
+        WHEN bytes > 1048576 THEN 2 ELSE 1 END AS tier FROM file_sizes) f)""",
 )
 rule("path_sanitize", i.PATHS, "SELECT page_id, clean FROM clean_paths")
 rule(

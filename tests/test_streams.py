@@ -17,11 +17,11 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def streamed(spark, table, order, operator):
+def streamed(spark, table, order, operator, slices=4):
     def consume(stream, work):
         drain(to_files(operator(stream), f"{work}/out"), f"{work}/checkpoint")
 
-    work = arrive_in_slices(table, order, consume, slices=4)
+    work = arrive_in_slices(table, order, consume, slices=slices)
     return spark.read.parquet(f"{work}/out")
 
 
@@ -37,6 +37,12 @@ def test_assets(spark, folder):
     assert rows(got) == rows(assets.asset_assemble(chunks).select(*got.columns))
 
 
+def test_assets_with_binary_chunks(spark, folder):
+    chunks = Inputs(spark, folder).asset_chunks().withColumn("chunk", F.col("chunk").cast("binary"))
+    got = latest_assets(streamed(spark, chunks, "seq", asset_stream, slices=2))
+    assert rows(got) == rows(assets.asset_assemble(chunks).select(*got.columns))
+
+
 def test_capture(spark, folder):
     facts = _facts(Inputs(spark, folder)).drop("missing_labels")
     arriving = facts.drop("ready_for_capture").withColumn("arrival", otp.micros())
