@@ -34,11 +34,22 @@ class CaptureProcessor(StatefulProcessor):
         pass
 
 
+def _earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """At most one row per session and batch, before anything is shuffled."""
+    for pdf in batches:
+        yield pdf.sort_values(["ts", "frame_id"]).drop_duplicates("session_id")
+
+
 def capture_stream(facts: DataFrame) -> DataFrame:
-    """First ready frame per session; frames that are not ready never shuffle."""
+    """First ready frame per session.
+
+    Frames that are not ready never shuffle, and a busy session's ready frames
+    are reduced where they are read.
+    """
     use_rocksdb(facts.sparkSession)
     ready = capture_ready(facts).where("ready_for_capture").select("session_id", "frame_id", "ts")
-    return ready.groupBy("session_id").transformWithStateInPandas(
+    first = ready.mapInPandas(_earliest, ready.schema)
+    return first.groupBy("session_id").transformWithStateInPandas(
         CaptureProcessor(), "session_id bigint, frame_id bigint, ts timestamp",
         outputMode="append", timeMode="none",
     )

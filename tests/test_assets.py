@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kredenz.operators import assets
+from kredenz.operators import assets, cases
 
 CHUNKS = "path string, mime_type string, seq bigint, chunk string, complete boolean"
 
@@ -94,3 +94,15 @@ def test_doc_ids_are_dense_in_arrival_order(spark):
     df = spark.createDataFrame([(s,) for s in seqs], "seq bigint").repartition(9)
     got = {r.seq: r.doc_id for r in assets.doc_id_assign(df).collect()}
     assert got == {s: i for i, s in enumerate(sorted(seqs))}
+
+
+def test_ratings_by_position_and_by_id(spark):
+    files = spark.createDataFrame(
+        [("b.png", "image/png", 10), ("a.txt", "text/plain", 11), ("a.png", "image/png", 12)],
+        "path string, mime_type string, doc_id bigint",
+    )
+    ratings = spark.createDataFrame([(1, 0, 2), (2, 0, 5), (3, 12, 6)], "seq int, doc_id bigint, rating int")
+    by_position = {r.path: (r.rating, r.rating_label) for r in cases.rating_join(files, ratings).collect()}
+    assert by_position == {"a.png": (5, "Excellent - Perfect for OCR"), "b.png": (0, "No rating")}
+    by_id = {r.path: (r.rating, r.rating_label) for r in cases.rating_join(files, ratings, key="doc_id").collect()}
+    assert by_id == {"a.png": (6, "No rating"), "b.png": (0, "No rating")}
