@@ -73,6 +73,17 @@ def bbox_globalize(
     }
 
 
+def photo_region(
+    x1: Column, y1: Column, x2: Column, y2: Column, img_width: Column, img_height: Column,
+    share: float = 0.30,
+) -> dict[str, Column]:
+    """The left part of a card crop, where the photo is, in image coordinates."""
+    zero = F.lit(0)
+    return bbox_globalize(
+        zero, zero, _scaled(x2 - x1, share), y2 - y1, x1, y1, img_width, img_height
+    )
+
+
 def nid_band(y1: Column, y2: Column, img_height: Column) -> dict[str, Column]:
     """Live number region: a quarter of the height more on both sides, clipped."""
     extra = _scaled(y2 - y1, 0.25)

@@ -53,10 +53,18 @@ def resize_plan(width: Column, height: Column) -> dict[str, Column]:
     }
 
 
+DEFAULT_MAX_KB = 1000
+
+
 def compress_plan(
-    size: Column, max_kb: int = 1000, compressed: Column | None = None
+    size: Column, compressed: Column | None = None, **chosen: float
 ) -> dict[str, Column]:
-    """Whether an image must be compressed, and to what, from its size in bytes."""
+    """Whether an image must be compressed, and to what, from its size in bytes.
+
+    ``chosen`` may set ``target_kb``, ``max_w``, ``max_h`` and ``quality``; a
+    chosen value goes before the recommended one, and a chosen ``target_kb`` is
+    also the limit above which compression is needed.
+    """
     mb = size / F.lit(MB)
 
     def tier(index: int) -> Column:
@@ -67,7 +75,7 @@ def compress_plan(
         return chain.otherwise(COMPRESSION_NONE[index - 1])
 
     out = {
-        "needs": size > max_kb * 1024,
+        "needs": size > chosen.get("target_kb", DEFAULT_MAX_KB) * 1024,
         "recommended": mb > 1,
         "target_kb": tier(1),
         "max_w": tier(2),
@@ -75,6 +83,7 @@ def compress_plan(
         "quality": tier(3),
         "reason": tier(4),
     }
+    out.update({name: F.lit(value) for name, value in chosen.items()})
     if compressed is not None:
         kept = compressed / F.nullif(size, F.lit(0))
         out["saved_pct"] = (F.lit(1.0) - kept) * 100

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kredenz.dims import FIELDS
-from kredenz.functions.boxes import bbox_expand, bbox_globalize, bbox_pad_card, nid_band
+from kredenz.functions.boxes import bbox_expand, bbox_globalize, bbox_pad_card, nid_band, photo_region
 from kredenz.functions.images import compress_plan, fit_within, resize_plan
 from kredenz.functions.mrz import mrz_clean, mrz_date, mrz_sex
 from kredenz.functions.numbers import exact_round
@@ -330,6 +330,13 @@ def _bbox_globalize(t: Inputs) -> DataFrame:
     return t.detections().select(*KEYS, *_named(bbox_globalize(*sides, *offsets, *size)))
 
 
+@query
+def _photo_region(t: Inputs) -> DataFrame:
+    sides, size = _box("x1", "y1", "x2", "y2"), _box("img_width", "img_height")
+    crops = t.detections().withColumns(bbox_pad_card(*sides, *size, flat=20))
+    return crops.select(*KEYS, *_named(photo_region(*sides, *size)))
+
+
 @query
 def _nid_band(t: Inputs) -> DataFrame:
     return t.detections().select(*KEYS, *_named(nid_band(*_box("y1", "y2", "img_height"))))
@@ -343,7 +350,7 @@ def _resize_plan(t: Inputs) -> DataFrame:
 @query
 def _compress_plan(t: Inputs) -> DataFrame:
     sizes = t.file_sizes()
-    plan = compress_plan(F.col("bytes"), 1000, F.floor(F.col("bytes") / 3))
+    plan = compress_plan(F.col("bytes"), F.floor(F.col("bytes") / 3))
     planned = sizes.select("p_partkey", "width", "height", *_named(plan))
     fit = fit_within(*_box("width", "height", "max_w", "max_h"))
     rounded = {
@@ -448,6 +455,19 @@ def capture_readiness(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def capture_from_pixels(t: Inputs) -> DataFrame:
+    """Frames whose pictures are the embeddings' pixels; the others failed to load."""
+    shots = t.frames().withColumn("image_id", F.col("frame_id"))
+    rows = flows.capture_from_pixels(
+        shots.select("frame_id", "session_id", "ts", "image_id"), t.pixels(), t.image_sizes(),
+        t.frame_fields(), t.frame_digits(),
+    )
+    return rows.select(
+        "frame_id", "error", "quality_level", "photo_detected", "ready_for_capture", "message"
+    )
+
+
 # -- faces ----------------------------------------------------------------
 
 

@@ -15,7 +15,9 @@ from kredenz.operators.documents import (
     country_lookup, decode_ids, governorate_lookup, parse_passports, record_defaults,
 )
 from kredenz.operators.faces import face_pair_join, face_similarity
+from kredenz.operators.quality import image_quality, photo_variance
 from kredenz.operators.results import ID, PASSPORT, envelope_write, result_upsert
+from kredenz.sources.images import LOAD_ERROR
 
 
 def national_id_records(detections: DataFrame, digits: DataFrame, images: DataFrame) -> DataFrame:
@@ -97,6 +99,30 @@ def capture_readiness(frames: DataFrame, fields: DataFrame, digits: DataFrame) -
     return capture_message(capture_ready(frame_facts(frames, usable, digits)))
 
 
+def capture_from_pixels(
+    shots: DataFrame, pixels: DataFrame, sizes: DataFrame, fields: DataFrame, digits: DataFrame
+) -> DataFrame:
+    """Readiness of camera shots whose quality is measured from their pixels.
+
+    ``shots`` has ``frame_id, session_id, ts, image_id``. A shot without a
+    readable image is not judged and carries an error.
+    """
+    graded = image_quality(pixels, sizes).select(
+        "image_id", "quality_level", "is_blurry", "is_too_dark"
+    )
+    photos = photo_variance(pixels, sizes).select(
+        "image_id", F.coalesce("variance", F.lit(0.0)).alias("photo_variance")
+    )
+    cards = sizes.select("image_id", "card_found")
+    measured = graded.join(photos, "image_id").join(cards, "image_id")
+    frames = shots.join(measured, "image_id", "left").withColumn(
+        "error", F.when(F.col("quality_level").isNull(), LOAD_ERROR)
+    )
+    judged = capture_readiness(frames, fields, digits)
+    results = ["photo_detected", "ready_for_capture", "message"]
+    return judged.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in results})
+
+
 def face_verification(id_faces: DataFrame, live_faces: DataFrame, threshold: float = 0.7) -> DataFrame:
     return face_similarity(face_pair_join(id_faces, live_faces), threshold)
 

@@ -303,6 +303,15 @@ rule(
        FROM (SELECT * REPLACE ((x1 + l_suppkey % 40)::INTEGER AS x1, (y1 + l_partkey % 30)::INTEGER AS y1,
          (x2 + l_suppkey % 40)::INTEGER AS x2, (y2 + l_partkey % 30)::INTEGER AS y2) FROM det)""",
 )
+rule(
+    "photo_region", i.DETECTIONS,
+    f"""SELECT {_KEYS}, x1, y1, x1 + w AS x2, y1 + h AS y2, printf('%.3f', x1::DOUBLE / 800)::DOUBLE AS x1_norm,
+         printf('%.3f', y1::DOUBLE / 600)::DOUBLE AS y1_norm, printf('%.3f', (x1 + w)::DOUBLE / 800)::DOUBLE AS x2_norm,
+         printf('%.3f', (y1 + h)::DOUBLE / 600)::DOUBLE AS y2_norm, w AS width, h AS height
+       FROM (SELECT *, trunc((x2 - x1) * 0.3::DOUBLE)::INTEGER AS w, y2 - y1 AS h FROM (SELECT * REPLACE (
+         greatest(0, x1 - 20) AS x1, greatest(0, y1 - 20) AS y1, least(800, x2 + 20) AS x2, least(600, y2 + 20) AS y2)
+         FROM det))""",
+)
 rule(
     "nid_band", i.DETECTIONS,
     f"""SELECT {_KEYS}, greatest(0, y1 - trunc((y2 - y1) * 0.25::DOUBLE)::INTEGER) AS y1,
@@ -430,6 +439,24 @@ rule(
        FROM messages""",
 )
 
+rule(
+    "capture_from_pixels", i.PIXELS,
+    """SELECT frame_id, CASE WHEN quality_level IS NULL THEN 'Could not load image' END AS error, quality_level,
+         CASE WHEN quality_level IS NOT NULL THEN photo_detected END AS photo_detected,
+         CASE WHEN quality_level IS NOT NULL THEN ready_for_capture END AS ready_for_capture,
+         CASE WHEN quality_level IS NOT NULL THEN message END AS message
+       FROM messages""",
+    _EDGES,
+    """left_parts AS (SELECT image_id, (count(*) * sum(g * g) - sum(g) * sum(g))::DOUBLE / (count(*) * count(*)) AS v
+      FROM pixels WHERE x < 2 GROUP BY image_id)""",
+    i.FRAMES.replace(i.FRAMES[: i.FRAMES.index("), frame_fields AS (")], """frames AS (
+      SELECT event_id AS frame_id, user_id AS session_id, ts, CASE WHEN card_found THEN v ELSE 0 END AS photo_variance,
+        card_found, quality_level, is_blurry, is_too_dark
+      FROM events LEFT JOIN (SELECT * FROM levels JOIN left_parts USING (image_id)
+        JOIN (SELECT image_id, card_found FROM image_sizes) USING (image_id)) ON image_id = event_id
+    """),
+)
+
 # -- faces ----------------------------------------------------------------
 
 _NO_FACE = "'Face not detected in one of the images'"

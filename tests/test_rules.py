@@ -153,6 +153,24 @@ def test_compress_plan(spark, size, target, needs):
     assert got["recommended"] == (size > 1 << 20)
 
 
+def test_chosen_sizes_go_first(spark):
+    got = one(spark, images.compress_plan(F.col("b"), target_kb=500, quality=0.6), b=600 * 1024)
+    assert (got["needs"], got["target_kb"], got["quality"], got["max_w"]) == (True, 500, 0.6, 1600)
+
+
+def test_empty_sizes_do_not_fail(spark):
+    plan = images.compress_plan(F.col("b"), F.lit(0))
+    assert one(spark, plan, b=0)["saved_pct"] is None
+    assert one(spark, images.resize_plan(F.col("w"), F.col("h")), w=0, h=0)["action"] == "enlarge"
+
+
+def test_photo_region(spark):
+    sides = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    got = one(spark, boxes.photo_region(*sides, F.lit(800), F.lit(600)), x1=80, y1=60, x2=589, y2=360)
+    assert [got[c] for c in ("x1", "y1", "x2", "y2", "width", "height")] == [80, 60, 232, 360, 152, 300]
+    assert [got[f"{c}_norm"] for c in ("x1", "y1", "x2", "y2")] == [0.1, 0.1, 0.29, 0.6]
+
+
 def test_fit_within(spark):
     fit = images.fit_within(F.col("w"), F.col("h"), F.lit(1200), F.lit(1200))
     assert one(spark, fit, w=2400, h=1200) == {"fit_w": 1200.0, "fit_h": 600.0}
