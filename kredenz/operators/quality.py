@@ -117,25 +117,25 @@ def _image_statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             rows.append(
                 (
                     r.path,
+                    r.width,
+                    r.height,
                     float(n * int((edges * edges).sum()) - int(edges.sum()) ** 2) / (n * n),
                     float(int(g.sum()) / n),
                     float(left.var()) if left.size else None,
                 )
             )
         yield pd.DataFrame(
-            rows, columns=["path", "laplacian_variance", "mean_grey", "photo_variance"]
+            rows, columns=["path", "width", "height", "laplacian_variance", "mean_grey", "photo_variance"]
         )
 
 
 def image_rows_quality(images: DataFrame) -> DataFrame:
-    """The same values from decoded image rows (see ``sources.images``)."""
-    stats = images.where("error IS NULL").select("path", "height", "width", "nChannels", "data")
-    sized = images.select("path", "width", "height")
-    measured = stats.mapInPandas(
+    """The same values from decoded image rows (see ``sources.images``), without a shuffle."""
+    readable = images.where("error IS NULL").select("path", "height", "width", "nChannels", "data")
+    measured = readable.mapInPandas(
         _image_statistics,
-        "path string, laplacian_variance double, mean_grey double, photo_variance double",
+        "path string, width int, height int, laplacian_variance double, mean_grey double, "
+        "photo_variance double",
     )
     band = quality_band(*[F.col(c) for c in ("laplacian_variance", "mean_grey", "width", "height")])
-    return measured.join(sized, "path").select(
-        "path", *[c.alias(name) for name, c in band.items()], "photo_variance"
-    )
+    return measured.select("path", *[c.alias(name) for name, c in band.items()], "photo_variance")

@@ -164,7 +164,8 @@ def envelope_write(t: Inputs) -> DataFrame:
 
 @query
 def decode_national_id(t: Inputs) -> DataFrame:
-    return documents.decode_ids(t.national_ids())
+    decoded = documents.decode_ids(t.national_ids())
+    return decoded.withColumn("birth_date_valid", F.col("birth_date_valid").cast("string"))
 
 
 @query

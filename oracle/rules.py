@@ -144,7 +144,7 @@ rule(
 rule(
     "decode_national_id", i.DECODED,
     """SELECT person_id, id_number, birth_date, governorate_code, gender, decode_status,
-         try_cast(CASE WHEN decode_status = 'ok' THEN birth_date END AS DATE) AS birth_date_valid FROM decoded""",
+         try_cast(CASE WHEN decode_status = 'ok' THEN birth_date END AS DATE)::VARCHAR AS birth_date_valid FROM decoded""",
 )
 rule(
     "governorate_lookup", i.DECODED,
@@ -534,8 +534,8 @@ rule("review_unpivot", i.CASES, "SELECT case_id, label, value FROM review")
 rule(
     "case_review", i.CASES,
     """SELECT case_id, label, value, status,
-         CASE status WHEN 'completed' THEN 100 WHEN 'otp_verified' THEN 64 WHEN 'document_verified' THEN 43
-           WHEN 'document_uploaded' THEN 21 WHEN NULL THEN NULL ELSE CASE WHEN status IS NOT NULL THEN 0 END END
+         (CASE status WHEN 'completed' THEN 100 WHEN 'otp_verified' THEN 64 WHEN 'document_verified' THEN 43
+           WHEN 'document_uploaded' THEN 21 ELSE CASE WHEN status IS NOT NULL THEN 0 END END)::BIGINT
            AS progress_pct
        FROM review LEFT JOIN current_status USING (case_id)""",
     i.STATUS,
