@@ -167,21 +167,40 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+# Images with more digit boxes than this are assembled column by column.
+CROWD = 10_000
+
+
 def digit_assemble(digits: DataFrame, key: str = "image_id") -> DataFrame:
     """ID number from digit boxes, left to right; ties in arrival order.
 
-    Digits are first put together per pixel column, which spreads an image with
-    very many boxes over many tasks; the second step joins at most one piece per
-    column.
+    An ordinary image is one short list. The few crowded ones are put together
+    per pixel column first, which spreads each over many tasks, and then from at
+    most one piece per column. A count with partial sums tells them apart; there
+    are at most ``rows / CROWD`` of them.
     """
-    columns = digits.groupBy(key, "x1").agg(
-        F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
-        F.count("*").alias("n"),
+    crowded = digits.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(key)
+    text = F.col("digit").cast("string")
+    boxes = F.array_sort(F.collect_list(F.struct("x1", "det_seq", text.alias("digit"))))
+    few = digits.join(crowded, key, "left_anti").groupBy(key).agg(boxes.alias("boxes"))
+    columns = (
+        digits.join(crowded, key, "left_semi")
+        .groupBy(key, "x1")
+        .agg(
+            F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
+            F.count("*").alias("n"),
+        )
     )
-    return columns.groupBy(key).agg(
+    many = columns.groupBy(key).agg(
         F.expr("listagg(piece) WITHIN GROUP (ORDER BY x1)").alias("id_number"),
         F.sum("n").alias("n_digits"),
     )
+    short = few.select(
+        key,
+        F.array_join("boxes.digit", "").alias("id_number"),
+        F.size("boxes").cast("bigint").alias("n_digits"),
+    )
+    return short.unionByName(many)
 
 
 # Record column of each text class.

@@ -1,12 +1,14 @@
 """One key holds a third of all rows: same values as SQL, and no block is left large."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from check_oracle import compare, tables
 from pyspark.sql import functions as F
 
+from kredenz.operators import detections
 from kredenz.operators.otp import micros
 from kredenz.runtime import in_order, with_position
 from kredenz.sources.tables import Inputs
@@ -46,6 +48,22 @@ def test_values_with_a_hot_key(spark, hot_folder, name):
     assert compare(spark, tables(hot_folder), hot_folder, name) == ""
 
 
+def test_crowded_images_read_like_the_others(spark, monkeypatch):
+    """Digits come out the same on both routes, ties included."""
+    rng = random.Random(2)
+    boxes = [(rng.choice([1, 1, 1, 2, 3]), i, rng.randrange(10), rng.randrange(12)) for i in range(900)]
+    digits = spark.createDataFrame(boxes, "image_id int, det_seq int, digit int, x1 int")
+    expected = {
+        image: "".join(str(d) for m, _, d, _ in sorted(boxes, key=lambda b: (b[3], b[1])) if m == image)
+        for image in (1, 2, 3)
+    }
+    for crowd in (0, 300, 10_000):
+        monkeypatch.setattr(detections, "CROWD", crowd)
+        rows = detections.digit_assemble(digits).collect()
+        assert {r.image_id: r.id_number for r in rows} == expected
+        assert {r.image_id: r.n_digits for r in rows} == {k: len(v) for k, v in expected.items()}
+
+
 def test_a_hot_phone_fills_many_even_blocks(spark, hot_folder):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     try:
