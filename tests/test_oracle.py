@@ -6,7 +6,7 @@ from check_oracle import compare
 from __spark_entry__ import entry, oracle_sql, queries
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query_matches_sql(spark, db, folder, name):
     assert compare(spark, db, folder, name) == ""
 
