@@ -167,40 +167,23 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-# Images with more digit boxes than this are assembled column by column.
-CROWD = 10_000
-
-
-def digit_assemble(digits: DataFrame, key: str = "image_id") -> DataFrame:
+def digit_assemble(digits: DataFrame, *keys: str) -> DataFrame:
     """ID number from digit boxes, left to right; ties in arrival order.
 
-    An ordinary image is one short list. The few crowded ones are put together
-    per pixel column first, which spreads each over many tasks, and then from at
-    most one piece per column. A count with partial sums tells them apart; there
-    are at most ``rows / CROWD`` of them.
+    Boxes are put together per pixel column first, so the boxes of one image are
+    dealt out by ``(image, x1)``, then from one piece for each column. ``keys`` tell
+    the groups apart; an image by default.
     """
-    crowded = digits.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(key)
-    text = F.col("digit").cast("string")
-    boxes = F.array_sort(F.collect_list(F.struct("x1", "det_seq", text.alias("digit"))))
-    few = digits.join(crowded, key, "left_anti").groupBy(key).agg(boxes.alias("boxes"))
-    columns = (
-        digits.join(crowded, key, "left_semi")
-        .groupBy(key, "x1")
-        .agg(
-            F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
-            F.count("*").alias("n"),
-        )
+    keys = keys or ("image_id",)
+    # An exchange on all of the keys: the columns of a crowded image go to many tasks.
+    columns = digits.groupBy(*keys, "x1").agg(
+        F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
+        F.count("*").alias("n"),
     )
-    many = columns.groupBy(key).agg(
+    return columns.groupBy(*keys).agg(
         F.expr("listagg(piece) WITHIN GROUP (ORDER BY x1)").alias("id_number"),
         F.sum("n").alias("n_digits"),
     )
-    short = few.select(
-        key,
-        F.array_join("boxes.digit", "").alias("id_number"),
-        F.size("boxes").cast("bigint").alias("n_digits"),
-    )
-    return short.unionByName(many)
 
 
 # Record column of each text class.
@@ -222,9 +205,14 @@ def last_texts(usable: Column | None = None) -> list[Column]:
     return [last(name).alias(column) for column, name in LAST_TEXTS.items()]
 
 
-def field_last_wins(detections: DataFrame) -> DataFrame:
-    """Text of the last box of each class, and the two-part full name."""
-    rows = detections.groupBy("image_id").agg(*last_texts())
+def field_last_wins(detections: DataFrame, images: DataFrame) -> DataFrame:
+    """Text of the last box of each class, and the two-part full name.
+
+    An image without boxes has empty texts.
+    """
+    texts = detections.groupBy("image_id").agg(*last_texts())
+    rows = images.select("image_id").join(texts, "image_id", "left")
+    rows = rows.select("image_id", *[F.coalesce(c, F.lit("")).alias(c) for c in LAST_TEXTS])
     return rows.withColumn("full_name", F.concat("first_name", F.lit(" "), "second_name"))
 
 

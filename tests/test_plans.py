@@ -6,10 +6,12 @@ import pytest
 
 from kredenz.plans.catalog import QUERIES
 
-STREAMS = {"otp_stream", "asset_stream", "capture_stream", "result_upsert_stream"}
 # One task sees one row per shuffle partition here, never the data.
 OFFSETS = {"doc_id_assign", "rating_join"}
-PYTHON = {"otp_replay", "verified_phones", "otp_state", "image_adjust", "apply_detector"}
+PYTHON = {
+    "otp_replay", "verified_phones", "otp_state", "image_adjust", "apply_detector", "image_quality",
+    "photo_variance", "image_rows_quality", "capture_from_pixels", "capture_result",
+}
 
 
 def plan_of(df):
@@ -24,7 +26,7 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMS - {"image_scan"}))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(shuffled, folder, name):
     plan = plan_of(QUERIES[name](shuffled, folder))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -57,3 +59,24 @@ def test_latest_keeps_partial_aggregates(shuffled, folder):
         assert "partial_" in plan_of(QUERIES[name](shuffled, folder)), name
     bounds = plan_of(QUERIES["asset_list"](shuffled, folder))
     assert re.search(r"WindowGroupLimit[^\n]*Partial", bounds)
+
+
+def test_digits_are_dealt_by_image_and_column(shuffled, folder):
+    """Two exchanges, no join: the first on image and column, the second of short pieces."""
+    plan = plan_of(QUERIES["digit_assemble"](shuffled, folder))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    assert [re.sub(r"#\d+L?", "", k) for k in keys] == ["image_id", "image_id, x1"]
+    assert "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_pixels_are_not_shuffled(shuffled, folder):
+    for name in ("image_quality", "photo_variance", "image_rows_quality"):
+        assert "Exchange" not in plan_of(QUERIES[name](shuffled, folder)), name
+
+
+def test_replay_is_one_plan_by_block(shuffled, folder):
+    """Nothing runs while the replay is built, and its rows are dealt by phone and block."""
+    plan = plan_of(QUERIES["otp_replay"](shuffled, folder))
+    assert plan.count("FileScan") == 2 and "RDD" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(phone#\d+, block#\d+L?, \d+\)", plan)) >= 2
+    assert plan.count("MapInPandas") == 3
