@@ -1,21 +1,19 @@
 """One-time codes: replaying each phone's sends and checks in time order.
 
 The outcome of an event depends on the code state its phone is in, so a phone's
-history is a running fold. Grouping by phone would put a busy phone's whole
-history into one task. The history is range-sorted on ``(phone, ts, event_id)``
-instead, which cuts a busy phone into many blocks, and every block is folded on
-its own:
-
-1. find the blocks whose last phone goes on in the next block; for that phone's
-   rows in them, work out what state the block would be left in if a given send
-   were accepted, and keep the rows of one code lifetime from the start, because
-   the first send accepted in the block must be among them;
-2. walk over those short openings phone by phone: the first send accepted in a
-   block decides the state handed to the next one;
-3. fold every block once from what it was handed and emit the outcomes.
-
-All three steps are exact for every history; step 2 reads openings only, a small
-share of a busy phone's rows.
+history is a running fold. Histories are cut into blocks of ``WINDOW`` code lifetimes,
+``(phone, time div window)``, and dealt out by block, so a busy phone is folded in many
+tasks:
+
+1. each block gives its opening: the sends up to the first that is accepted whatever
+   the block was handed, with the state the block is left in if that send is the first
+   accepted one, and the first check of each code within one lifetime of the block's
+   first event (a handed code is dead after that);
+2. a walk over the openings of a phone, in order, tells what each block is handed;
+3. each block is folded once from what it was handed, joined to its rows as a table.
+
+All steps are exact for every history. The walk reads openings only: the events of one
+lifetime of each block at most, and of those one check for each code.
 """
 
 from __future__ import annotations
@@ -28,10 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kredenz.runtime import in_order
-
 MICROS = 1_000_000
 TTL_SECONDS = 30
+WINDOW = 20  # code lifetimes in a block
 
 # The answers to sends and checks.
 SENT = "OTP sent successfully!"
@@ -40,46 +37,46 @@ NONE = "No OTP requested for this phone."
 EXPIRED = "OTP expired."
 INVALID = "Invalid OTP."
 WAIT = "OTP already sent. Please wait {} seconds."
+REFUSED, FAILED = "Twilio error ", "HTTP request failed: "
 
-OUTCOMES = "event_id bigint, phone string, action string, code string, micros bigint, success boolean, message string"
+OUTCOMES = (
+    "event_id bigint, phone string, action string, code string, micros bigint, success boolean, "
+    "message string, stored boolean"
+)
 OPENINGS = (
-    "phone string, block bigint, row bigint, action string, micros bigint, code string, "
+    "phone string, block bigint, place bigint, action string, micros bigint, code string, "
     "left_code string, left_expiry bigint"
 )
-HAND_OVERS = "block bigint, phone string, code string, expiry bigint"
+HAND_OVERS = "phone string, block bigint, handed_code string, handed_expiry bigint"
 
 State = tuple[str, int] | None  # code and expiry in microseconds
 
 
-def step(state: State, action: str, now: int, code: str, ttl: int) -> tuple[State, bool, str]:
-    """Next state, success and message of one event; times in microseconds."""
+def step(state: State, action: str, now: int, code: str, ttl: int, error: str | None = None) -> tuple[State, bool, str, bool]:
+    """Next state, success, message and whether a code was stored; times in microseconds.
+
+    ``error`` is the provider's answer to a send that it did not deliver: the code is
+    stored all the same and its waiting time runs.
+    """
     if action == "send":
         if state and now < state[1]:
-            return state, False, WAIT.format((state[1] - now) // MICROS)
-        return (code, now + ttl), True, SENT
+            return state, False, WAIT.format((state[1] - now) // MICROS), False
+        return (code, now + ttl), error is None, SENT if error is None else error, True
     if state is None:
-        return state, False, NONE
+        return state, False, NONE, False
     if now > state[1]:
-        return state, False, EXPIRED
+        return state, False, EXPIRED, False
     if code != state[0]:
-        return state, False, INVALID
-    return None, True, OK
-
-
-class _Fold:
-    """Running state over rows sorted by phone and time."""
+        return state, False, INVALID, False
+    return None, True, OK, False
 
-    def __init__(self, ttl: int, phone: str | None = None, state: State = None):
-        self.ttl, self.phone, self.state = ttl, phone, state
 
-    def run(self, pdf: pd.DataFrame) -> list[tuple[bool, str]]:
-        out = []
-        for phone, action, now, code in zip(pdf.phone, pdf.action, pdf.micros, pdf.code):
-            if phone != self.phone:
-                self.phone, self.state = phone, None
-            self.state, success, message = step(self.state, action, now, code, self.ttl)
-            out.append((success, message))
-        return out
+def delivery_error(status: Column, body: Column, failure: Column) -> Column:
+    """What a send answers if the provider refused it or was not reached; null if delivered."""
+    refused = ~F.coalesce(status.isin(200, 201), F.lit(False))
+    return F.when(failure.isNotNull(), F.concat(F.lit(FAILED), failure)).when(
+        refused, F.concat(F.lit(REFUSED), F.coalesce(status, F.lit(0)).cast("string"), F.lit(": "), F.coalesce(body, F.lit("")))
+    )
 
 
 def left_with(micros: np.ndarray, sends: np.ndarray, codes: list[str], ttl: int) -> np.ndarray:
@@ -114,116 +111,125 @@ def left_with(micros: np.ndarray, sends: np.ndarray, codes: list[str], ttl: int)
     return answer
 
 
-def _openings(ttl: int):
-    """The rows in which a block's first accepted send must lie, with its effect."""
+Block = tuple[str, int, list[str], list[int], list[str]]  # phone, block, then action, micros, code of its events
+
+
+def opening(block: Block, ttl: int) -> Iterator[tuple]:
+    """The events of a block that can decide what it makes of the state it is handed."""
+    phone, number, actions, times, codes = block
+    micros, sends = np.array(times, np.int64), np.array([a == "send" for a in actions])
+    held = left_with(micros, sends, codes, ttl)
+    seen = set()
+    for k, (action, now, code) in enumerate(zip(actions, times, codes)):
+        surely = now >= times[0] + ttl
+        if action == "send":
+            left = (codes[held[k]], times[held[k]] + ttl) if held[k] >= 0 else (None, None)
+            yield phone, number, k, action, now, code, *left
+            if surely:
+                return
+        elif code not in seen and now <= times[0] + ttl:
+            seen.add(code)
+            yield phone, number, k, action, now, code, None, None
+
 
+def _openings(ttl: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [pdf for pdf in batches if not pdf.empty]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        micros, sends = pdf.micros.to_numpy(), (pdf.action == "send").to_numpy()
-        held = left_with(micros, sends, pdf.code.tolist(), ttl)
-        # A state handed in expires at most one lifetime after the first row.
-        surely = np.flatnonzero(sends & (micros >= micros[0] + ttl))
-        opening = pdf.iloc[: surely[0] + 1 if len(surely) else len(pdf)]
-        left = held[: len(opening)]
-        yield opening.assign(
-            block=opening["_block"],
-            row=opening["_row"],
-            left_code=pdf.code.iloc[left].where(left >= 0, None).to_numpy(),
-            left_expiry=pd.array(np.where(left >= 0, micros[left] + ttl, 0), dtype="Int64"),
-        )[["phone", "block", "row", "action", "micros", "code", "left_code", "left_expiry"]]
+        now: Block | None = None
+        for pdf in batches:
+            out = []
+            for phone, number, action, micros, code in zip(pdf.phone, pdf.block, pdf.action, pdf.micros, pdf.code):
+                if now is None or (phone, number) != now[:2]:
+                    if now is not None:
+                        out.extend(opening(now, ttl))
+                    now = (phone, number, [], [], [])
+                for values, value in zip(now[2:], (action, micros, code)):
+                    values.append(value)
+            yield _frame(out, OPENINGS)
+        if now is not None:
+            yield _frame(list(opening(now, ttl)), OPENINGS)
 
     return run
 
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    kinds = [f.split() for f in schema.split(", ")]
+    columns = {name: [r[k] for r in rows] for k, (name, _) in enumerate(kinds)}
+    return pd.DataFrame({n: pd.array(columns[n], "Int64") if kind == "bigint" else pd.Series(columns[n], dtype=object) for n, kind in kinds})
+
+
 def _walk(ttl: int):
-    """The state each block leaves its last phone in, from the openings in order."""
+    """The state each block is handed, from the openings of a phone in order."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, state, decided, out = (None, None), None, False, []
+        here, state, decided = (None, None), None, False
         for pdf in batches:
+            out = []
             for row in pdf.itertuples(index=False):
                 if (row.phone, row.block) != here:
-                    if here[0] is not None:
-                        out.append((here[1], here[0], *(state or (None, None))))
-                    if row.phone != here[0]:
-                        state = None
+                    state = state if row.phone == here[0] else None
                     here, decided = (row.phone, row.block), False
+                    if state:
+                        out.append((row.phone, row.block, *state))
                 if decided:
                     continue
-                state, success, _ = step(state, row.action, row.micros, row.code, ttl)
-                if success and row.action == "send":
+                state, _, _, stored = step(state, row.action, row.micros, row.code, ttl)
+                if stored:
                     decided = True
                     state = None if row.left_code is None else (row.left_code, int(row.left_expiry))
-        if here[0] is not None:
-            out.append((here[1], here[0], *(state or (None, None))))
-        yield pd.DataFrame(out, columns=["block", "phone", "code", "expiry"]).astype({"expiry": "Int64"})
+            yield _frame(out, HAND_OVERS)
 
     return run
 
 
-def _outcomes(ttl: int, handed: dict[int, tuple]):
+def _outcomes(ttl: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = None
+        here, state = (None, None), None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            if fold is None:
-                fold = _Fold(ttl, *handed.get(int(pdf["_block"].iloc[0]), (None, None)))
-            results = fold.run(pdf)
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.phone, r.block) != here:
+                    here = (r.phone, r.block)
+                    state = None if r.handed_code is None else (r.handed_code, int(r.handed_expiry))
+                state, *result = step(state, r.action, r.micros, r.code, ttl, r.delivery_error)
+                out.append(result)
             yield pdf[["event_id", "phone", "action", "code", "micros"]].assign(
-                success=[s for s, _ in results], message=[m for _, m in results]
+                success=[o[0] for o in out], message=[o[1] for o in out], stored=[o[2] for o in out]
             )
 
     return run
 
 
-def _settle(ordered: DataFrame, ttl: int) -> dict[int, tuple]:
-    """Phone and state every block is handed by the block before it.
-
-    What is collected is one row per shuffle partition, never one per event.
-    """
-    phones = F.min("phone").alias("first"), F.max("phone").alias("last")
-    edges = sorted(ordered.groupBy("_block").agg(*phones).collect())
-    follower = {a[0]: (a.last, b[0]) for a, b in zip(edges, edges[1:]) if a.last == b.first}
-    if not follower:
-        return {}
-    carriers = ordered.sparkSession.createDataFrame(
-        [(block, phone) for block, (phone, _) in follower.items()], "_block bigint, phone string"
-    )
-    # One row per partition at most, so the broadcast is bounded.
-    carried = ordered.join(F.broadcast(carriers), ["_block", "phone"])
-    openings = carried.mapInPandas(_openings(ttl), OPENINGS)
-    walked = (
-        openings.repartition("phone")
-        .sortWithinPartitions("phone", "block", "row")
-        .mapInPandas(_walk(ttl), HAND_OVERS)
-    )
-    return {
-        follower[r.block][1]: (r.phone, (r.code, r.expiry)) for r in walked.collect() if r.code is not None
-    }
-
-
 def micros(ts: str | Column = "ts") -> Column:
     """Microseconds of a timestamp with or without a time zone."""
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts)
 
 
 def otp_replay(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """Outcome of every event: ``success`` and ``message``.
+    """Outcome of every event: ``success``, ``message`` and whether a code was ``stored``.
 
     A send is refused while the phone's code is still running; otherwise it
-    starts a new code. A check after expiry answers expired and keeps the code;
-    at the very moment of expiry a check still passes and a send is allowed.
+    starts a new code, also if it was not delivered (``delivery_error`` of the
+    event, if there is such a column). A check after expiry answers expired and
+    keeps the code; at the very moment of expiry a check still passes and a send is
+    allowed.
     """
     ttl = ttl_seconds * MICROS
-    ordered = in_order(
-        events.select("event_id", "phone", "action", "code", micros().alias("micros")),
-        "phone", "micros", "event_id",
+    rows = code_events(events).withColumn("block", F.floor(F.col("micros") / (WINDOW * ttl)))
+    order = ["phone", "block", "micros", "event_id"]
+    blocks = rows.select("phone", "block", "micros", "event_id", "action", "code").repartition("phone", "block")
+    openings = blocks.sortWithinPartitions(*order).mapInPandas(_openings(ttl), OPENINGS)
+    walked = openings.repartition("phone").sortWithinPartitions("phone", "block", "place")
+    handed = walked.mapInPandas(_walk(ttl), HAND_OVERS)
+    joined = rows.join(handed, ["phone", "block"], "left")
+    return joined.sortWithinPartitions(*order).mapInPandas(_outcomes(ttl), OUTCOMES)
+
+
+def code_events(events: DataFrame) -> DataFrame:
+    """The columns that a replay reads."""
+    error = F.col("delivery_error") if "delivery_error" in events.columns else F.lit(None)
+    return events.select(
+        "event_id", "phone", "action", "code", micros().alias("micros"), error.cast("string").alias("delivery_error")
     )
-    return ordered.mapInPandas(_outcomes(ttl, _settle(ordered, ttl)), OUTCOMES)
 
 
 def verified_phones(outcomes: DataFrame) -> DataFrame:
@@ -236,10 +242,11 @@ def otp_state(
 ) -> DataFrame:
     """Codes held at a moment, with whole seconds left (0 when past).
 
-    A phone's state is set by its last accepted send or passed check, so this is
+    A phone's state is set by its last stored code or passed check, so this is
     one aggregate over the outcomes.
     """
-    happened = outcomes.where(F.col("success") & (F.col("micros") <= as_of_micros))
+    passed = F.col("success") & (F.col("action") == "verify")
+    happened = outcomes.where((F.col("stored") | passed) & (F.col("micros") <= as_of_micros))
     last = happened.groupBy("phone").agg(
         F.max(F.struct("micros", "event_id", "action", "code")).alias("last")
     )
