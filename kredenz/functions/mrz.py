@@ -7,14 +7,20 @@ from pyspark.sql import Column, functions as F
 LINE_LENGTH = 44
 
 
+# The texts for lines that can't be parsed, from parser and reader.
+NOT_TWO_LINES = "Invalid MRZ format: Expected 2 lines"
+TOO_FEW_READ = "Insufficient OCR results: Expected 2 MRZ lines"
+NO_ZONE = "Could not detect Machine Readable Zone (MRZ) in the image"
+
+
 def mrz_clean(text: Column) -> Column:
     """Letters and digits only, upper case."""
     return F.upper(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
 
 
 def mrz_sex(code: Column) -> Column:
-    """M, m and the misread 0 are male; everything else is female."""
-    return F.when(code.isin("M", "m", "0"), "M").otherwise("F")
+    """M, m and the misread 0 are male; every other code is female, none stays null."""
+    return F.when(code.isin("M", "m", "0"), "M").when(code.isNotNull(), "F")
 
 
 def mrz_date(text: Column, pivot: int | None = None) -> Column:
@@ -41,6 +47,12 @@ def mrz_name(part: Column) -> Column:
     return F.upper(F.trim(F.translate(part, "<", " ")))
 
 
+def mrz_read_error(zone_found: Column, line1: Column, line2: Column) -> Column:
+    """Why a passport image gave no data: no zone in it, or fewer than two lines read."""
+    both = line1.isNotNull() & line2.isNotNull()
+    return F.when(~F.coalesce(zone_found, F.lit(False)), NO_ZONE).when(~both, TOO_FEW_READ)
+
+
 def mrz_parse(line1: Column, line2: Column, pivot: int | None = None) -> dict[str, Column]:
     """The nine passport fields (countries still as codes) and ``parse_error``.
 
@@ -64,5 +76,5 @@ def mrz_parse(line1: Column, line2: Column, pivot: int | None = None) -> dict[st
         "expiration_date": mrz_date(F.substring(b, 22, 6), pivot),
     }
     out = {name: F.when(both, c) for name, c in fields.items()}
-    out["parse_error"] = F.when(~both, "Invalid MRZ format: Expected 2 lines")
+    out["parse_error"] = F.when(~both, NOT_TWO_LINES)
     return out

@@ -102,8 +102,13 @@ def asset_assemble(
     )
 
 
-def asset_pending(chunks: DataFrame) -> DataFrame:
-    """Unfinished uploads: ``path, n_chunks`` after the last completing chunk."""
+def asset_pending(chunks: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Unfinished uploads: ``path, n_chunks`` after the last completing chunk.
+
+    Deleting a path drops its unfinished upload as well: ``without`` is a table of paths.
+    """
+    if without is not None:
+        chunks = delete_by_key(chunks, without, "path")
     unfinished = F.col("done").isNull() | (F.col("block") >= _block(F.col("done")))
     return (
         _with_bounds(chunks, upload_bounds(chunks), "left", unfinished)

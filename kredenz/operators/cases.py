@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kredenz.dims import RATING_LABELS
-from kredenz.functions.status import status_flags
 from kredenz.functions.text import field_label, or_else
 from kredenz.operators.assets import image_files
 from kredenz.runtime import with_position
@@ -44,10 +43,6 @@ def status_latest(events: DataFrame) -> DataFrame:
     )
 
 
-def status_steps(cases: DataFrame) -> DataFrame:
-    return cases.withColumns(status_flags(F.col("status")))
-
-
 def case_assemble(phones: DataFrame, docs: DataFrame, faces: DataFrame) -> DataFrame:
     """One case per person with whatever parts exist.
 
@@ -67,6 +62,7 @@ def case_assemble(phones: DataFrame, docs: DataFrame, faces: DataFrame) -> DataF
         "case_id",
         F.coalesce("phone", F.lit("")).alias("phone"),
         "document_type",
+        "document_name",
         "ocr_fields",
         "edited_fields",
         F.nullif(F.col("face_image"), F.lit("")).alias("face_image"),
@@ -77,12 +73,19 @@ def case_assemble(phones: DataFrame, docs: DataFrame, faces: DataFrame) -> DataF
 
 
 def review_unpivot(cases: DataFrame) -> DataFrame:
-    """One labelled line per field of a case; edited data replaces scanned data."""
-    shown = F.coalesce("edited_fields", "ocr_fields")
-    return cases.select(
-        "case_id", F.explode(F.map_filter(shown, lambda k, _: k != "face_image")).alias("key", "raw")
-    ).select(
-        "case_id",
-        field_label(F.col("key")).alias("label"),
-        or_else(F.col("raw"), MISSING).alias("value"),
+    """Labelled lines of a case: phone, document, then one per field; edited data replaces scanned data.
+
+    Every case has the first two lines. They show a dash only where there is no value at
+    all, fields also where it is empty.
+    """
+    shown = F.map_filter(F.coalesce("edited_fields", "ocr_fields"), lambda k, _: k != "face_image")
+    heads = [
+        F.struct(F.lit(label).alias("label"), F.coalesce(c, F.lit(MISSING)).alias("value"))
+        for label, c in (("Phone", "phone"), ("Document", "document_name"))
+    ]
+    fields = F.transform(
+        F.map_entries(shown),
+        lambda e: F.struct(field_label(e["key"]).alias("label"), or_else(e["value"], MISSING).alias("value")),
     )
+    lines = F.concat(F.array(*heads), F.coalesce(fields, F.array().cast("array<struct<label:string,value:string>>")))
+    return cases.select("case_id", F.inline(lines))

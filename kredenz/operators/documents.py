@@ -10,6 +10,7 @@ from kredenz.functions.national_id import UNKNOWN, decode_national_id
 from kredenz.functions.numbers import half_up
 from kredenz.functions.text import or_else
 
+# Field names of an ID record.
 RECORD_FIELDS = [
     "full_name", "national_id", "birth_date", "address", "governorate",
     "gender", "serial", "first_name", "second_name",
@@ -73,13 +74,13 @@ def record_defaults(records: DataFrame) -> DataFrame:
 def doc_type_dispatch(payloads: DataFrame) -> DataFrame:
     """Decode each payload by its type and stack both kinds in one table.
 
-    Type ``id`` takes the national ID rules; every other type is a passport.
+    Type ``id`` takes the national ID rules; every other type, and none, is a passport.
     """
     ids = governorate_lookup(decode_ids(payloads.where("doc_type = 'id'"))).select(
         "payload_id", F.lit("id").alias("route"), F.col("id_number").alias("document_no"),
         "birth_date", "gender", "governorate", "decode_status",
     )
-    passports = parse_passports(payloads.where("doc_type <> 'id'")).select(
+    passports = parse_passports(payloads.where("NOT (doc_type <=> 'id')")).select(
         "payload_id", F.lit("passport").alias("route"),
         F.col("passport_number").alias("document_no"),
         F.col("date_of_birth").alias("birth_date"), F.col("sex").alias("gender"),

@@ -1,8 +1,9 @@
-"""Image quality from grey pixels.
+"""Image quality and photo contrast, measured on decoded image rows.
 
-``pixels`` has ``image_id, x, y, g, grid_w, grid_h`` with whole grey values.
-All statistics come from whole-number sums, so they do not depend on the order
-in which partial sums are merged.
+``images`` has ``path, height, width, nChannels, data, error`` (see ``sources.images``) and,
+where a card was found, its padded box ``crop_x1, crop_y1, crop_x2, crop_y2``. An image is
+measured where its row is; pixels are never shuffled. Statistics come from
+whole-number sums. An unreadable image keeps its row and its error.
 """
 
 from __future__ import annotations
@@ -11,90 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kredenz.functions.images import quality_band
-from kredenz.functions.numbers import population_variance
 
 PHOTO_SHARE = 0.30
 PHOTO_SEEN, PHOTO_CLEAR = 100, 200
-
-
-def laplacian(pixels: DataFrame) -> DataFrame:
-    """Four-neighbour Laplacian per pixel, borders mirrored around the edge pixel.
-
-    Every pixel hands its value to the pixels that count it and one sum per
-    target gathers them: a single aggregate instead of four self-joins, and a
-    large image spreads over its pixel positions.
-    """
-    def axis(pos: str, size: str) -> dict[str, F.Column]:
-        p, n = F.col(pos), F.col(size)
-        # The mirrored border counts the second pixel twice at the edge; a
-        # one-pixel axis mirrors onto itself.
-        return {
-            "back": F.when(p >= 1, F.when(p == 1, 2).otherwise(1)),
-            "ahead": F.when(p <= n - 2, F.when(p == n - 2, 2).otherwise(1)),
-            "self": F.when(n == 1, 2).otherwise(0),
-        }
-
-    horizontal, vertical = axis("x", "grid_w"), axis("y", "grid_h")
-
-    def share(dx: int, dy: int, weight) -> F.Column:
-        return F.struct(
-            (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), (weight * F.col("g")).alias("v")
-        )
-
-    shares = F.array(
-        share(0, 0, horizontal["self"] + vertical["self"] - 4),
-        share(-1, 0, horizontal["back"]),
-        share(1, 0, horizontal["ahead"]),
-        share(0, -1, vertical["back"]),
-        share(0, 1, vertical["ahead"]),
-    )
-    return (
-        pixels.select("image_id", F.inline(shares))
-        .where("v IS NOT NULL")
-        .groupBy("image_id", "x", "y")
-        .agg(F.sum("v").alias("v"))
-    )
-
-
-def pixel_statistics(pixels: DataFrame) -> DataFrame:
-    """``laplacian_variance`` and ``mean_grey`` per image."""
-    edges = laplacian(pixels).groupBy("image_id").agg(
-        population_variance(F.count("v"), F.sum("v"), F.sum(F.col("v") * F.col("v"))).alias(
-            "laplacian_variance"
-        )
-    )
-    means = pixels.groupBy("image_id").agg((F.sum("g") / F.count("g")).alias("mean_grey"))
-    return edges.join(means, "image_id")
-
-
-def image_quality(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The eleven quality values per image; ``sizes`` has ``image_id, width, height``."""
-    stats = pixel_statistics(pixels).join(sizes.select("image_id", "width", "height"), "image_id")
-    band = quality_band(*[F.col(c) for c in ("laplacian_variance", "mean_grey", "width", "height")])
-    return stats.select("image_id", *[c.alias(name) for name, c in band.items()])
-
-
-def photo_variance(pixels: DataFrame, cards: DataFrame) -> DataFrame:
-    """Grey variance of the left 30 percent, for images where a card was found."""
-    left = pixels.where(F.col("x") < (F.col("grid_w") * F.lit(PHOTO_SHARE)).cast("int"))
-    stats = left.groupBy("image_id").agg(
-        population_variance(F.count("g"), F.sum("g"), F.sum(F.col("g") * F.col("g"))).alias("v")
-    )
-    seen = F.coalesce(F.col("v") > PHOTO_SEEN, F.lit(False))
-    variance = F.when(F.col("card_found"), F.col("v"))
-    return (
-        cards.select("image_id", "card_found")
-        .join(stats, "image_id", "left")
-        .select(
-            "image_id",
-            variance.alias("variance"),
-            (F.col("card_found") & seen).alias("detected"),
-            F.when(F.col("card_found") & seen, F.col("v") > PHOTO_CLEAR).alias("is_clear"),
-        )
-    )
+CROP = ["crop_x1", "crop_y1", "crop_x2", "crop_y2"]
+MEASURES = (
+    "path string, width int, height int, error string, card_found boolean, laplacian_variance double, "
+    "mean_grey double, variance double"
+)
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
@@ -103,39 +31,63 @@ def grey(bgr: np.ndarray) -> np.ndarray:
     return (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14
 
 
-def _image_statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def variance_of(values: np.ndarray) -> float | None:
+    """Population variance of whole numbers; None for none."""
+    n = values.size
+    return (n * int((values * values).sum()) - int(values.sum()) ** 2) / (n * n) if n else None
+
+
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            shape = (r.height, r.width, r.nChannels)
-            img = np.frombuffer(r.data, np.uint8).reshape(shape)
+            if r.error is not None:
+                rows.append((r.path, None, None, r.error, None, None, None, None))
+                continue
+            img = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.nChannels))
             g = grey(img) if r.nChannels >= 3 else img[..., 0].astype(np.int64)
-            p = np.pad(g, 1, mode="reflect" if min(g.shape) > 1 else "edge")
+            p = g  # borders mirror around the edge pixel; a one-pixel axis onto itself
+            for axis, margin in enumerate((((1, 1), (0, 0)), ((0, 0), (1, 1)))):
+                p = np.pad(p, margin, mode="reflect" if g.shape[axis] > 1 else "edge")
             edges = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
-            n = edges.size
-            left = g[:, : int(r.width * PHOTO_SHARE)]
-            rows.append(
-                (
-                    r.path,
-                    r.width,
-                    r.height,
-                    float(n * int((edges * edges).sum()) - int(edges.sum()) ** 2) / (n * n),
-                    float(int(g.sum()) / n),
-                    float(left.var()) if left.size else None,
-                )
-            )
-        yield pd.DataFrame(
-            rows, columns=["path", "width", "height", "laplacian_variance", "mean_grey", "photo_variance"]
-        )
+            found = not pd.isna(r.crop_x1)
+            photo = None
+            if found:
+                crop = g[int(r.crop_y1) : int(r.crop_y2), int(r.crop_x1) : int(r.crop_x2)]
+                photo = variance_of(crop[:, : int(crop.shape[1] * PHOTO_SHARE)])
+            rows.append((r.path, r.width, r.height, None, found, variance_of(edges), int(g.sum()) / g.size, photo))
+        columns = [f.split()[0] for f in MEASURES.split(", ")]
+        yield pd.DataFrame(rows, columns=columns).astype({"width": "Int32", "height": "Int32", "card_found": "boolean"})
 
 
-def image_rows_quality(images: DataFrame) -> DataFrame:
-    """The same values from decoded image rows (see ``sources.images``), without a shuffle."""
-    readable = images.where("error IS NULL").select("path", "height", "width", "nChannels", "data")
-    measured = readable.mapInPandas(
-        _image_statistics,
-        "path string, width int, height int, laplacian_variance double, mean_grey double, "
-        "photo_variance double",
-    )
+def measured(images: DataFrame) -> DataFrame:
+    """The pixel statistics of every image, with one pass over its bytes."""
+    crop = [F.col(c) if c in images.columns else F.lit(None).cast("int").alias(c) for c in CROP]
+    rows = images.select("path", "height", "width", "nChannels", "data", "error", *crop)
+    return rows.mapInPandas(_measure, MEASURES)
+
+
+def quality_columns() -> list[Column]:
+    """The eleven quality values of measured rows; null for an unreadable image."""
     band = quality_band(*[F.col(c) for c in ("laplacian_variance", "mean_grey", "width", "height")])
-    return measured.select("path", *[c.alias(name) for name, c in band.items()], "photo_variance")
+    return [F.when(F.col("error").isNull(), c).alias(name) for name, c in band.items()]
+
+
+def photo_columns() -> list[Column]:
+    """Whether a photo is on the left of the card, and how clear it is."""
+    seen = F.when(F.col("error").isNull(), F.col("card_found") & F.coalesce(F.col("variance") > PHOTO_SEEN, F.lit(False)))
+    return [seen.alias("detected"), F.when(seen, F.col("variance") > PHOTO_CLEAR).alias("is_clear")]
+
+
+def image_quality(images: DataFrame) -> DataFrame:
+    return measured(images).select("path", *quality_columns(), "error")
+
+
+def photo_variance(images: DataFrame) -> DataFrame:
+    """Grey variance of the left 30 percent of the card, where one was found."""
+    return measured(images).select("path", "variance", *photo_columns(), "error")
+
+
+def image_rows_quality(images: DataFrame) -> DataFrame:
+    """Quality and photo contrast of every image at once."""
+    return measured(images).select("path", *quality_columns(), "card_found", "variance", *photo_columns(), "error")

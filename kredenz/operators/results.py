@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kredenz.functions.numbers import exact_round
 from kredenz.functions.text import or_else
 
-ID, PASSPORT = "id", "passport"
+ID, PASSPORT, DOCUMENTS = "id", "passport", "documents"
+
+# What debug records and face records say when nothing was found.
+NO_MRZ, NO_ID_FACE = "No MRZ detected", "No face detected in ID image"
 
 # debug_info keys that name an artifact, and their kinds.
 ARTIFACTS = {
@@ -27,6 +30,7 @@ ID_ARTIFACTS = {
 }
 MRZ_ARTIFACT = "mrz_roi.jpg"
 
+# Record fields of a national ID and of a passport, in the order they are written.
 ID_FIELDS = [
     "first_name", "second_name", "full_name", "national_id", "address",
     "birth_date", "governorate", "gender", "serial", "face_image",
@@ -49,10 +53,12 @@ def result_list(results: DataFrame) -> DataFrame:
 
 
 def result_counts(results: DataFrame, documents: DataFrame) -> DataFrame:
-    """How many results each store and how many files the document store holds."""
-    stored = results.groupBy(F.col("doc_type").alias("store")).agg(F.count("*").alias("n"))
-    files = documents.select(F.lit("documents").alias("store")).groupBy("store").agg(F.count("*").alias("n"))
-    return stored.unionByName(files)
+    """How many results each store and how many files the document store holds; 0 for an empty one."""
+    stores = F.explode(F.array(*[F.lit(s) for s in (ID, PASSPORT, DOCUMENTS)])).alias("store")
+    held = results.select(F.col("doc_type").alias("store")).unionAll(documents.select(F.lit(DOCUMENTS).alias("store")))
+    counted = held.groupBy("store").agg(F.count("*").alias("n"))
+    every = results.sparkSession.range(1).select(stores).join(counted, "store", "full")
+    return every.select("store", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _parsed(results: DataFrame) -> DataFrame:
@@ -106,18 +112,24 @@ def _json(**fields: Column) -> Column:
     )
 
 
-def passport_envelope(seconds: Column, error: Column, fields: list[str] = PASSPORT_FIELDS) -> Column:
-    """Response text of a passport: data only on success, error only on failure."""
-    ok = error.isNull()
+def passport_envelope(
+    seconds: Column, error: Column, zone_found: Column, fields: list[str] = PASSPORT_FIELDS
+) -> Column:
+    """Response text of a passport: data only on success, error only on failure.
+
+    The debug record is about the zone alone: a found zone whose lines could not be
+    read still names its artifact.
+    """
+    ok, zone = error.isNull(), F.coalesce(zone_found, F.lit(False))
     return _json(
         success=ok,
         processing_time=exact_round(seconds, 2),
         data=F.when(ok, F.struct(*fields)),
         error=error,
         debug_info=F.struct(
-            ok.alias("mrz_detected"),
-            F.when(ok, MRZ_ARTIFACT).alias("mrz_roi_path"),
-            F.when(~ok, "No MRZ detected").alias("error"),
+            zone.alias("mrz_detected"),
+            F.when(zone, MRZ_ARTIFACT).alias("mrz_roi_path"),
+            F.when(~zone, NO_MRZ).alias("error"),
         ),
     )
 
@@ -132,10 +144,10 @@ def id_envelope(seconds: Column, error: Column, fields: list[str] = ID_FIELDS) -
         face_verification=F.struct(
             F.col("face_image").isNotNull().alias("face_detected"),
             F.col("face_image"),
-            F.when(F.col("face_image").isNull(), "No face detected in ID image").alias("face_error"),
+            F.when(F.col("face_image").isNull(), NO_ID_FACE).alias("face_error"),
         ),
         debug_info=F.struct(
-            *[F.lit(name).alias(key) for key, name in ID_ARTIFACTS.items()]
+            "detected_fields", *[F.lit(name).alias(key) for key, name in ID_ARTIFACTS.items()]
         ),
         total_fields=F.lit(8),
     )
@@ -145,12 +157,14 @@ def id_envelope(seconds: Column, error: Column, fields: list[str] = ID_FIELDS) -
 def envelope_write(rows: DataFrame, doc_type: str) -> DataFrame:
     """``doc_type, path, seq, result_json`` from decoded rows.
 
-    Rows carry the record fields plus ``path, seq, processing_time, error``.
+    Rows carry the record fields plus ``path, seq, processing_time, error``, those of
+    passports ``zone_found`` and those of IDs ``detected_fields`` too.
     """
-    make = id_envelope if doc_type == ID else passport_envelope
+    common = F.col("processing_time"), F.col("error")
+    body = id_envelope(*common) if doc_type == ID else passport_envelope(*common, F.col("zone_found"))
     return rows.select(
         F.lit(doc_type).alias("doc_type"),
         "path",
         "seq",
-        make(F.col("processing_time"), F.col("error")).alias("result_json"),
+        body.alias("result_json"),
     )

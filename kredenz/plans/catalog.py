@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kredenz.dims import FIELDS
 from kredenz.functions.boxes import bbox_expand, bbox_globalize, bbox_pad_card, nid_band, photo_region
 from kredenz.functions.images import compress_plan, fit_within, resize_plan
-from kredenz.functions.mrz import mrz_clean, mrz_date, mrz_sex
+from kredenz.functions.mrz import mrz_clean, mrz_date, mrz_read_error, mrz_sex
 from kredenz.functions.numbers import exact_round
 from kredenz.functions.status import progress_pct, status_flags, stepper_pct
 from kredenz.functions.text import (
@@ -23,14 +23,8 @@ from kredenz.functions.text import (
 )
 from kredenz.operators import assets, capture, cases, detections, documents, faces, otp, quality, results
 from kredenz.plans import flows
-from kredenz.sources.images import apply_detector, image_adjust, image_scan
-from kredenz.sources.pictures import picture_folder
+from kredenz.sources.images import apply_detector, image_adjust
 from kredenz.sources.tables import Inputs, image_struct
-from kredenz.streaming.assets import asset_stream, latest_assets
-from kredenz.streaming.capture import capture_stream
-from kredenz.streaming.otp import otp_stream
-from kredenz.streaming.results import read_results, result_upsert_stream
-from kredenz.streaming.runs import arrive_in_slices, drain, to_files
 
 TEST_TTL = 14_400  # seconds; events are sparse, so the usual 30 would never collide
 PLACES = 9
@@ -87,6 +81,12 @@ def asset_delete(t: Inputs) -> DataFrame:
     return assets.asset_assemble(t.asset_chunks(), without=t.delete_paths())
 
 
+@query
+def asset_delete_pending(t: Inputs) -> DataFrame:
+    """Unfinished uploads that deleting the same paths leaves."""
+    return assets.asset_pending(t.asset_chunks(), without=t.delete_paths())
+
+
 @query
 def chunk_split(t: Inputs) -> DataFrame:
     return assets.chunk_split(t.files(), size=700).withColumn(
@@ -152,8 +152,9 @@ def artifact_unpivot(t: Inputs) -> DataFrame:
 
 @query
 def envelope_write(t: Inputs) -> DataFrame:
-    rows = documents.parse_passports(t.mrz_lines()).selectExpr(
-        "*", "parse_error AS error", "concat('passports/', passport_id, '.jpg') AS path",
+    read_error = mrz_read_error(F.col("zone_found"), F.col("line1"), F.col("line2"))
+    rows = documents.parse_passports(t.mrz_lines()).withColumn("error", read_error).selectExpr(
+        "*", "concat('passports/', passport_id, '.jpg') AS path",
         "passport_id AS seq", "passport_id % 40 / 4D AS processing_time",
     )
     return results.envelope_write(rows, results.PASSPORT)
@@ -177,7 +178,7 @@ def governorate_lookup(t: Inputs) -> DataFrame:
 
 @query
 def mrz_parse(t: Inputs) -> DataFrame:
-    return documents.parse_passports(t.mrz_lines()).drop("line1", "line2")
+    return documents.parse_passports(t.mrz_lines()).drop("line1", "line2", "zone_found")
 
 
 @query
@@ -188,7 +189,7 @@ def _mrz_clean(t: Inputs) -> DataFrame:
 @query
 def _mrz_sex(t: Inputs) -> DataFrame:
     code = F.substring("line2", 21, 1)
-    return t.mrz_lines().where("line2 IS NOT NULL").select(
+    return t.mrz_lines().select(
         "passport_id", code.alias("code"), mrz_sex(code).alias("sex")
     )
 
@@ -196,7 +197,7 @@ def _mrz_sex(t: Inputs) -> DataFrame:
 @query
 def _mrz_date(t: Inputs) -> DataFrame:
     text = F.substring("line2", 14, 6)
-    return t.mrz_lines().where("line2 IS NOT NULL").select(
+    return t.mrz_lines().select(
         "passport_id", text.alias("raw"), mrz_date(text).alias("date_text"),
         mrz_date(text, pivot=30).alias("pivoted"),
     )
@@ -283,7 +284,7 @@ def digit_assemble(t: Inputs) -> DataFrame:
 
 @query
 def field_last_wins(t: Inputs) -> DataFrame:
-    return detections.field_last_wins(detections.detection_filter(t.detections(), "field"))
+    return detections.field_last_wins(detections.detection_filter(t.detections(), "field"), t.images())
 
 
 @query
@@ -416,12 +417,22 @@ def _status_steps(t: Inputs) -> DataFrame:
 
 @query
 def photo_variance(t: Inputs) -> DataFrame:
-    return quality.photo_variance(t.pixels(), t.image_sizes()).withColumn("variance", _fixed("variance"))
+    rows = quality.photo_variance(t.image_rows()).withColumn("variance", _fixed("variance"))
+    return rows.select(F.col("path").cast("bigint").alias("image_id"), "variance", "detected", "is_clear", "error")
 
 
 @query
 def image_quality(t: Inputs) -> DataFrame:
-    return quality.image_quality(t.pixels(), t.image_sizes())
+    return quality.image_quality(t.image_rows()).withColumn("image_id", F.col("path").cast("bigint")).drop("path")
+
+
+@query
+def image_rows_quality(t: Inputs) -> DataFrame:
+    """Quality and photo contrast from one pass over the images."""
+    return quality.image_rows_quality(t.image_rows()).select(
+        F.col("path").cast("bigint").alias("image_id"), "quality_score", "blur_score", "card_found",
+        _fixed("variance").alias("variance"), "detected", "error",
+    )
 
 
 def _facts(t: Inputs) -> DataFrame:
@@ -458,17 +469,30 @@ def capture_readiness(t: Inputs) -> DataFrame:
 
 @query
 def capture_from_pixels(t: Inputs) -> DataFrame:
-    """Frames whose pictures are the embeddings' pixels; the others failed to load."""
-    shots = t.frames().withColumn("image_id", F.col("frame_id"))
-    rows = flows.capture_from_pixels(
-        shots.select("frame_id", "session_id", "ts", "image_id"), t.pixels(), t.image_sizes(),
-        t.frame_fields(), t.frame_digits(),
-    )
+    """Frames whose pictures are the embeddings' images; the others failed to load."""
+    rows = flows.capture_from_pixels(_shots(t), t.image_rows(), t.frame_fields(), t.frame_digits())
     return rows.select(
         "frame_id", "error", "quality_level", "photo_detected", "ready_for_capture", "message"
     )
 
 
+def _shots(t: Inputs) -> DataFrame:
+    return t.frames().select("frame_id", "session_id", "ts", F.col("frame_id").cast("string").alias("path"))
+
+
+@query
+def capture_result(t: Inputs) -> DataFrame:
+    rows = flows.capture_result(_shots(t), t.image_rows(), t.frame_fields(), t.frame_digits())
+    box = ["x1", "y1", "x2", "y2", "x1_norm", "y1_norm", "x2_norm", "y2_norm", "width", "height", "is_clear"]
+    return rows.select(
+        "frame_id", "session_id", "detected", "error", F.col("photo.detected").alias("photo_detected"),
+        *[F.col(f"photo.bbox.{c}").alias(f"photo_{c}") for c in box],
+        _fixed("photo.bbox.variance").alias("photo_variance"),
+        "field_count", "total_detections", "confidence", *[F.col(f"quality.{c}") for c in flows.QUALITY],
+        "ready_for_capture", "message", *[F.col(f"field_summary.{c}").alias(f"n_{c}") for c in FIELDS],
+    )
+
+
 # -- faces ----------------------------------------------------------------
 
 
@@ -485,7 +509,7 @@ def face_pair_join(t: Inputs) -> DataFrame:
 
 @query
 def face_similarity(t: Inputs) -> DataFrame:
-    pairs = t.id_faces().join(t.live_faces(), "case_id")
+    pairs = faces.face_pair_join(t.id_faces(), t.live_faces())
     return faces.face_similarity(pairs).withColumn("similarity_score", F.round("similarity_score", 6))
 
 
@@ -556,7 +580,8 @@ def review_unpivot(t: Inputs) -> DataFrame:
 
 @query
 def case_review(t: Inputs) -> DataFrame:
-    return flows.case_review(_cases(t), t.status_events())
+    at_step = _cases(t).withColumn("step", F.expr("cast(case_id % 5 + 1 AS INT)"))
+    return flows.case_review(at_step, t.status_events())
 
 
 @query
@@ -577,9 +602,8 @@ def national_id_records(t: Inputs) -> DataFrame:
     )
 
 
-@query
-def national_id_results(t: Inputs) -> DataFrame:
-    records = flows.national_id_records(t.detections(), t.digit_boxes(), t.images())
+def _stored_ids(t: Inputs) -> DataFrame:
+    records = flows.national_id_records(t.detections(), t.digit_boxes(), t.images(), with_boxes=True)
     return flows.stored_id_results(
         records, F.expr("image_id % 40 / 4D"),
         F.expr("concat('cards/', image_id div 2, '.jpg')"), F.col("image_id"),
@@ -587,58 +611,29 @@ def national_id_results(t: Inputs) -> DataFrame:
 
 
 @query
-def passport_records(t: Inputs) -> DataFrame:
-    return flows.passport_records(t.mrz_lines(), t.countries()).drop("line1", "line2")
-
-
-@query
-def passport_results(t: Inputs) -> DataFrame:
-    return flows.stored_passport_results(
-        flows.passport_records(t.mrz_lines(), t.countries()), F.expr("passport_id % 40 / 4D"),
-        F.expr("concat('passports/', passport_id div 2, '.jpg')"), F.col("passport_id"),
-    )
-
-
-# -- streams --------------------------------------------------------------
-
-
-def _streamed(t: Inputs, table: DataFrame, order: str, operator) -> DataFrame:
-    """Drain ``table`` through a streaming operator into Parquet and read it back."""
-    def consume(stream: DataFrame, folder: str) -> None:
-        drain(to_files(operator(stream), f"{folder}/out"), f"{folder}/checkpoint")
-
-    folder = arrive_in_slices(table, order, consume, slices=2)
-    return t.spark.read.parquet(f"{folder}/out")
+def national_id_results(t: Inputs) -> DataFrame:
+    return _stored_ids(t)
 
 
 @query
-def _otp_stream(t: Inputs) -> DataFrame:
-    events = t.otp_events().withColumn("arrival", otp.micros())
-    return _streamed(t, events, "arrival", lambda s: otp_stream(s, TEST_TTL)).select(*OUTCOME)
+def national_id_summary(t: Inputs) -> DataFrame:
+    """Overview of the stored ID results."""
+    return results.result_summary(_stored_ids(t))
 
 
 @query
-def _asset_stream(t: Inputs) -> DataFrame:
-    return latest_assets(_streamed(t, t.asset_chunks(), "seq", asset_stream))
+def passport_records(t: Inputs) -> DataFrame:
+    return flows.passport_records(t.mrz_lines(), t.countries()).drop("line1", "line2", "zone_found")
 
 
 @query
-def _capture_stream(t: Inputs) -> DataFrame:
-    facts = _facts(t).drop("missing_labels", "ready_for_capture").withColumn("arrival", otp.micros())
-    return _streamed(t, facts, "arrival", capture_stream).select(
-        "session_id", "frame_id", otp.micros().alias("micros")
+def passport_results(t: Inputs) -> DataFrame:
+    return flows.stored_passport_results(
+        flows.passport_records(t.mrz_lines(), t.countries()), F.expr("passport_id % 40 / 4D"),
+        F.expr("concat('passports/', passport_id div 2, '.jpg')"), F.col("passport_id"),
     )
 
 
-@query
-def _result_upsert_stream(t: Inputs) -> DataFrame:
-    def consume(stream: DataFrame, folder: str) -> None:
-        drain(result_upsert_stream(stream, f"{folder}/out"), f"{folder}/checkpoint")
-
-    folder = arrive_in_slices(t.ocr_results(), "seq", consume, slices=2)
-    return read_results(t.spark, f"{folder}/out")
-
-
 # -- images ---------------------------------------------------------------
 
 
@@ -668,13 +663,3 @@ def _apply_detector(t: Inputs) -> DataFrame:
         image_struct(t.pixels()), _bright_box,
         "image_id bigint, class_name string, x1 int, y1 int, x2 int, y2 int",
     )
-
-
-@query
-def _image_scan(t: Inputs) -> DataFrame:
-    scanned = image_scan(t.spark, picture_folder(image_struct(t.pixels())))
-    return scanned.select(
-        F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("image_id"),
-        "height", "width", F.hex("data").alias("pixels"), "error",
-    )
-

@@ -7,7 +7,6 @@ tables).
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
@@ -18,17 +17,19 @@ ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 b
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    A local session without the setting gets a temporary folder; on a cluster
-    the missing setting is an error, because a machine-local folder would lose
-    data with its machine.
+    That is ``spark.checkpoint.dir``; a session without it gets a folder of its own
+    beside its tables, in ``spark.sql.warehouse.dir``, deleted when the session's
+    process ends. The session's settings stay as they are.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="kredenz-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not store.exists(path) and store.mkdirs(path):
+        store.deleteOnExit(path)
     return folder
 
 

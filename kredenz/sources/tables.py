@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kredenz.operators.otp import delivery_error
+
 PIXEL_GRID = 8
 CHUNK_CHARS = 1000
 
@@ -73,13 +75,16 @@ class Inputs:
         )
 
     def payloads(self) -> DataFrame:
-        """Requests of every size class; every fifth one is a whole document."""
-        return self.table("documents").selectExpr(
-            "doc_id AS payload_id",
-            "CASE doc_id % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'live' ELSE 'passport' END AS doc_type",
+        """A request with each whole document, and requests of the boundary sizes beside them."""
+        kind = "CASE doc_id % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'live' ELSE 'passport' END AS doc_type"
+        documents = self.table("documents")
+        whole = documents.selectExpr("doc_id * 2 AS payload_id", kind, "text AS content")
+        sizes = documents.selectExpr(
+            "doc_id * 2 + 1 AS payload_id", kind,
             """CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 50) WHEN 2 THEN repeat('x', 99)
-               WHEN 3 THEN repeat('x', 100) ELSE text END AS content""",
+               WHEN 3 THEN repeat('x', 100) END AS content""",
         )
+        return whole.unionAll(sizes)
 
     # -- documents --------------------------------------------------------
 
@@ -131,10 +136,11 @@ class Inputs:
                  CASE WHEN k % 23 = 0 THEN '<<<<<<' ELSE concat(lpad(20 + k % 15, 2, '0'),
                       lpad(1 + k % 12, 2, '0'), lpad(1 + k % 28, 2, '0')) END) AS raw2""",
         ).selectExpr(
-            "passport_id",
-            "CASE WHEN passport_id % 7 = 0 THEN raw1 ELSE rpad(raw1, 44, '<') END AS line1",
-            """CASE WHEN passport_id % 41 = 0 THEN NULL WHEN passport_id % 7 = 0 THEN raw2
-                    ELSE rpad(raw2, 44, '<') END AS line2""",
+            "passport_id", "passport_id % 37 <> 0 AS zone_found",
+            """CASE WHEN passport_id % 37 = 0 THEN NULL WHEN passport_id % 7 = 0 THEN raw1
+                    ELSE rpad(raw1, 44, '<') END AS line1""",
+            """CASE WHEN passport_id % 37 = 0 OR passport_id % 41 = 0 THEN NULL
+                    WHEN passport_id % 7 = 0 THEN raw2 ELSE rpad(raw2, 44, '<') END AS line2""",
         )
 
     def mixed_payloads(self) -> DataFrame:
@@ -144,7 +150,8 @@ class Inputs:
         )
         passports = self.mrz_lines().selectExpr(
             "passport_id * 2 + 1 AS payload_id",
-            "CASE WHEN passport_id % 3 = 0 THEN 'other' ELSE 'passport' END AS doc_type",
+            """CASE WHEN passport_id % 29 = 0 THEN NULL WHEN passport_id % 3 = 0 THEN 'other'
+                    ELSE 'passport' END AS doc_type""",
             "line1", "line2",
         )
         return ids.unionByName(passports, allowMissingColumns=True)
@@ -202,14 +209,21 @@ class Inputs:
         ).selectExpr("*", "concat(class_name, l_partkey) AS text")
 
     def digit_boxes(self) -> DataFrame:
-        """Four digits per line item; several may share a pixel column."""
+        """Fourteen digits per number box, left to right, and four per other box.
+
+        Several may share a pixel column.
+        """
         return self.table("lineitem").selectExpr(
             "l_orderkey AS image_id", "l_linenumber", "l_partkey", "l_suppkey",
-            "explode(sequence(0, 3)) AS i",
+            "l_partkey % 7 = 2 AS number",
+            "explode(sequence(0, CASE WHEN l_partkey % 7 = 2 THEN 13 ELSE 3 END)) AS i",
         ).selectExpr(
             "image_id", "struct(l_linenumber, l_partkey, l_suppkey, i) AS det_seq",
-            "cast((l_partkey + l_suppkey * i) % 10 AS INT) AS digit",
-            "cast((l_partkey + i * 131) % 600 div 10 AS INT) AS x1",
+            "l_linenumber % 4 * 90 AS angle", "struct(l_linenumber, l_partkey, l_suppkey) AS nid_seq",
+            """cast(CASE WHEN number AND i = 0 THEN 1 + l_suppkey % 3
+                 ELSE (l_partkey + l_suppkey * i) % 10 END AS INT) AS digit""",
+            """cast(CASE WHEN number THEN l_partkey % 40 + i div 2 * 2
+                 ELSE (l_partkey + i * 131) % 600 div 10 END AS INT) AS x1""",
         )
 
     # -- frames -----------------------------------------------------------
@@ -258,28 +272,49 @@ class Inputs:
             f"{PIXEL_GRID} AS grid_w", f"{PIXEL_GRID} AS grid_h",
         )
 
-    def image_sizes(self) -> DataFrame:
-        return self.table("embeddings").selectExpr(
-            "vec_id AS image_id",
-            "CASE WHEN vec_id % 4 = 0 THEN 320 ELSE 640 END AS width",
-            "CASE WHEN vec_id % 4 = 0 THEN 240 ELSE 480 END AS height",
-            "vec_id % 5 <> 0 AS card_found",
+    def image_rows(self) -> DataFrame:
+        """Image rows from vectors: an 8 x 8 grid of grey cells, some enlarged to 400 x 304.
+
+        Four of five show a card; some files can't be read.
+        """
+        contrast = """CASE vec_id % 7 WHEN 0 THEN 0D WHEN 1 THEN 0.05D WHEN 2 THEN 0.06D
+                      WHEN 3 THEN 0.08D WHEN 4 THEN 0.15D WHEN 5 THEN 0.35D ELSE 1D END"""
+        cells = self.table("embeddings").selectExpr(
+            "vec_id", "vec_id % 31 = 7 AS broken", "vec_id % 5 <> 0 AS card_found",
+            "CASE WHEN vec_id % 25 = 1 THEN 50 ELSE 1 END AS sx", "CASE WHEN vec_id % 25 = 1 THEN 38 ELSE 1 END AS sy",
+            f"""transform(embedding, e -> repeat(lpad(hex(cast(floor(least(greatest(128D + cast(e AS DOUBLE) * 255D
+                  * {contrast} + cast((vec_id % 3 - 1) * 100 AS DOUBLE), 0D), 255D)) AS INT)), 2, '0'), 3)) AS cell""",
+        )
+        lines = f"""transform(sequence(0, {PIXEL_GRID - 1}), y -> repeat(array_join(transform(
+                      slice(cell, y * {PIXEL_GRID} + 1, {PIXEL_GRID}), c -> repeat(c, sx)), ''), sy))"""
+
+        def known(value: str, name: str, when: str = "NOT broken") -> str:
+            return f"CASE WHEN {when} THEN cast({value} AS INT) END AS {name}"
+
+        card = "NOT broken AND card_found"
+        return cells.selectExpr(
+            "cast(vec_id AS STRING) AS path", known(f"{PIXEL_GRID} * sy", "height"), known(f"{PIXEL_GRID} * sx", "width"),
+            known("3", "nChannels"), f"CASE WHEN NOT broken THEN unhex(array_join({lines}, '')) END AS data",
+            "CASE WHEN broken THEN 'Could not load image' END AS error",
+            known("vec_id % 3 * sx", "crop_x1", card), known("vec_id % 2 * sy", "crop_y1", card),
+            known(f"({PIXEL_GRID} - vec_id % 2) * sx", "crop_x2", card), known(f"({PIXEL_GRID} - vec_id % 4) * sy", "crop_y2", card),
         )
 
     def id_faces(self) -> DataFrame:
-        return self.table("embeddings").where("vec_id % 17 <> 0").selectExpr(
-            "vec_id AS case_id", "embedding AS id_embedding"
+        """Face vectors of documents; null where no face was found."""
+        return self.table("embeddings").selectExpr(
+            "vec_id AS case_id", "CASE WHEN vec_id % 17 <> 0 THEN embedding END AS id_embedding"
         )
 
     def live_faces(self) -> DataFrame:
         """Each vector blended with its successor's; the last one stays itself."""
         vectors = self.table("embeddings").select("vec_id", "embedding")
         following = vectors.selectExpr("vec_id - 1 AS vec_id", "embedding AS following")
-        return vectors.join(following, "vec_id", "left").where("vec_id % 19 <> 0").selectExpr(
+        return vectors.join(following, "vec_id", "left").selectExpr(
             "vec_id AS case_id",
-            """zip_with(embedding, coalesce(following, embedding),
+            """CASE WHEN vec_id % 19 <> 0 THEN zip_with(embedding, coalesce(following, embedding),
                  (a, b) -> cast(a AS DOUBLE) * (vec_id % 11 / 10D)
-                 + cast(b AS DOUBLE) * (1D - vec_id % 11 / 10D)) AS live_embedding""",
+                 + cast(b AS DOUBLE) * (1D - vec_id % 11 / 10D)) END AS live_embedding""",
         )
 
     # -- one-time codes ---------------------------------------------------
@@ -291,7 +326,9 @@ class Inputs:
             "CASE WHEN event_type IN ('purchase', 'error') THEN 'verify' ELSE 'send' END AS action",
             """CASE WHEN event_type IN ('purchase', 'error') AND event_id % 4 = 0 THEN '000000'
                     ELSE lpad(user_id * 7919 % 1000000, 6, '0') END AS code""",
-        )
+            "CASE WHEN event_id % 13 <> 5 THEN 200 + event_id % 2 ELSE 400 END AS status",
+            "CASE WHEN event_id % 29 = 7 THEN 'Timeout' END AS failure",
+        ).withColumn("delivery_error", delivery_error(F.col("status"), F.lit("{}"), F.col("failure")))
 
     def phones(self) -> DataFrame:
         """Phone texts of every short length as well as full numbers."""
@@ -366,6 +403,7 @@ class Inputs:
             """CASE WHEN k % 6 = 0 THEN map('full_name', concat('Edited ', k), 'address', '') END
                AS edited_fields""",
             "CASE WHEN k % 4 = 0 THEN 'passport' ELSE 'national_id' END AS document_type",
+            "CASE WHEN k % 14 <> 0 THEN concat('scan', k, '.jpg') END AS document_name",
         )
 
     def case_faces(self) -> DataFrame:

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kredenz.streaming.runs import use_rocksdb
-
 
 
 class UploadProcessor(StatefulProcessor):
@@ -48,7 +46,6 @@ class UploadProcessor(StatefulProcessor):
 
 def asset_stream(chunks: DataFrame) -> DataFrame:
     """Every completed upload, with the ``seq`` of its completing chunk."""
-    use_rocksdb(chunks.sparkSession)
     kind = chunks.schema["chunk"].dataType.simpleString()
     published = f"path string, mime_type string, n_chunks bigint, content {kind}, seq bigint"
     return chunks.groupBy("path").transformWithStateInPandas(

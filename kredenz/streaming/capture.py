@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kredenz.operators.capture import capture_ready
-from kredenz.streaming.runs import use_rocksdb
 
 
 class CaptureProcessor(StatefulProcessor):
@@ -46,7 +45,6 @@ def capture_stream(facts: DataFrame) -> DataFrame:
     Frames that are not ready never shuffle, and a busy session's ready frames
     are reduced where they are read.
     """
-    use_rocksdb(facts.sparkSession)
     ready = capture_ready(facts).where("ready_for_capture").select("session_id", "frame_id", "ts")
     first = ready.mapInPandas(_earliest, ready.schema)
     return first.groupBy("session_id").transformWithStateInPandas(

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kredenz.operators.otp import MICROS, OUTCOMES, TTL_SECONDS, micros, step
-from kredenz.streaming.runs import use_rocksdb
+from kredenz.operators.otp import MICROS, OUTCOMES, TTL_SECONDS, code_events, step
 
 
 class OtpProcessor(StatefulProcessor):
@@ -31,9 +30,9 @@ class OtpProcessor(StatefulProcessor):
         stored = self.held.get() if self.held.exists() else None
         state = (stored[0], int(stored[1])) if stored else None
         results = []
-        for action, now, code in zip(pdf.action, pdf.micros, pdf.code):
-            state, success, message = step(state, action, int(now), code, self.ttl)
-            results.append((success, message))
+        for action, now, code, error in zip(pdf.action, pdf.micros, pdf.code, pdf.delivery_error):
+            state, *result = step(state, action, int(now), code, self.ttl, error)
+            results.append(result)
         if state is None:
             self.held.clear()
         else:
@@ -42,7 +41,8 @@ class OtpProcessor(StatefulProcessor):
             {
                 "event_id": pdf.event_id, "phone": key[0], "action": pdf.action, "code": pdf.code,
                 "micros": pdf.micros,
-                "success": [s for s, _ in results], "message": [m for _, m in results],
+                "success": [r[0] for r in results], "message": [r[1] for r in results],
+                "stored": [r[2] for r in results],
             }
         )
 
@@ -52,8 +52,6 @@ class OtpProcessor(StatefulProcessor):
 
 def otp_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Outcome of every event as it arrives; same columns as ``otp_replay``."""
-    use_rocksdb(events.sparkSession)
-    rows = events.select("event_id", "phone", "action", "code", micros().alias("micros"))
-    return rows.groupBy("phone").transformWithStateInPandas(
+    return code_events(events).groupBy("phone").transformWithStateInPandas(
         OtpProcessor(ttl_seconds * MICROS), OUTCOMES, outputMode="append", timeMode="none"
     )

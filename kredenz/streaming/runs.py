@@ -1,53 +1,34 @@
-"""Running a streaming query over files as they arrive."""
+"""Running a streaming query over what has arrived."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from kredenz.runtime import scratch_path
-
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state on local disk with checkpoints, not on the JVM heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep keyed state in RocksDB; the session's own setting returns after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> None:
+def drain(spark: SparkSession, writer: DataStreamWriter, checkpoint: str) -> None:
     """Process everything that has arrived, then stop; the checkpoint keeps state."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with rocksdb(spark):
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def to_files(rows: DataFrame, target: str) -> DataStreamWriter:
     return rows.writeStream.format("parquet").outputMode("append").option("path", target)
-
-
-def arrive_in_slices(
-    table: DataFrame, order: str, consume: Callable[[DataFrame, str], None], slices: int = 4
-) -> str:
-    """Let ``table`` arrive in time slices and consume each as a stream.
-
-    After a slice is written the stream is drained, so state crosses restarts
-    as well as micro-batches. Returns the working folder.
-    """
-    spark = table.sparkSession
-    folder = scratch_path(spark, "stream")
-    table.write.parquet(f"{folder}/staged")
-    staged = spark.read.schema(table.schema).parquet(f"{folder}/staged")
-    shares = [i / slices for i in range(1, slices)]
-    inner = sorted(set(staged.approxQuantile(order, shares, 0.01)))
-    for low, high in zip([None, *inner], [*inner, None]):
-        part = staged
-        if low is not None:
-            part = part.where(F.col(order) > low)
-        if high is not None:
-            part = part.where(F.col(order) <= high)
-        part.write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
-        consume(stream, folder)
-    return folder

@@ -58,11 +58,11 @@ LOOKUP_KEYS = """lookup_keys AS (
   UNION SELECT 'missing/' || doc_id FROM docs WHERE doc_id % 50 = 1 AND doc_id % 7 <> 0)"""
 
 PAYLOADS = """payloads AS (
-  SELECT doc_id AS payload_id,
+  SELECT doc_id * 2 + half AS payload_id,
     CASE doc_id % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'live' ELSE 'passport' END AS doc_type,
-    CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 50) WHEN 2 THEN repeat('x', 99)
-      WHEN 3 THEN repeat('x', 100) ELSE text END AS content
-  FROM documents)"""
+    CASE WHEN half = 0 THEN text WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN repeat('x', 50)
+      WHEN doc_id % 5 = 2 THEN repeat('x', 99) WHEN doc_id % 5 = 3 THEN repeat('x', 100) END AS content
+  FROM documents CROSS JOIN (VALUES (0), (1)) AS v(half))"""
 
 NATIONAL_IDS = """plain_ids AS (
   SELECT c_custkey AS k,
@@ -128,9 +128,9 @@ MRZ_LINES = f"""mrz_raw AS (
   FROM (SELECT c_custkey AS k, lower(c_mktsegment) AS seg, {_CODE3.format(k='c_nationkey')} AS code3
         FROM customer)
 ), mrz_lines AS (
-  SELECT passport_id,
-    CASE WHEN passport_id % 7 = 0 THEN raw1 ELSE rpad(raw1, 44, '<') END AS line1,
-    CASE WHEN passport_id % 41 = 0 THEN NULL WHEN passport_id % 7 = 0 THEN raw2
+  SELECT passport_id, passport_id % 37 <> 0 AS zone_found,
+    CASE WHEN passport_id % 37 = 0 THEN NULL WHEN passport_id % 7 = 0 THEN raw1 ELSE rpad(raw1, 44, '<') END AS line1,
+    CASE WHEN passport_id % 37 = 0 OR passport_id % 41 = 0 THEN NULL WHEN passport_id % 7 = 0 THEN raw2
          ELSE rpad(raw2, 44, '<') END AS line2
   FROM mrz_raw)"""
 
@@ -238,9 +238,13 @@ PRESENCE = KEPT + """, presence AS (
   FROM images i LEFT JOIN kept k ON k.image_id = i.image_id GROUP BY i.image_id)"""
 
 DIGITS = """boxed AS (
-  SELECT l_orderkey AS image_id, l_linenumber, l_partkey, i, (l_partkey + i * 131) % 600 // 10 AS x1, l_suppkey,
-    (l_partkey + l_suppkey * i) % 10 AS digit
-  FROM lineitem CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i)
+  SELECT l_orderkey AS image_id, l_linenumber, l_partkey, l_suppkey, i,
+    CASE WHEN l_partkey % 7 = 2 THEN l_partkey % 40 + i // 2 * 2 ELSE (l_partkey + i * 131) % 600 // 10 END AS x1,
+    CASE WHEN l_partkey % 7 = 2 AND i = 0 THEN 1 + l_suppkey % 3 ELSE (l_partkey + l_suppkey * i) % 10 END AS digit
+  FROM lineitem CROSS JOIN range(14) AS v(i) WHERE i < 4 OR l_partkey % 7 = 2
+), box_numbers AS (
+  SELECT image_id, l_linenumber, l_partkey, l_suppkey, string_agg(digit::VARCHAR, '' ORDER BY x1, i) AS id_number
+  FROM boxed GROUP BY image_id, l_linenumber, l_partkey, l_suppkey
 ), numbers AS (
   SELECT image_id, string_agg(digit::VARCHAR, '' ORDER BY x1, l_linenumber, l_partkey, l_suppkey, i) AS id_number,
          count(*) AS n_digits
@@ -303,10 +307,57 @@ PIXELS = """points AS (
       * ([0, 0.05, 0.06, 0.08, 0.15, 0.35, 1]::DOUBLE[])[vec_id % 7 + 1]
       + ((vec_id % 3 - 1) * 100)::DOUBLE, 0::DOUBLE), 255::DOUBLE))::INTEGER AS g
   FROM points
-), image_sizes AS (
-  SELECT vec_id AS image_id, CASE WHEN vec_id % 4 = 0 THEN 320 ELSE 640 END AS width,
-    CASE WHEN vec_id % 4 = 0 THEN 240 ELSE 480 END AS height, vec_id % 5 <> 0 AS card_found
-  FROM embeddings)"""
+)"""
+
+IMAGES = PIXELS + """, images AS (
+  SELECT *, 8 * sx AS width, 8 * sy AS height, NOT broken AND image_id % 5 <> 0 AS card_found,
+    image_id % 3 * sx AS crop_x1, image_id % 2 * sy AS crop_y1, (8 - image_id % 2) * sx AS crop_x2,
+    (8 - image_id % 4) * sy AS crop_y2
+  FROM (SELECT vec_id AS image_id, vec_id % 31 = 7 AS broken, CASE WHEN vec_id % 25 = 1 THEN 50 ELSE 1 END AS sx,
+    CASE WHEN vec_id % 25 = 1 THEN 38 ELSE 1 END AS sy FROM embeddings)
+), points_of_images AS (
+  SELECT image_id, x * sx + i AS x, y * sy + j AS y, g
+  FROM pixels JOIN images USING (image_id), range(sx) AS a(i), range(sy) AS b(j) WHERE NOT broken
+), edges AS (
+  SELECT image_id, coalesce(lag(g) OVER along, lead(g) OVER along, g) + coalesce(lead(g) OVER along, lag(g) OVER along, g)
+    + coalesce(lag(g) OVER down, lead(g) OVER down, g) + coalesce(lead(g) OVER down, lag(g) OVER down, g) - 4 * g AS v
+  FROM points_of_images
+  WINDOW along AS (PARTITION BY image_id, y ORDER BY x), down AS (PARTITION BY image_id, x ORDER BY y)
+), stats AS (
+  SELECT image_id, (count(*) * sum(v * v) - sum(v) * sum(v))::DOUBLE / (count(*) * count(*)) AS lap
+  FROM edges GROUP BY image_id
+), greys AS (SELECT image_id, sum(g)::DOUBLE / count(*) AS grey FROM points_of_images GROUP BY image_id
+), measures AS (
+  SELECT image_id, lap, grey, width, height, least(lap / 100, 1) AS blur, lap < 50 AS is_blurry,
+    grey < 50 AS is_too_dark, grey > 200 AS is_too_bright, width >= 400 AND height >= 300 AS size_ok
+  FROM images LEFT JOIN stats USING (image_id) LEFT JOIN greys USING (image_id) WHERE NOT broken
+), graded AS (
+  SELECT *, trunc((blur * 0.5::DOUBLE + (CASE WHEN grey > 50 AND grey < 200 THEN 1 ELSE 0.5 END)::DOUBLE * 0.3::DOUBLE
+    + (CASE WHEN size_ok THEN 1 ELSE 0.5 END)::DOUBLE * 0.2::DOUBLE) * 100)::INTEGER AS quality_score FROM measures
+), levels AS (
+  SELECT *, CASE WHEN quality_score >= 70 AND NOT is_blurry THEN 'good' WHEN quality_score >= 50 THEN 'medium'
+    ELSE 'poor' END AS quality_level FROM graded
+), rated AS (
+  SELECT image_id, quality_score, quality_level, printf('%.2f', blur)::DOUBLE AS blur_score,
+    printf('%.2f', grey)::DOUBLE AS brightness, is_blurry, is_too_dark, is_too_bright, size_ok, width, height,
+    CASE quality_level WHEN 'good' THEN 'Perfect! Hold steady.'
+      WHEN 'medium' THEN CASE WHEN is_blurry THEN 'Image is blurry. Hold steady.'
+        WHEN is_too_dark THEN 'Too dark. Find better lighting.'
+        WHEN is_too_bright THEN 'Too bright. Reduce glare.' ELSE 'Adjust position for better quality.' END
+      ELSE CASE WHEN is_blurry THEN 'Too blurry. Hold camera steady.'
+        WHEN is_too_dark THEN 'Too dark. Need more light.'
+        WHEN is_too_bright THEN 'Too bright. Move away from light.'
+        WHEN NOT size_ok THEN 'Move closer to ID card.' ELSE 'Poor quality. Adjust position.' END END AS feedback
+  FROM levels
+), photos AS (
+  SELECT i.image_id, broken, card_found, v AS variance, card_found AND coalesce(v, 0) > 100 AS detected,
+    width AS frame_w, height AS frame_h, crop_x1, crop_y1, crop_x2, crop_y2
+  FROM images i LEFT JOIN (
+    SELECT image_id, (count(*) * sum(g * g) - sum(g) * sum(g))::DOUBLE / (count(*) * count(*)) AS v
+    FROM points_of_images JOIN images USING (image_id)
+    WHERE card_found AND y >= crop_y1 AND y < crop_y2 AND x >= crop_x1
+      AND x < crop_x1 + trunc((crop_x2 - crop_x1) * 0.3::DOUBLE) GROUP BY image_id) p ON p.image_id = i.image_id
+)"""
 
 FACES = """following AS (
   SELECT a.vec_id, a.embedding AS own, coalesce(b.embedding, a.embedding) AS nxt
@@ -329,6 +380,7 @@ OTP = """otp_events AS (
     CASE WHEN event_type IN ('purchase', 'error') THEN 'verify' ELSE 'send' END AS action,
     CASE WHEN event_type IN ('purchase', 'error') AND event_id % 4 = 0 THEN '000000'
          ELSE lpad((user_id * 7919 % 1000000)::VARCHAR, 6, '0') END AS code,
+    CASE WHEN event_id % 29 = 7 THEN 'HTTP request failed: Timeout' WHEN event_id % 13 = 5 THEN 'Twilio error 400: {}' END AS failed,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events
 ), replay AS (
@@ -342,11 +394,11 @@ OTP = """otp_events AS (
     CASE WHEN e.action = 'send' THEN CASE WHEN r.held IS NOT NULL AND e.micros < r.expiry THEN r.expiry
               ELSE e.micros + 14400000000 END
          WHEN r.held IS NOT NULL AND e.micros <= r.expiry AND e.code = r.held THEN NULL ELSE r.expiry END,
-    CASE WHEN e.action = 'send' THEN r.held IS NULL OR e.micros >= r.expiry
+    CASE WHEN e.action = 'send' THEN (r.held IS NULL OR e.micros >= r.expiry) AND e.failed IS NULL
          ELSE r.held IS NOT NULL AND e.micros <= r.expiry AND e.code = r.held END,
     CASE WHEN e.action = 'send' THEN CASE WHEN r.held IS NOT NULL AND e.micros < r.expiry
               THEN 'OTP already sent. Please wait ' || ((r.expiry - e.micros) // 1000000) || ' seconds.'
-              ELSE 'OTP sent successfully!' END
+              ELSE coalesce(e.failed, 'OTP sent successfully!') END
          WHEN r.held IS NULL THEN 'No OTP requested for this phone.'
          WHEN e.micros > r.expiry THEN 'OTP expired.'
          WHEN e.code <> r.held THEN 'Invalid OTP.'
@@ -419,6 +471,14 @@ CASES = """scanned AS (
   SELECT * FROM edited UNION ALL
   SELECT * FROM scanned WHERE case_id % 6 <> 0
 ), review AS (
+  SELECT c_custkey AS case_id, 'Phone' AS label,
+    CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '+20' || lpad(c_custkey::VARCHAR, 10, '0') END AS value
+  FROM customer WHERE c_custkey % 9 <> 0 OR c_custkey % 10 <> 3 OR c_custkey % 8 <> 0
+  UNION ALL
+  SELECT c_custkey, 'Document', CASE WHEN c_custkey % 10 <> 3 AND c_custkey % 14 <> 0
+    THEN 'scan' || c_custkey || '.jpg' ELSE '—' END
+  FROM customer WHERE c_custkey % 9 <> 0 OR c_custkey % 10 <> 3 OR c_custkey % 8 <> 0
+  UNION ALL
   SELECT case_id,
     upper(regexp_replace(key, '([A-Z])', ' \\1', 'g')[1]) || regexp_replace(key, '([A-Z])', ' \\1', 'g')[2:] AS label,
     coalesce(nullif(value, ''), '—') AS value

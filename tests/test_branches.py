@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from kredenz.operators import capture, documents, otp, quality
+from kredenz.operators import capture, documents, otp, quality, results
 from kredenz.plans import flows
 from kredenz.plans.catalog import QUERIES, TEST_TTL, _facts
 from kredenz.sources.tables import Inputs
@@ -37,12 +37,13 @@ def test_passports(spark):
 
 def test_images(spark):
     t = Inputs(spark, FOLDER)
-    rows = quality.image_quality(t.pixels(), t.image_sizes()).cache()
-    assert counts(rows, "quality_level") == {"good": 351, "medium": 94, "poor": 55}
+    rows = quality.image_quality(t.image_rows()).cache()
+    assert counts(rows, "quality_level") == {"good": 301, "medium": 91, "poor": 92, None: 16}
+    assert counts(rows, "size_ok") == {True: 20, False: 464, None: 16}
     assert len(counts(rows, "feedback")) >= 5
-    photo = quality.photo_variance(t.pixels(), t.image_sizes().withColumn("card_found", F.lit(True)))
+    photo = quality.photo_variance(t.image_rows()).where("variance IS NOT NULL")
     bands = photo.selectExpr("CASE WHEN variance > 200 THEN 2 WHEN variance > 100 THEN 1 ELSE 0 END AS b")
-    assert counts(bands, "b") == {2: 71, 1: 49, 0: 380}
+    assert counts(bands, "b") == {2: 55, 1: 26, 0: 306}
 
 
 def test_frames(spark):
@@ -73,7 +74,7 @@ def test_codes(spark):
     rows = otp.otp_replay(Inputs(spark, FOLDER).otp_events(), TEST_TTL)
     kinds = rows.selectExpr("regexp_replace(message, '[0-9]+', 'N') AS kind")
     assert counts(kinds, "kind") == {
-        "OTP sent successfully!": 4946, "OTP already sent. Please wait N seconds.": 1059, "OTP expired.": 2924,
+        "OTP sent successfully!": 4398, "Twilio error N: {}": 360, "HTTP request failed: Timeout": 188, "OTP already sent. Please wait N seconds.": 1059, "OTP expired.": 2924,
         "OTP verified successfully!": 493, "Invalid OTP.": 157, "No OTP requested for this phone.": 421,
     }
 
@@ -84,6 +85,46 @@ def test_records(spark):
     assert set(counts(rows, "angle")) == {0, 90, 180, 270}
     assert rows.where("error IS NULL").count() > 1000 and rows.where("error IS NOT NULL").count() > 1000
     assert rows.where("error IS NULL AND governorate <> 'Unknown'").count() > 10
+    assert rows.where("error IS NULL AND national_id = ''").count() > 1000
+    stored = QUERIES["national_id_results"](spark, FOLDER).cache()
+    assert not stored.where("result_json LIKE '%Invalid century digit%'").isEmpty()
+    assert not stored.where("result_json LIKE '%detected_fields\":[{%'").isEmpty()
+    names = counts(QUERIES["national_id_summary"](spark, FOLDER), "document_no")
+    assert names["N/A"] > 100 and len(names) > 20
+
+
+def test_rows_that_have_nothing_are_kept(spark):
+    """Rows without a type, a line, a box, a face or a field."""
+    t = Inputs(spark, FOLDER)
+    sizes = {
+        "doc_type_dispatch": 3000, "field_last_wins": 15000, "face_similarity": 500, "face_verification": 500,
+        "mrz_sex": 1500, "mrz_date": 1500, "upload_guard": 2000, "result_counts": 3, "capture_result": 10000,
+    }
+    for name, size in sizes.items():
+        assert QUERIES[name](spark, FOLDER).count() == size, name
+    assert not t.mixed_payloads().where("doc_type IS NULL").isEmpty()
+    assert QUERIES["field_last_wins"](spark, FOLDER).where("full_name = ' '").count() > 100
+    assert QUERIES["face_similarity"](spark, FOLDER).where("error IS NOT NULL").count() == 500 - 445
+    review = QUERIES["review_unpivot"](spark, FOLDER).cache()
+    assert review.where("label = 'Phone'").count() == review.select("case_id").distinct().count()
+    assert not review.where("label = 'Document' AND value = '—'").isEmpty()
+    empty = results.result_counts(t.ocr_results().limit(0), t.asset_chunks().limit(0)).collect()
+    assert {(r.store, r.n) for r in empty} == {("id", 0), ("passport", 0), ("documents", 0)}
+
+
+def test_passport_failures(spark):
+    stored = QUERIES["envelope_write"](spark, FOLDER).cache()
+    for text, zone in (("Could not detect Machine", "false"), ("Insufficient OCR results", "true")):
+        rows = stored.where(F.col("result_json").contains(text))
+        assert rows.count() > 10
+        assert rows.where(~F.col("result_json").contains(f'"mrz_detected":{zone}')).isEmpty()
+
+
+def test_capture_records(spark):
+    rows = QUERIES["capture_result"](spark, FOLDER).cache()
+    kinds = counts(rows.where("error IS NULL"), "photo_is_clear")
+    assert set(kinds) == {True, False, None}
+    assert rows.where("error IS NOT NULL AND (detected OR field_count > 0 OR quality_score IS NOT NULL)").isEmpty()
 
 
 def test_results(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kredenz.operators import quality
 from kredenz.sources.images import LOAD_ERROR, adjust_pixels, apply_detector, image_adjust, image_scan
-from kredenz.sources.pictures import png_bytes
+from workload.pictures import png_bytes
 
 
 @pytest.fixture(scope="module")
@@ -55,29 +55,31 @@ def naive_laplacian(g):
     ]
 
 
-def test_quality_from_rows_and_from_pixels(spark, pictures):
+def test_quality_of_rows_against_pixel_by_pixel(spark, pictures):
     folder, made = pictures
     images = scanned(spark, folder)
-    by_row = {r.path: r for r in quality.image_rows_quality(images).collect()}
-    greys = {name: quality.grey(p) for name, p in made.items()}
-    points = [
-        (int(name[0]), x, y, int(g[y, x]), g.shape[1], g.shape[0])
-        for name, g in greys.items() for y in range(g.shape[0]) for x in range(g.shape[1])
-    ]
-    pixels = spark.createDataFrame(points, "image_id int, x int, y int, g int, grid_w int, grid_h int")
-    stats = {r.image_id: r for r in quality.pixel_statistics(pixels).collect()}
-    sizes = spark.createDataFrame(
-        [(int(n[0]), p.shape[1], p.shape[0]) for n, p in made.items()], "image_id int, width int, height int"
-    )
-    by_pixel = {f"{r.image_id}.png": r for r in quality.image_quality(pixels, sizes).collect()}
-    assert set(by_row) == set(made) == set(by_pixel)
-    for name, g in greys.items():
-        edges = np.array(naive_laplacian(g), dtype=float)
-        assert stats[int(name[0])].laplacian_variance == pytest.approx(edges.var())
-        assert stats[int(name[0])].mean_grey == pytest.approx(g.mean())
-        assert {**by_row[name].asDict(), "path": 0, "photo_variance": 0} == {
-            **{k: v for k, v in by_pixel[name].asDict().items() if k != "image_id"}, "path": 0, "photo_variance": 0,
-        }
+    rows = {r.path: r for r in quality.measured(images).collect()}
+    graded = {r.path: r for r in quality.image_quality(images).collect()}
+    assert set(rows) == set(graded) == {*made, "cut.png"}
+    assert rows["cut.png"].error == graded["cut.png"].error == LOAD_ERROR and graded["cut.png"].quality_level is None
+    for name, pixels in made.items():
+        g = quality.grey(pixels)
+        assert rows[name].laplacian_variance == pytest.approx(np.array(naive_laplacian(g), dtype=float).var())
+        assert rows[name].mean_grey == pytest.approx(g.mean())
+        assert rows[name].variance is None and rows[name].card_found is False
+
+
+def test_photo_is_measured_on_the_card(spark, pictures):
+    """The left part of the card's box, not of the frame."""
+    folder, made = pictures
+    box = F.when(F.col("path") == "0.png", 2), F.when(F.col("path") == "0.png", 1), F.when(F.col("path") == "0.png", 8), F.when(F.col("path") == "0.png", 7)
+    images = scanned(spark, folder).withColumns(dict(zip(quality.CROP, box)))
+    rows = {r.path: r for r in quality.photo_variance(images).collect()}
+    part = quality.grey(made["0.png"])[1:7, 2:8][:, : int(6 * 0.3)]
+    assert rows["0.png"].variance == pytest.approx(part.var())
+    assert rows["0.png"].detected == (part.var() > 100)
+    assert rows["1.png"].variance is None and rows["1.png"].detected is False
+    assert rows["cut.png"].detected is None
 
 
 def naive_adjust(bgr, grey, brightness, contrast, sharpness):
