@@ -10,43 +10,45 @@ from kredenz.streaming.assets import asset_stream, latest_assets
 from kredenz.streaming.capture import capture_stream
 from kredenz.streaming.otp import otp_stream
 from kredenz.streaming.results import compact_results, read_results, result_upsert_stream
-from kredenz.streaming.runs import arrive_in_slices, drain, to_files
+from kredenz.streaming.runs import PROVIDER, drain, to_files
+from workload.streams import arrive
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def streamed(spark, table, order, operator, slices=4):
+def streamed(spark, table, order, key, operator, slices=4):
     def consume(stream, work):
-        drain(to_files(operator(stream), f"{work}/out"), f"{work}/checkpoint")
+        drain(spark, to_files(operator(stream), f"{work}/out"), f"{work}/checkpoint")
 
-    work = arrive_in_slices(table, order, consume, slices=slices)
+    work = arrive(table, order, key, consume, slices=slices)
+    assert spark.conf.get(PROVIDER, None) is None or "RocksDB" not in spark.conf.get(PROVIDER)
     return spark.read.parquet(f"{work}/out")
 
 
 def test_otp(spark, folder):
     events = Inputs(spark, folder).otp_events().withColumn("arrival", otp.micros())
-    got = streamed(spark, events, "arrival", lambda s: otp_stream(s, 14_400))
+    got = streamed(spark, events, "arrival", "phone", lambda s: otp_stream(s, 14_400))
     assert rows(got) == rows(otp.otp_replay(events, 14_400).select(*got.columns))
 
 
 def test_assets(spark, folder):
     chunks = Inputs(spark, folder).asset_chunks()
-    got = latest_assets(streamed(spark, chunks, "seq", asset_stream))
+    got = latest_assets(streamed(spark, chunks, "seq", "path", asset_stream))
     assert rows(got) == rows(assets.asset_assemble(chunks).select(*got.columns))
 
 
 def test_assets_with_binary_chunks(spark, folder):
     chunks = Inputs(spark, folder).asset_chunks().withColumn("chunk", F.col("chunk").cast("binary"))
-    got = latest_assets(streamed(spark, chunks, "seq", asset_stream, slices=2))
+    got = latest_assets(streamed(spark, chunks, "seq", "path", asset_stream, slices=2))
     assert rows(got) == rows(assets.asset_assemble(chunks).select(*got.columns))
 
 
 def test_capture(spark, folder):
     facts = _facts(Inputs(spark, folder)).drop("missing_labels")
     arriving = facts.drop("ready_for_capture").withColumn("arrival", otp.micros())
-    got = streamed(spark, arriving, "arrival", capture_stream)
+    got = streamed(spark, arriving, "arrival", "session_id", capture_stream)
     assert rows(got) == rows(capture.capture_pick(facts).select(*got.columns))
 
 
@@ -54,14 +56,14 @@ def test_results_with_a_replayed_batch(spark, folder):
     log = Inputs(spark, folder).ocr_results()
 
     def consume(stream, work):
-        drain(result_upsert_stream(stream, f"{work}/out"), f"{work}/checkpoint")
+        drain(spark, result_upsert_stream(stream, f"{work}/out"), f"{work}/checkpoint")
 
-    work = arrive_in_slices(log, "seq", consume, slices=4)
+    work = arrive(log, "seq", "path", consume, slices=4)
     expected = rows(result_upsert(log))
     assert rows(read_results(spark, f"{work}/out").select(*result_upsert(log).columns)) == expected
     # A second query without the first one's checkpoint writes the same batches again.
     again = spark.readStream.schema(log.schema).parquet(f"{work}/in")
-    drain(result_upsert_stream(again, f"{work}/out"), f"{work}/fresh-checkpoint")
+    drain(spark, result_upsert_stream(again, f"{work}/out"), f"{work}/fresh-checkpoint")
     assert rows(read_results(spark, f"{work}/out").select(*result_upsert(log).columns)) == expected
     compact_results(spark, f"{work}/out", f"{work}/compacted")
     settled = spark.read.parquet(f"{work}/compacted")

@@ -1,4 +1,4 @@
-"""Writing image rows as PNG files into the shared folder."""
+"""Image rows as PNG files in the shared folder, for the image scan to read."""
 
 from __future__ import annotations
 
