@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from kredenz.functions.text import size_label
-from kredenz.runtime import with_position
+from kredenz.runtime import with_rank
 
 BLOCK_BITS = 12
 BLOCK = 1 << BLOCK_BITS
@@ -170,7 +170,7 @@ def chunk_split(files: DataFrame, size: int = 2_000_000) -> DataFrame:
 
 def doc_id_assign(uploads: DataFrame, order: str = "seq") -> DataFrame:
     """Dense 0-based document ids in arrival order."""
-    return with_position(uploads, order, name="doc_id")
+    return with_rank(uploads, order, name="doc_id")
 
 
 def image_files(assets: DataFrame) -> DataFrame:

@@ -82,3 +82,31 @@ def with_position(df: DataFrame, *order: Column | str, name: str = "position") -
     return ordered.join(F.broadcast(offsets), "_block").select(
         *df.columns, (F.col("_before") + F.col("_row")).alias(name)
     )
+
+
+RANK_BITS = 16  # values in a block, and blocks in a span, of a whole-number order
+
+
+def with_rank(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Dense 0-based rank by a whole-number column, in one plan.
+
+    Rows are numbered inside blocks of neighbouring values; a block starts after all
+    rows of earlier blocks of its span and all earlier spans. Only the spans, one row
+    for every 2**32 values in use, are summed up in one task.
+    """
+    block = F.shiftright(F.col(order).cast("bigint"), RANK_BITS)
+    keyed = df.withColumn("_block", block)
+    counts = keyed.groupBy("_block").agg(F.count("*").alias("_rows"))
+    counts = counts.withColumn("_span", F.shiftright("_block", RANK_BITS))
+
+    def before(*keys: str, by: str) -> Column:
+        window = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_rows").over(window), F.lit(0))
+
+    spans = counts.groupBy("_span").agg(F.sum("_rows").alias("_rows"))
+    spans = spans.select("_span", before(by="_span").alias("_earlier"))
+    starts = counts.select("_block", "_span", before("_span", by="_block").alias("_within"))
+    starts = starts.join(spans, "_span").select("_block", (F.col("_earlier") + F.col("_within")).alias("_before"))
+    row = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    numbered = keyed.withColumn("_row", row).join(starts, "_block")
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_row") - 1).alias(name))

@@ -7,7 +7,8 @@ import pytest
 from kredenz.plans.catalog import QUERIES
 
 # One task sees one row per shuffle partition here, never the data.
-OFFSETS = {"doc_id_assign", "rating_join"}
+OFFSETS = {"rating_join"}
+SPANS = {"doc_id_assign"}
 PYTHON = {
     "otp_replay", "verified_phones", "otp_state", "image_adjust", "apply_detector", "image_quality",
     "photo_variance", "image_rows_quality", "capture_from_pixels", "capture_result",
@@ -30,7 +31,7 @@ def shuffled(spark):
 def test_plan(shuffled, folder, name):
     plan = plan_of(QUERIES[name](shuffled, folder))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert ("SinglePartition" in plan) == (name in OFFSETS)
+    assert ("SinglePartition" in plan) == (name in OFFSETS | SPANS)
     assert bool(re.search("MapInPandas|EvalPython", plan)) == (name in PYTHON)
     # A broadcast without a threshold is a hint: only the offset table has one.
     assert ("BroadcastExchange" in plan) == (name in OFFSETS)
