@@ -96,9 +96,14 @@ def asset_assemble(
         )
     else:
         rows = _published(chunks, bounds)
-    return rows.groupBy("path", "mime_type").agg(
-        F.count("*").alias("n_chunks"),
-        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("content"),
+    # The join has dealt rows out by path and block, so pieces are made where they are.
+    pieces = rows.groupBy("path", "block", "mime_type").agg(
+        F.count("*").alias("n"),
+        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("piece"),
+    )
+    return pieces.groupBy("path", "mime_type").agg(
+        F.sum("n").alias("n_chunks"),
+        F.expr("listagg(piece) WITHIN GROUP (ORDER BY block)").alias("content"),
     )
 
 
