@@ -30,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kredenz.llm.batches import Words, slices, texts, totals, word_table
+from kredenz.llm.batches import Words, gather, slices, texts, totals, word_table
 
-SAMPLE = 3_000  # documents of each label
+SAMPLE = 2_000  # documents of each label
 SAMPLE_BYTES = 20_000  # longest document of the sample
 BITS = 18
 BLOCK = 64
-STEPS = 40
-PRECISION, SURPRISE = 0.95, 5.0
+STEPS = 30
+RIDGE = 0.3
+PRECISION, SURPRISE = 0.8, 6.0
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -159,7 +160,7 @@ def fit_chain(words: Words, tags: np.ndarray) -> Chain:
         missing = toxic_words - np.bincount(words.codes, p, n)
         gradient = np.concatenate(
             [
-                np.bincount(flat, missing[owner], 1 << BITS) - 0.02 * v[: 1 << BITS],
+                np.bincount(flat, missing[owner], 1 << BITS) - RIDGE * v[: 1 << BITS],
                 [missing.sum()],
                 (seen - pair).ravel(),
                 seen_first - np.array([(1 - p[first]).sum(), p[first].sum()]),
@@ -173,14 +174,17 @@ def fit_chain(words: Words, tags: np.ndarray) -> Chain:
 
 
 def evidence(marginals: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: 1, log of the expected toxic words, logit of the highest marginal."""
-    top = np.zeros(len(offsets) - 1)
-    full = np.diff(offsets) > 0
-    if full.any():
-        top[full] = np.maximum.reduceat(marginals, offsets[:-1][full])
-    top = np.clip(top, 1e-4, 1 - 1e-4)
+    """Per text: 1, log of the expected toxic words, logits of the two highest marginals."""
+    counts = np.diff(offsets)
+    order = np.lexsort((marginals, np.repeat(np.arange(len(counts)), counts)))
+    tops = []
+    for rank in (1, 2):
+        top = np.zeros(len(counts))
+        top[counts >= rank] = marginals[order[offsets[1:][counts >= rank] - rank]]
+        top = np.clip(top, 1e-6, 1 - 1e-6)
+        tops.append(np.log(top / (1 - top)))
     expected = np.maximum(totals(marginals, offsets), 0)
-    return np.column_stack([np.ones(len(top)), np.log(expected + 1e-2), np.log(top / (1 - top))])
+    return np.column_stack([np.ones(len(counts)), np.log(expected + 1e-2), *tops])
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -210,8 +214,10 @@ def toxic_features(words: Words, toxic: np.ndarray) -> np.ndarray:
         counts[int(toxic[k]), mine] += 1
     clean, bad = counts
     share = toxic.mean()
-    expected = (clean + bad) * share
-    surprise = (bad - expected) / np.sqrt(expected * (1 - share) + 0.25)
+    seen = np.maximum(clean + bad, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):  # 0 log 0 counts as 0
+        deviance = np.nan_to_num(bad * np.log(bad / (seen * share))) + np.nan_to_num(clean * np.log(clean / (seen * (1 - share))))
+    surprise = np.sqrt(np.maximum(2 * deviance, 0))
     precision = (bad / toxic.sum()) / (bad / toxic.sum() + (clean + 0.1) / (~toxic).sum())
     return (bad >= 3) & (surprise >= SURPRISE) & (precision >= PRECISION)
 
@@ -238,6 +244,14 @@ def first_of_copies(words: Words, shingle: int = 5) -> np.ndarray:
     return np.array(keep, bool)
 
 
+def chosen_words(words: Words, chosen: np.ndarray, tags: np.ndarray) -> tuple[Words, np.ndarray]:
+    """The words and tags of some documents, with distinct words of their own."""
+    begin, counts = words.offsets[chosen], words.counts[chosen]
+    distinct, codes = np.unique(gather(words.codes, begin, counts), return_inverse=True)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    return Words(codes, offsets, words.distinct.take(pa.array(distinct))), gather(tags, begin, counts)
+
+
 @dataclass
 class Model:
     chain: Chain
@@ -256,8 +270,12 @@ def fit(sample: list[tuple[str, bool]]) -> Model | None:
     marked = toxic_features(words, toxic)
     flat, owner = feature_table(words.distinct.to_pylist())
     bad_word = np.bincount(owner, marked[flat], len(words.distinct)) > 0
-    tags = (bad_word[words.codes] & toxic[words.owner]).astype(np.int64)
-    fitted = fit_chain(words, tags)
+    suspect = bad_word[words.codes]
+    # The chain learns from the toxic documents, the clean ones with suspect words, and as many others.
+    holds = totals(suspect, words.offsets) > 0
+    others = np.flatnonzero(~toxic & ~holds)[: int(toxic.sum())]
+    chosen = np.union1d(np.flatnonzero(toxic | holds), others)
+    fitted = fit_chain(*chosen_words(words, chosen, (suspect & toxic[words.owner]).astype(np.int64)))
     score = fitted.emissions(flat, owner, len(words.distinct))[words.codes]
     curve = fit_curve(evidence(fitted.marginals(score, words.offsets), words.offsets), toxic.astype(float))
     return Model(fitted, curve)
