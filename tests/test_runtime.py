@@ -1,6 +1,7 @@
 """Session helpers: scratch folder and ranks."""
 
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -8,16 +9,17 @@ from kredenz.runtime import scratch_path, shared_dir, with_rank
 
 
 def test_scratch_lies_in_the_folder_the_session_names(spark, tmp_path):
-    assert spark.conf.get("spark.checkpoint.dir", None) is None
-    own = shared_dir(spark)
-    assert own.startswith(spark.conf.get("spark.sql.warehouse.dir")) and shared_dir(spark) == own
-    assert spark.conf.get("spark.checkpoint.dir", None) is None
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/")
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-        assert scratch_path(spark, "x").startswith(f"{tmp_path}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/"})
+    assert shared_dir(named) == str(tmp_path)
+    assert scratch_path(named, "x").startswith(f"{tmp_path}/x-")
+
+
+def test_scratch_without_a_named_folder_lies_beside_the_tables(spark, tmp_path):
+    settings = {"spark.sql.warehouse.dir": f"file://{tmp_path}/tables"}
+    session = SimpleNamespace(conf=settings, sparkContext=spark.sparkContext)
+    own = shared_dir(session)
+    assert own.startswith(settings["spark.sql.warehouse.dir"]) and shared_dir(session) == own
+    assert (tmp_path / "tables").is_dir() and "spark.checkpoint.dir" not in settings
 
 
 def test_ranks_over_blocks_and_spans(spark):
