@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: error of a pair with a side missing.
+# Errors of a pair with an image missing, and with an image that shows no face.
+NO_IMAGE = "Both id_image and live_image are required"
 NO_FACE = "Face not detected in one of the images"
 
 

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kredenz.functions.faces import NO_FACE, cosine, match_band
+from kredenz.functions.faces import NO_FACE, NO_IMAGE, cosine, match_band
 
 
 def face_pair_join(id_faces: DataFrame, live_faces: DataFrame) -> DataFrame:
-    """ID and live vector per case; a missing side gives an error row."""
-    pairs = id_faces.join(live_faces, "case_id", "full")
-    incomplete = F.col("id_embedding").isNull() | F.col("live_embedding").isNull()
-    return pairs.withColumn("error", F.when(incomplete, NO_FACE))
+    """ID and live vector per case, with an error for an incomplete pair.
+
+    A side without a row sent no image; a row without a vector shows no face.
+    """
+    pairs = id_faces.withColumn("_id", F.lit(True)).join(live_faces.withColumn("_live", F.lit(True)), "case_id", "full")
+    absent = F.col("_id").isNull() | F.col("_live").isNull()
+    return pairs.withColumn("error", F.when(absent, NO_IMAGE).when(_incomplete(), NO_FACE)).drop("_id", "_live")
+
+
+def _incomplete() -> Column:
+    return F.col("id_embedding").isNull() | F.col("live_embedding").isNull()
 
 
 def face_similarity(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Cosine score and match band; incomplete pairs keep their error."""
-    incomplete = F.col("id_embedding").isNull() | F.col("live_embedding").isNull()
-    score = F.when(~incomplete, cosine(F.col("id_embedding"), F.col("live_embedding")))
-    scored = pairs.select(
-        "case_id", score.alias("similarity_score"), F.when(incomplete, NO_FACE).alias("error")
-    )
+    score = F.when(~_incomplete(), cosine(F.col("id_embedding"), F.col("live_embedding")))
+    scored = pairs.select("case_id", score.alias("similarity_score"), "error")
     return scored.withColumns(match_band(F.col("similarity_score"), threshold))
+
+
+def face_response(verified: DataFrame, requested: Column) -> DataFrame:
+    """The response of a verification request: its result and time on success, else its error."""
+    ok = F.col("error").isNull()
+    result = F.struct("similarity_score", "is_match", "threshold", "confidence")
+    return verified.select(
+        "case_id",
+        ok.alias("success"),
+        F.when(ok, result).alias("verification_result"),
+        F.when(ok, requested).alias("request_timestamp"),
+        "error",
+    )

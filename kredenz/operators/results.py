@@ -9,6 +9,10 @@ from kredenz.functions.text import or_else
 
 ID, PASSPORT, DOCUMENTS = "id", "passport", "documents"
 
+# What the store keeps for a failed call and for an answer that is no text.
+CALL_FAILED = '{"status":"error","message":"HTTP outcall failed","data":null}'
+NOT_DECODED = '{"status":"error","message":"Failed to decode OCR response","data":null}'
+
 # What debug records and face records say when nothing was found.
 NO_MRZ, NO_ID_FACE = "No MRZ detected", "No face detected in ID image"
 
@@ -48,6 +52,18 @@ def result_upsert(log: DataFrame) -> DataFrame:
     )
 
 
+def outcall_results(answers: DataFrame) -> DataFrame:
+    """Rows to store from the answers of recognition calls.
+
+    ``answers`` has ``doc_type, path, seq, answer`` (bytes) and ``failed``. A failed call, and an
+    answer that is no UTF-8, are stored as the store's own error text.
+    """
+    text = F.try_validate_utf8(F.col("answer").cast("string"))
+    failed = F.coalesce("failed", F.lit(False))
+    stored = F.when(failed, CALL_FAILED).otherwise(F.coalesce(text, F.lit(NOT_DECODED)))
+    return answers.select("doc_type", "path", "seq", stored.alias("result_json"))
+
+
 def result_list(results: DataFrame) -> DataFrame:
     return results.orderBy("doc_type", "path")
 

@@ -117,6 +117,12 @@ def result_upsert(t: Inputs) -> DataFrame:
     return results.result_upsert(t.ocr_results())
 
 
+@query
+def outcall_results(t: Inputs) -> DataFrame:
+    """Stored texts of recognition calls, the failed and the undecodable among them."""
+    return results.result_upsert(results.outcall_results(t.outcalls()))
+
+
 @query
 def result_get(t: Inputs) -> DataFrame:
     latest = results.result_upsert(t.ocr_results())
@@ -520,6 +526,16 @@ def face_verification(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def face_response(t: Inputs) -> DataFrame:
+    verified = flows.face_verification(t.id_faces(), t.live_faces())
+    rows = faces.face_response(verified, F.expr("case_id * 0.5D + 1700000000"))
+    return rows.select(
+        "case_id", "success", F.round("verification_result.similarity_score", 6).alias("similarity_score"),
+        "verification_result.is_match", "verification_result.confidence", "request_timestamp", "error",
+    )
+
+
 # -- one-time codes -------------------------------------------------------
 
 OUTCOME = ["event_id", "phone", "action", "success", "message"]

@@ -301,8 +301,8 @@ class Inputs:
         )
 
     def id_faces(self) -> DataFrame:
-        """Face vectors of documents; null where no face was found."""
-        return self.table("embeddings").selectExpr(
+        """Face vectors of documents; null where no face was found, no row where no image was sent."""
+        return self.table("embeddings").where("vec_id % 23 <> 5").selectExpr(
             "vec_id AS case_id", "CASE WHEN vec_id % 17 <> 0 THEN embedding END AS id_embedding"
         )
 
@@ -310,7 +310,7 @@ class Inputs:
         """Each vector blended with its successor's; the last one stays itself."""
         vectors = self.table("embeddings").select("vec_id", "embedding")
         following = vectors.selectExpr("vec_id - 1 AS vec_id", "embedding AS following")
-        return vectors.join(following, "vec_id", "left").selectExpr(
+        return vectors.join(following, "vec_id", "left").where("vec_id % 23 <> 6").selectExpr(
             "vec_id AS case_id",
             """CASE WHEN vec_id % 19 <> 0 THEN zip_with(embedding, coalesce(following, embedding),
                  (a, b) -> cast(a AS DOUBLE) * (vec_id % 11 / 10D)
@@ -363,6 +363,16 @@ class Inputs:
             END AS result_json""",
         )
 
+    def outcalls(self) -> DataFrame:
+        """Answers of recognition calls, some failed and some that are no UTF-8."""
+        return self.table("customer").selectExpr(
+            "CASE WHEN c_custkey % 2 = 0 THEN 'id' ELSE 'passport' END AS doc_type",
+            "concat('uploads/', c_custkey div 3, '.jpg') AS path", "c_custkey AS seq",
+            """CASE WHEN c_custkey % 13 = 4 THEN unhex('7BC328') WHEN c_custkey % 17 = 2 THEN unhex('')
+                    ELSE cast(concat('{"n":', c_custkey, '}') AS BINARY) END AS answer""",
+            "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey % 11 = 3 END AS failed",
+        )
+
     def result_keys(self) -> DataFrame:
         return self.table("customer").where("c_custkey % 6 = 0").selectExpr(
             "CASE WHEN c_custkey % 12 = 0 THEN 'id' ELSE 'passport' END AS doc_type",

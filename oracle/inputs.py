@@ -250,13 +250,15 @@ DIGITS = """boxed AS (
          count(*) AS n_digits
   FROM boxed GROUP BY image_id)"""
 
-FRAMES = """frames AS (
+FRAME_ROWS = """frames AS (
   SELECT event_id AS frame_id, user_id AS session_id, ts, (event_id * 13 % 300)::DOUBLE AS photo_variance,
     event_id % 7 <> 0 AS card_found,
     CASE WHEN event_id % 6 < 3 THEN 'good' WHEN event_id % 6 < 5 THEN 'medium' ELSE 'poor' END AS quality_level,
     event_id % 5 = 4 AS is_blurry, event_id % 8 = 3 AS is_too_dark
   FROM events
-), frame_fields AS (
+)"""
+
+FRAME_RULES = """frame_fields AS (
   SELECT event_id AS frame_id, field, k, ((event_id * 37 + k * 101) % 700 + 300)::DOUBLE / 1000 AS confidence
   FROM events CROSS JOIN (VALUES ('firstName', 1, 2), ('lastName', 2, 7), ('nid', 3, 11),
                                  ('address', 4, 13), ('serial', 5, 9)) AS v(field, k, m)
@@ -299,6 +301,8 @@ FRAMES = """frames AS (
     ELSE 'All required fields detected. Improve image quality.' END AS message
   FROM ready)"""
 
+FRAMES = FRAME_ROWS + ", " + FRAME_RULES
+
 PIXELS = """points AS (
   SELECT vec_id AS image_id, vec_id, embedding, unnest(range(0, len(embedding))) AS p FROM embeddings
 ), pixels AS (
@@ -363,7 +367,8 @@ FACES = """following AS (
   SELECT a.vec_id, a.embedding AS own, coalesce(b.embedding, a.embedding) AS nxt
   FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1
 ), faces AS (
-  SELECT vec_id AS case_id, vec_id % 17 <> 0 AS has_id, vec_id % 19 <> 0 AS has_live, own,
+  SELECT vec_id AS case_id, vec_id % 23 NOT IN (5, 6) AS sent, vec_id % 17 <> 0 AND vec_id % 23 <> 5 AS has_id,
+    vec_id % 19 <> 0 AND vec_id % 23 <> 6 AS has_live, own,
     list_transform(list_zip(own, nxt), lambda z: z[1]::DOUBLE * ((vec_id % 11)::DOUBLE / 10)
       + z[2]::DOUBLE * (1::DOUBLE - (vec_id % 11)::DOUBLE / 10)) AS live
   FROM following

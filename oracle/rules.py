@@ -73,6 +73,12 @@ rule("image_files", i.SIZED, "SELECT path, mime_type, size FROM sized WHERE mime
 LATEST = "SELECT doc_type, path, seq, result_json FROM latest"
 rule("result_upsert", i.RESULTS, LATEST)
 rule("result_upsert_stream", i.RESULTS, LATEST)
+ORACLE["outcall_results"] = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'id' ELSE 'passport' END AS doc_type,
+    'uploads/' || (c_custkey // 3) || '.jpg' AS path, c_custkey AS seq,
+    CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 11 = 3 THEN '{"status":"error","message":"HTTP outcall failed","data":null}'
+      WHEN c_custkey % 13 = 4 THEN '{"status":"error","message":"Failed to decode OCR response","data":null}'
+      WHEN c_custkey % 17 = 2 THEN '' ELSE '{"n":' || c_custkey || '}' END AS result_json
+  FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 2, c_custkey // 3 ORDER BY c_custkey DESC) = 1"""
 rule("result_list", i.RESULTS, LATEST + " ORDER BY doc_type, path")
 rule(
     "result_get", i.RESULTS,
@@ -433,7 +439,7 @@ _SHOTS = """frames AS (
   SELECT event_id AS frame_id, user_id AS session_id, ts, coalesce(variance, 0) AS photo_variance, card_found,
     rated.* EXCLUDE (image_id), photos.* EXCLUDE (image_id, card_found)
   FROM events LEFT JOIN photos ON photos.image_id = event_id LEFT JOIN rated ON rated.image_id = event_id
-), """ + i.FRAMES[i.FRAMES.index("frame_fields AS (") :]
+), """ + i.FRAME_RULES
 rule(
     "capture_from_pixels", i.IMAGES,
     """SELECT frame_id, CASE WHEN quality_level IS NULL THEN 'Could not load image' END AS error, quality_level,
@@ -477,16 +483,23 @@ rule(
 
 # -- faces ----------------------------------------------------------------
 
-_NO_FACE = "'Face not detected in one of the images'"
+_NO_FACE = """CASE WHEN NOT sent THEN 'Both id_image and live_image are required'
+  WHEN NOT (has_id AND has_live) THEN 'Face not detected in one of the images' END"""
 rule(
     "face_pair_join", i.FACES,
-    f"""SELECT case_id, has_id, has_live, CASE WHEN NOT (has_id AND has_live) THEN {_NO_FACE} END AS error
+    f"""SELECT case_id, has_id, has_live, {_NO_FACE} AS error
        FROM faces""",
 )
 _COMPARED = f"""SELECT * FROM verified UNION ALL
   SELECT case_id, NULL, {_NO_FACE}, NULL, NULL, NULL FROM faces WHERE NOT (has_id AND has_live)"""
 rule("face_similarity", i.FACES, _COMPARED)
 rule("face_verification", i.FACES, _COMPARED)
+rule(
+    "face_response", i.FACES,
+    f"""SELECT case_id, error IS NULL AS success, similarity_score, is_match, confidence,
+         CASE WHEN error IS NULL THEN case_id * 0.5::DOUBLE + 1700000000 END AS request_timestamp, error
+       FROM ({_COMPARED})""",
+)
 
 # -- one-time codes -------------------------------------------------------
 
