@@ -34,7 +34,7 @@ from kredenz.llm.batches import slices
 from kredenz.llm.components import components
 from kredenz.runtime import pin
 
-SUBTREE = 50_000
+SUBTREE = 32_768
 FRONTIER = 400_000  # node pairs expanded at a time
 SEED = 42
 CHUNK = 65_536
@@ -126,16 +126,16 @@ def walk(values: np.ndarray, pairs: np.ndarray, bit: int, budget: int, found) ->
         a, z, b, y, spent = nodes.T
         same = (a == b) & (z == y)
         children = [
-            (a, m, b, k, spent, None),
-            (m, z, k, y, spent, None),
-            (a, m, k, y, spent + 1, None),
+            (a, m, b, k, spent, True),
+            (m, z, k, y, spent, True),
+            (a, m, k, y, spent + 1, True),
             (m, z, b, k, spent + 1, ~same),  # the mirror image of the one before
         ]
+        level = []
         for p, q, r, s, cost, also in children:
-            keep = (q > p) & (s > r) & (cost <= budget)
-            if also is not None:
-                keep &= also
-            todo.append((np.column_stack([p, q, r, s, cost])[keep], bit - 1))
+            keep = (q > p) & (s > r) & (cost <= budget) & also
+            level.append(np.column_stack([p[keep], q[keep], r[keep], s[keep], cost[keep]]))
+        todo.append((np.concatenate(level), bit - 1))
 
 
 def forest_links(values: np.ndarray, cross: tuple[int, int] | None, bit: int, budget: int, spent: int) -> list[tuple[int, int]]:
