@@ -34,8 +34,8 @@ from kredenz.llm.batches import slices
 from kredenz.llm.components import components
 from kredenz.runtime import pin
 
-SUBTREE = 32_768
-FRONTIER = 400_000  # node pairs expanded at a time
+SUBTREE = 131_072
+FRONTIER = 200_000  # node pairs expanded at a time
 SEED = 42
 CHUNK = 65_536
 

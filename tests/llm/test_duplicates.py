@@ -139,3 +139,14 @@ def test_removal_over_many_groups(spark, monkeypatch):
 def test_empty_tables(spark):
     none = documents(spark, [])
     assert near_duplicates(none).count() == remove_repeats(none).count() == 0
+
+
+def test_small_frontier_blocks_find_the_same_links(monkeypatch):
+    import kredenz.llm.simhash as module
+
+    monkeypatch.setattr(module, "FRONTIER", 50)
+    values = clustered(random.Random(9), 500)
+    forest = Forest(len(values))
+    for x, y in forest_links(np.array(values, np.uint64), None, 63, 2, 0):
+        forest.join(x, y)
+    assert [forest.root(k) for k in range(len(values))] == plain_components(values)
