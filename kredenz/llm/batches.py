@@ -6,6 +6,7 @@ words, so per-word Python work is done once per distinct word of a slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,6 +37,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     begins = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(begins, begins[1:]):
         yield batch.slice(a, b - a)
+        give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

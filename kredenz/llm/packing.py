@@ -5,7 +5,7 @@ linear plus quadratic in its length (attention). A batch with t tokens opens
 ``ceil(t / capacity)`` sequences; pieces go, longest first, to the sequence of
 lowest cost that still has room. A piece for which no sequence has room is cut
 over the sequences with most room, so that only the last tokens of a batch are
-padding (less than one sequence for each batch of about ``SLICE_BYTES`` of text).
+padding (less than one sequence for each batch of about ``PACKED_BYTES`` of text).
 
 Documents longer than a sequence are cut into full sequences and one rest.
 Sequence ids are unique over the table: partition, batch and sequence in one long.
@@ -32,6 +32,7 @@ from kredenz.llm.batches import gather, slices, texts, totals, word_table
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 JOINED = 512  # words per call in the joined form
 AT_ONCE = 8_192
+PACKED_BYTES = 10_000_000  # text packed at a time
 PIECE_COST, PAIR_COST = 1.0, 1.0 / 1024  # per token, and per pair of tokens
 
 
@@ -172,7 +173,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         closes[[i for word, i in named if word.endswith("</w>")]] = True
         base, used = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PACKED_BYTES):
                 ids, begins = tokenize(tokenizer, closes, texts(part), end_id)
                 ids = ids.astype("<u4")
                 sizes = np.diff(begins)
