@@ -36,6 +36,7 @@ SAMPLE = 2_000  # documents of each label
 SAMPLE_BYTES = 20_000  # longest document of the sample
 BITS = 18
 BLOCK = 64
+AT_ONCE = 200_000  # words whose messages are held at a time
 STEPS = 30
 RIDGE = 0.3
 PRECISION, SURPRISE = 0.8, 6.0
@@ -62,10 +63,21 @@ def features(word: str) -> list[int]:
 
 def feature_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all words one after another, and the word each belongs to."""
-    lists = [features(w) for w in words]
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((f for own in lists for f in own), np.int64, int(counts.sum()))
-    return flat, np.repeat(np.arange(len(lists)), counts)
+    flat, counts = [], []
+    for k in range(0, len(words), 20_000):  # few Python lists at a time
+        lists = [features(w) for w in words[k : k + 20_000]]
+        counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        flat.append(np.fromiter((f for own in lists for f in own), np.int32, int(counts[-1].sum())))
+    if not flat:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate(flat), np.repeat(np.arange(len(words), dtype=np.int32), np.concatenate(counts))
+
+
+def spans_of_texts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts with about ``AT_ONCE`` words each."""
+    part = offsets[:-1] // AT_ONCE
+    begins = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    return ((a, b) for a, b in zip(begins, begins[1:]) if offsets[b] > offsets[a])
 
 
 def chain(matrices: np.ndarray) -> np.ndarray:
@@ -125,11 +137,13 @@ class Chain:
 
     def marginals(self, score: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Probability that each word is toxic, given its whole text."""
-        if not len(score):
-            return np.zeros(0)
-        _, forward, backward = self.messages(score, offsets)
-        both = forward * backward
-        return both[:, 1] / both.sum(1)
+        out = np.zeros(len(score))
+        for a, b in spans_of_texts(offsets):
+            words = slice(offsets[a], offsets[b])
+            _, forward, backward = self.messages(score[words], offsets[a : b + 1] - offsets[a])
+            both = forward * backward
+            out[words] = both[:, 1] / both.sum(1)
+        return out
 
 
 def fit_chain(words: Words, tags: np.ndarray) -> Chain:
@@ -143,6 +157,7 @@ def fit_chain(words: Words, tags: np.ndarray) -> Chain:
     inner = np.ones(len(tags), bool)
     inner[first] = False
     at = np.flatnonzero(inner)
+    parts = list(spans_of_texts(words.offsets))
     seen = np.bincount(2 * tags[at - 1] + tags[at], minlength=4).reshape(2, 2).astype(float)
     seen_first = np.bincount(tags[first], minlength=2).astype(float)
     state = [np.concatenate([model.weights, [model.bias], model.moves.ravel(), model.start])]
@@ -151,18 +166,22 @@ def fit_chain(words: Words, tags: np.ndarray) -> Chain:
     for step in range(1, STEPS + 1):
         v = state[0]
         model = Chain(v[: 1 << BITS], float(v[1 << BITS]), v[-6:-2].reshape(2, 2), v[-2:])
-        score = model.emissions(flat, owner, n)[words.codes]
-        matrices, forward, backward = model.messages(score, words.offsets)
-        both = forward * backward
-        p = both[:, 1] / both.sum(1)
-        pair = forward[at - 1][:, :, None] * matrices[at] * backward[at][:, None, :]
-        pair = (pair / pair.sum((1, 2))[:, None, None]).sum(0)
+        emission = model.emissions(flat, owner, n)
+        p, pairs = np.zeros(len(tags)), np.zeros((2, 2))
+        for a, b in parts:
+            own = slice(words.offsets[a], words.offsets[b])
+            matrices, forward, backward = model.messages(emission[words.codes[own]], words.offsets[a : b + 1] - own.start)
+            both = forward * backward
+            p[own] = both[:, 1] / both.sum(1)
+            later = np.flatnonzero(inner[own])
+            pair = forward[later - 1][:, :, None] * matrices[later] * backward[later][:, None, :]
+            pairs += (pair / pair.sum((1, 2))[:, None, None]).sum(0)
         missing = toxic_words - np.bincount(words.codes, p, n)
         gradient = np.concatenate(
             [
                 np.bincount(flat, missing[owner], 1 << BITS) - RIDGE * v[: 1 << BITS],
                 [missing.sum()],
-                (seen - pair).ravel(),
+                (seen - pairs).ravel(),
                 seen_first - np.array([(1 - p[first]).sum(), p[first].sum()]),
             ]
         )
