@@ -35,24 +35,52 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_128_intdigest
 
-from kredenz.llm.batches import texts
+from kredenz.llm.batches import give_back, texts
 from kredenz.llm.shards import scramble
 
 GROUP_BYTES = 4_000_000
 LONG_WORD = 48  # bytes; longer words get a library hash
+PIECE = 1 << 17  # bytes of text whose running sums are held at a time
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd, both of order 2**62
 LOWEST = -(2**63)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
+def powers(base: int) -> np.ndarray:
+    out = np.full(PIECE + LONG_WORD, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def word_values(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two values of each word ``raw[begin:end]``: sums of its bytes times powers of a base.
+
+    Short words are done in pieces of ``PIECE`` bytes, from running sums over a piece.
+    """
+    out = [np.empty(len(begin), np.uint64) for _ in BASES]
+    short = np.flatnonzero(end - begin <= LONG_WORD)
+    edges = [0, *(np.flatnonzero(np.diff(begin[short] // PIECE)) + 1).tolist(), len(short)]
+    tables = [(powers(b), powers(pow(b, -1, 2**64))) for b in BASES] if len(short) else []
+    for i, j in zip(edges, edges[1:]):
+        own = short[i:j]
+        if not len(own):
+            continue
+        first, n = begin[own[0]], end[own[-1]] - begin[own[0]]
+        wide = raw[first : first + n].astype(np.uint64) + np.uint64(1)
+        a, z = begin[own] - first, end[own] - first
+        running = np.zeros(n + 1, np.uint64)
+        for values, base, (up, down) in zip(out, BASES, tables):
+            np.cumsum(wide * up[:n], out=running[1:])
+            values[own] = scramble((running[z] - running[a]) * down[a] + (z - a).astype(np.uint64) * np.uint64(base))
+    for k in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        whole = xxh3_128_intdigest(raw[begin[k] : end[k]].tobytes())
+        out[0][k], out[1][k] = whole >> 64, whole & (2**64 - 1)
+    return out
+
+
 class Text:
     """Words of many texts as 64-bit symbols, one pair of arrays for all."""
 
@@ -62,10 +90,9 @@ class Text:
         buffer = array.buffers()[2]
         raw = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]] if buffer else np.zeros(0, np.uint8)
         bounds = bounds - bounds[0]
-        n = len(raw)
-        inside = np.zeros(n + 2, bool)
+        inside = np.zeros(len(raw) + 2, bool)
         inside[1:-1] = ~SPACE[raw]
-        edge = np.zeros(n + 1, bool)
+        edge = np.zeros(len(raw) + 1, bool)
         edge[bounds] = True
         self.begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
@@ -74,21 +101,7 @@ class Text:
         self.ids = ids
         self.id = ids[self.owner]
         self.left = self.first[1:][self.owner] - np.arange(len(self.owner))  # words up to the text's end
-        wide = raw.astype(np.uint64) + np.uint64(1)
-        self.symbols = []
-        for base in BASES:
-            up, down = powers(base, n + 1), powers(pow(base, -1, 2**64), n + 1)
-            running = np.zeros(n + 1, np.uint64)
-            np.cumsum(wide * up[:n], out=running[1:])
-            value = (running[self.end] - running[self.begin]) * down[self.begin]
-            self.symbols.append(scramble(value + (self.end - self.begin).astype(np.uint64) * np.uint64(BASES[0])))
-        if len(far := np.flatnonzero(self.end - self.begin > LONG_WORD)):
-            import xxhash
-
-            for k in far.tolist():
-                word = raw[self.begin[k] : self.end[k]].tobytes()
-                whole = xxhash.xxh3_128_intdigest(word)
-                self.symbols[0][k], self.symbols[1][k] = whole >> 64, whole & (2**64 - 1)
+        self.symbols = word_values(raw, self.begin, self.end)
 
     def windows(self, length: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which ``length`` words of one text stand, and the window's value."""
@@ -148,6 +161,7 @@ REPLY = "grp long, kind int, bucket long, bits binary"
 
 
 def read(table: pa.Table) -> Text:
+    give_back()
     batch = table.combine_chunks().to_batches()
     array = texts(batch[0]) if batch else pa.array([], pa.string())
     ids = table.column("doc_id").combine_chunks().cast(pa.int64())
