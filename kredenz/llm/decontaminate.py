@@ -10,8 +10,8 @@ distance. A passage matches an item of L words if its distance is at most
   edit distance.
 * Bit sampling: each repetition samples ``SAMPLED`` steps of its own walk as a key.
   Windows as long as an item whose key equals the item's in any repetition are
-  candidates. Repetitions follow from ``recall`` and the rate measured on items edited
-  as far as the bound allows.
+  candidates. Repetitions follow from ``recall`` and the rates measured on items of each
+  length, edited as far as the bound allows.
 * Candidates are verified by exact edit distance, with the passage's end free.
 
 Windows are embedded only where they can match at all: a passage within the bound shares
@@ -47,6 +47,8 @@ SAMPLED = 2
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—·"
 TABLE_BITS = 22
 CHUNK = 20_000  # windows embedded at a time
+TRIALS = 160  # edited items of a length to measure repetitions on
+MOST = 4096  # repetitions; beyond them all windows are candidates
 
 
 def symbol(word: str) -> int:
@@ -122,24 +124,42 @@ def edit_distance(item: list, text: list, most: int) -> tuple[int, int] | None:
 
 
 def repetitions(items: list[np.ndarray], similarity: float, recall: float) -> int:
-    """Repetitions that reach ``recall`` on items edited as far as the bound allows."""
+    """Repetitions that reach ``recall`` on items of one length, edited as far as the bound allows.
+
+    That is the mean over edited items of finding each in any repetition, since a few
+    edits in bad places need far more than the mean rate tells. 0 if ``MOST`` aren't enough.
+    """
     dice = random.Random(1)
-    rates = []
-    for item in items[:: max(1, len(items) // 40)]:
-        n = len(item)
-        trials = [item.tolist()]
-        for _ in range(8):
+    n, trials, base = len(items[0]), [], []
+    some = items[:: -(-len(items) // 20)]
+    for item in some:
+        first = len(trials)
+        trials.append(item.tolist())
+        for _ in range(-(-TRIALS // len(some))):
             edited = item.tolist()
             for _ in range(edits_allowed(n, similarity)):
                 k, how = dice.randrange(len(edited)), dice.randrange(3)
                 edited[k : k + (how != 1)] = [dice.getrandbits(63)] if how != 2 else []
             trials.append(edited)
-        ends = np.cumsum([len(t) for t in trials])
-        starts = ends - [len(t) for t in trials]
-        key = keys(np.array([w for t in trials for w in t], np.uint64), starts, ends, n, 24)
-        rates += ((key[:, 1:] == key[:, :1]) & (key[:, :1] > 0)).mean(0).tolist()
-    rate = min(max(float(np.mean(rates)), 0.05), 0.999)
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - rate)))
+            base.append((first, len(trials) - 1))
+    ends = np.cumsum([len(t) for t in trials])
+    starts = ends - [len(t) for t in trials]
+    text, (own, other) = np.array([w for t in trials for w in t], np.uint64), np.array(base).T
+    tried = 32
+    while tried <= MOST:
+        key = keys(text, starts, ends, n, tried)
+        miss = 1 - ((key[:, other] == key[:, own]) & (key[:, own] > 0)).mean(0)
+        reached = 1 - (miss ** np.arange(1, tried + 1)[:, None]).mean(1) >= recall
+        if reached.any():
+            return max(4, int(reached.argmax()) + 1)
+        tried *= 2
+    return 0
+
+
+def length_class(n: int) -> int:
+    """Lengths that share their repetitions: each its own below 64, then steps of a sixteenth to a thirty-second."""
+    step = 1 << max(0, n.bit_length() - 6)
+    return -(-n // step) * step
 
 
 class Block:
@@ -154,8 +174,11 @@ class Block:
                 self.items[tuple(words.tolist())].append(item_id)
         self.texts = [np.array(t, np.uint64) for t in self.items]
         self.ids = list(self.items.values())
-        self.repeat = repetitions(self.texts, similarity, recall) if self.texts else 0
         self.lengths = sorted({len(t) for t in self.texts})
+        longest = {length_class(n): n for n in self.lengths}
+        measured = {c: repetitions([t for t in self.texts if len(t) == n], similarity, recall) for c, n in longest.items()}
+        self.repeat = {n: measured[length_class(n)] for n in self.lengths}
+        self.own: dict[int, list[int]] = {}
         self.grams = {
             q: np.unique(np.concatenate([grams(t, q) for t in self.texts if gram(len(t)) == q]))
             for q in {gram(n) for n in self.lengths}
@@ -165,11 +188,12 @@ class Block:
         self.keys: dict[int, list[dict[int, list[int]]]] = {}
         for n in self.lengths:
             own = [k for k, t in enumerate(self.texts) if len(t) == n]
+            self.own[n] = own
             joined = np.concatenate([self.texts[k] for k in own])
             starts = np.arange(len(own)) * n
             self.own_grams[n] = np.unique(np.concatenate([grams(self.texts[k], gram(n)) for k in own]))
             self.keys[n] = []
-            for row in keys(joined, starts, starts + n, n, self.repeat).tolist():
+            for row in keys(joined, starts, starts + n, n, self.repeat[n]).tolist() if self.repeat[n] else ():
                 table = defaultdict(list)
                 for k, key in zip(own, row):
                     if key:
@@ -203,9 +227,12 @@ class Block:
             if not len(found := found[np.isin(value, self.own_grams[n])]):
                 continue
             starts = self.starts(n, found, end)
+            if not self.repeat[n]:
+                out.update((p, k) for p in starts.tolist() for k in self.own[n])
+                continue
             for a in range(0, len(starts), CHUNK):
                 some = starts[a : a + CHUNK]
-                for table, row in zip(self.keys[n], keys(text, some, end[some], n, self.repeat)):
+                for table, row in zip(self.keys[n], keys(text, some, end[some], n, self.repeat[n])):
                     for p, key in zip(some.tolist(), row.tolist()):
                         out.update((p, k) for k in table.get(key, ()))
         return out
