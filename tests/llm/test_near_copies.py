@@ -65,6 +65,16 @@ def test_large_group_and_its_neighbours(spark):
     assert Counter(r.doc_id for r in got) == wanted(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    dice = random.Random(7)
+    a, b, c, d = (" ".join(words(dice, 80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (None, b), (None, c), (None, c), (2, c), (None, d), (None, d), (3, None), (None, "")]
+    rows = [(i, t, "en", "s", 0, 0.5, "n") for i, t in rows]
+    for _ in range(2):
+        got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (1, b), (2, c), (None, d), (3, None)])
+
+
 def test_buckets_reach_recall():
     import pyarrow as pa
 
