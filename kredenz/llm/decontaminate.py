@@ -21,16 +21,18 @@ q-grams are passed over. Candidates come from the keys alone.
 The benchmark is the stated query set: it is read in blocks of ``BLOCK_WORDS`` words at most,
 each block travels with its own pass over the documents, and nothing is shuffled.
 
-Null and empty texts never match. Items under ``min_words`` words are too short to
-tell and never match. Equal items are reported each under their own id, equal
+Items under ``min_words`` words match exactly only: word by word, or by characters if the
+item holds a script written without spaces. Items and documents are split alike.
+
+Null and empty texts never match. Equal items are reported each under their own id, equal
 documents each with their own rows. A pair of document and item gives one row, its
 nearest passage (ties to the first). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import random
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -39,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from kredenz.llm.batches import slices, texts, word_table
+from kredenz.llm.batches import Words, slices, texts, word_table
 from kredenz.llm.shards import scramble
 
 BLOCK_WORDS = 1_000_000
 SAMPLED = 2
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—·"
+#: Thai, Lao, Tibetan, Myanmar, Khmer, Japanese and Chinese: words without spaces between them.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 TABLE_BITS = 22
 CHUNK = 20_000  # windows embedded at a time
 TRIALS = 160  # edited items of a length to measure repetitions on
@@ -162,16 +166,36 @@ def length_class(n: int) -> int:
     return -(-n // step) * step
 
 
+def plain(words: Iterable[str]) -> str:
+    """Words in lower case with one space between them, without marks at either end."""
+    text = " ".join(words).lower()
+    return text.strip(MARKS + " ") or text
+
+
 class Block:
     """Keys and q-grams of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float, min_words: int):
         self.similarity = similarity
         self.items: dict[tuple, list[int]] = defaultdict(list)
-        for item_id, text in rows:
-            words = symbols((text or "").split())
+        self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.passages: dict[str, list[int]] = defaultdict(list)
+        split = word_table(pa.array([text or "" for _, text in rows], pa.string()))
+        distinct = split.distinct.to_pylist()
+        for (item_id, _), a, b in zip(rows, split.offsets, split.offsets[1:]):
+            words = [distinct[c] for c in split.codes[a:b]]
+            key, passage = tuple(symbols(words).tolist()), plain(words)
             if len(words) >= min_words:
-                self.items[tuple(words.tolist())].append(item_id)
+                self.items[key].append(item_id)
+            elif UNSPACED.search(passage):
+                self.passages[passage].append(item_id)
+            elif words:
+                self.short[len(words)][key].append(item_id)
+        self.short = {n: dict(found) for n, found in self.short.items()}
+        self.heads: dict[str, list[str]] = defaultdict(list)
+        self.head = min((len(x) for x in self.passages), default=0)
+        for passage in self.passages:
+            self.heads[passage[: self.head]].append(passage)
         self.texts = [np.array(t, np.uint64) for t in self.items]
         self.ids = list(self.items.values())
         self.lengths = sorted({len(t) for t in self.texts})
@@ -257,6 +281,42 @@ class Block:
                 yield doc, item_id, first, words, distance, len(self.texts[k])
 
 
+    def short_matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """As ``matches``, for items that must be there word by word: the first place of each."""
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for n, items in self.short.items():
+            if len(text) < n:
+                continue
+            known = np.concatenate([grams(np.array(t, np.uint64), n) for t in items])
+            places = np.flatnonzero(np.isin(grams(text, n), known))
+            seen = set()
+            for p in places[places + n <= offsets[1:][owner[places]]].tolist():
+                key, doc = tuple(text[p : p + n].tolist()), int(owner[p])
+                if key in items and (doc, key) not in seen:
+                    seen.add((doc, key))
+                    for item_id in items[key]:
+                        yield doc, item_id, p - int(offsets[doc]), n, 0, n
+
+    def passage_matches(self, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """As ``matches``, for items that must be there by their characters."""
+        if not self.passages:
+            return
+        distinct = words.distinct.to_pylist()
+        unspaced = np.array([bool(UNSPACED.search(w)) for w in distinct], bool)
+        hit = unspaced[words.codes] if len(words.codes) else np.zeros(0, bool)
+        for doc in np.unique(words.owner[hit]).tolist():
+            own = words.codes[words.offsets[doc] : words.offsets[doc + 1]]
+            text = " ".join([distinct[c] for c in own]).lower()
+            seen = set()
+            for at in range(len(text) - self.head + 1):
+                for passage in self.heads.get(text[at : at + self.head], ()):
+                    if passage not in seen and text.startswith(passage, at):
+                        seen.add(passage)
+                        n = passage.count(" ") + 1
+                        for item_id in self.passages[passage]:
+                            yield doc, item_id, text.count(" ", 0, at), n, 0, n
+
+
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     rows, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
@@ -281,7 +341,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall
                 for part in slices(batch, "text"):
                     words = word_table(texts(part))
                     text = symbols(words.distinct.to_pylist())[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-                    rows = list(block.matches(text, words.offsets))
+                    rows = [*block.matches(text, words.offsets), *block.short_matches(text, words.offsets), *block.passage_matches(words)]
                     ids = part.column("doc_id").cast(pa.int64()).take(pa.array([r[0] for r in rows], pa.int64()))
                     columns = [ids] + [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
                     columns += [pa.array([r[4] for r in rows], pa.int32()), pa.array([1 - r[4] / r[5] for r in rows], pa.float64())]
