@@ -50,10 +50,10 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def linked_url(html: Column, tag: str, kind: str, target: str) -> Column:
-    """Target of the first tag of that kind; empty if there is none."""
+def linked_urls(html: Column, tag: str, kind: str, target: str) -> Column:
+    """Targets of all tags of that kind; empty text for a tag without one."""
     tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(kind))
-    return F.coalesce(F.replace(F.regexp_extract(F.get(tags, F.lit(0)), target, 1), F.lit("&amp;"), F.lit("&")), F.lit(""))
+    return F.transform(tags, lambda t: F.replace(F.regexp_extract(t, target, 1), F.lit("&amp;"), F.lit("&")))
 
 
 def absolute(url: Column, target: Column) -> Column:
@@ -90,9 +90,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataF
         "path",
         fitting_rule(F.col("host"), F.col("path"), rules).alias("fit"),
         node_of(url).alias("node"),
-        F.when(F.instr(url, "://") > 0, F.array(
-            node_of(absolute(url, linked_url(html, LINK, CANONICAL, HREF))),
-            node_of(absolute(url, linked_url(html, META, REFRESH, TARGET))),
+        F.when(F.instr(url, "://") > 0, F.transform(
+            F.concat(linked_urls(html, LINK, CANONICAL, HREF), linked_urls(html, META, REFRESH, TARGET)),
+            lambda target: node_of(absolute(url, target)),
         )).alias("targets"),
     )
     known = pin(named.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.allow").alias("allow"), "node", "targets"))
