@@ -16,6 +16,7 @@ from kredenz.llm.substrings import remove_repeats
 from kredenz.llm.token_counts import token_counts
 from kredenz.llm.toxicity import held_out, toxicity
 from kredenz.llm.url_filter import judge_urls
+from kredenz.llm.whitening import whitened
 
 #: Host and path rules of the url filter.
 URL_RULES = (
@@ -85,6 +86,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), URL_RULES)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"), components=4, scale=256)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
     "pipeline": pipeline,
 }
 

@@ -37,3 +37,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sc
 
 def documents(spark, rows=None):
     return spark.createDataFrame(awkward_documents() if rows is None else rows, SCHEMA).repartition(5)
+
+
+def given(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
