@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kredenz.llm.decontaminate import leaks
 from kredenz.llm.html_text import extract
 from kredenz.llm.neighbours import nearest
 from kredenz.llm.packing import packed
+from kredenz.llm.secrets import KINDS, secrets
 from kredenz.llm.shards import assign_shards
 from kredenz.llm.simhash import near_duplicates
 from kredenz.llm.substrings import remove_repeats
@@ -90,6 +91,24 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened(table(spark, folder, "embeddings"), components=4, scale=256)
 
 
+def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets(table(spark, folder, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s.kind.isin(*kinds))
+
+    def digest(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]],
+        F.sha2(digest(of(*KINDS[:3])), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+        F.size(of(KINDS[3])).cast("long").alias(f"n_{KINDS[3]}"),
+    )
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -108,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
+    "op13_secret_scans": op13_secret_scans,
     "pipeline": pipeline,
 }
 
