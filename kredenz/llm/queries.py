@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kredenz.llm.decontaminate import leaks
 from kredenz.llm.html_text import extract
+from kredenz.llm.negatives import hard_negatives
 from kredenz.llm.neighbours import nearest
 from kredenz.llm.packing import packed
 from kredenz.llm.secrets import KINDS, secrets
@@ -17,7 +18,7 @@ from kredenz.llm.substrings import remove_repeats
 from kredenz.llm.token_counts import token_counts
 from kredenz.llm.toxicity import held_out, toxicity
 from kredenz.llm.url_filter import judge_urls
-from kredenz.llm.whitening import whitened
+from kredenz.llm.whitening import finite, floored, whitened
 
 #: Host and path rules of the url filter.
 URL_RULES = (
@@ -91,6 +92,12 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened(table(spark, folder, "embeddings"), components=4, scale=256)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), floored(rows, "embedding", 256).alias("x")))
+
+
 def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets(table(spark, folder, "documents"))
 
@@ -127,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_url_filter": op10_url_filter,
     "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scans": op13_secret_scans,
     "pipeline": pipeline,
 }
@@ -216,4 +224,31 @@ SELECT page_id, host, path, fit.rule AS rule,
 FROM ruled LEFT JOIN (SELECT page_id, node FROM nodes WHERE kind = 0) USING (page_id) LEFT JOIN blocked USING (node)
 """
 
-ORACLE: dict[str, str] = {"op8_substring_dedup": SUBSTRING_SQL, "op10_url_filter": URL_SQL}
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+) WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {
+    "op12_hard_negatives": NEGATIVES_SQL,
+    "op8_substring_dedup": SUBSTRING_SQL,
+    "op10_url_filter": URL_SQL,
+}
