@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import kredenz.llm.near_copies as near_copies_module
 from kredenz.llm.near_copies import BANDS, ROWS, shingle_sets, sketches
 from kredenz.llm.simhash import Forest
 from tests.llm.fixtures import awkward_documents, documents, words
@@ -65,6 +66,25 @@ def test_large_group_and_its_neighbours(spark):
     assert Counter(r.doc_id for r in got) == wanted(rows)
 
 
+def test_a_passage_that_texts_have_in_common_makes_no_pairs(spark, monkeypatch):
+    """Pairs verified stay in proportion to the rows, whether texts share a long passage or are edits of one text."""
+    made = []
+    check = near_copies_module.verified
+    monkeypatch.setattr(near_copies_module, "verified", lambda pairs, *rest: made.append(pairs.count()) or check(pairs, *rest))
+    dice = random.Random(6)
+    passage, base = words(dice, 60), words(dice, 140)
+    rows = [(k, " ".join(words(dice, 15) + passage + words(dice, 15)), "en", "s", 0, 0.5, "n") for k in range(2_000)]
+    for k in range(600):
+        text = list(base)
+        for at in dice.sample(range(140), k % 9):
+            text[at] = f"edit{dice.randrange(10**6)}"
+        rows.append((5_000 + k, " ".join(text), "en", "s", 0, 0.5, "n"))
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), "").collect()
+    assert Counter(r.doc_id for r in got if r.doc_id >= 5_000) == wanted(rows[2_000:])
+    assert sum(r.doc_id < 5_000 for r in got) == 2_000
+    assert sum(made) < 10 * len(rows)
+
+
 def test_null_and_repeated_ids(spark):
     dice = random.Random(7)
     a, b, c, d = (" ".join(words(dice, 80)) for _ in range(4))
