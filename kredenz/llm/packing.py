@@ -124,22 +124,26 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
             rests.append((k, whole * capacity, size % capacity))
     bins = -(-sum(r[2] for r in rests) // capacity)
     room = [capacity] * bins
-    heap = [(0.0, b) for b in range(bins)]
+    fits = [(0.0, b) for b in range(bins)]  # those with room for the piece at hand; pieces only get shorter
+    parked: list[tuple[int, int, float]] = []  # the others, most room first
     late = []
     for k, start, length in sorted(rests, key=lambda r: -r[2]):
-        passed = []
-        while heap and room[heap[0][1]] < length:
-            passed.append(heapq.heappop(heap))
-        if heap:
-            cost, b = heapq.heappop(heap)
-            pieces.append((k, start, length, full + b))
-            room[b] -= length
-            if room[b]:
-                heapq.heappush(heap, (cost + PIECE_COST * length + PAIR_COST * length * length, b))
-        else:
+        while parked and -parked[0][0] >= length:
+            _, b, cost = heapq.heappop(parked)
+            heapq.heappush(fits, (cost, b))
+        if not fits:
             late.append((k, start, length))
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        cost, b = fits[0]
+        pieces.append((k, start, length, full + b))
+        room[b] -= length
+        cost += PIECE_COST * length + PAIR_COST * length * length
+        if room[b] >= length:
+            heapq.heapreplace(fits, (cost, b))
+        else:
+            heapq.heappop(fits)
+            if room[b]:
+                heapq.heappush(parked, (-room[b], b, cost))
     free = sorted((b for b in range(bins) if room[b]), key=lambda b: (-room[b], b))
     for k, start, length in late:  # cut over what room there is
         while length:
@@ -153,8 +157,9 @@ def pack(sizes: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
     return pieces
 
 
-def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``."""
+def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and ``ids`` if wanted."""
+    schema = f"{SCHEMA}, ids array<int>" if with_ids else SCHEMA
     if capacity < 1:
         raise ValueError("capacity must be positive")
 
@@ -188,25 +193,26 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
                 for a in range(0, len(k), 4_096):
                     s = slice(a, a + 4_096)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("doc_id").cast(pa.int64()).take(pa.array(k[s])),
-                            pa.array(start[s]),
-                            pa.array(length[s]),
-                            pa.array(crc[s], pa.int64()),
-                            pa.array(sizes[k[s]]),
-                            pa.array(base + used + sequence[s]),
-                            pa.array(offset[s]),
-                            pa.array([ids[a : a + n] for a, n in zip(at[s], length[s])], pa.list_(pa.int32())),
-                        ],
-                        names=[f.split()[0] for f in SCHEMA.split(", ")],
-                    )
+                    columns = [
+                        part.column("doc_id").cast(pa.int64()).take(pa.array(k[s])),
+                        pa.array(start[s]),
+                        pa.array(length[s]),
+                        pa.array(crc[s], pa.int64()),
+                        pa.array(sizes[k[s]]),
+                        pa.array(base + used + sequence[s]),
+                        pa.array(offset[s]),
+                    ]
+                    if with_ids:
+                        flat = gather(ids, at[s], length[s]).astype(np.int32)
+                        ends = np.concatenate([[0], np.cumsum(length[s])])
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
                 used += int(sequence.max()) + 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, ids array<int>"
+    "sequence_id long, offset long"
 )

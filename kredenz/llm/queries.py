@@ -69,7 +69,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2048, 1).drop("ids")
+    return packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 2048, 1, with_ids=False)
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
