@@ -38,6 +38,47 @@ def test_pages_without_article():
     assert main_text(f"<body><article><p>{long}</p><p>end</article>") == " ".join(long.split()) + " end"
 
 
+STORY = "<p>The first sentence of the story is long enough to count, with some words.</p><p>The second one follows, and a third.</p>"
+TOLD = "The first sentence of the story is long enough to count, with some words. The second one follows, and a third."
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f'<div class="layout has-sidebar">{STORY}</div>',
+        f'<div class="layout has-sidebar"><div class="sidebar"><a href=x>One</a> two</div>{STORY}</div>',
+        f'<div class="post with-comments">{STORY}</div>',
+        f'<div id="research share-story">{STORY}</div>',
+        f'<div class="no-js-overlay content">{STORY}</div>',
+        f"<form><article>{STORY}</article></form>",
+        f"<form>{STORY}</form>",
+        f'<main><div class="comments">{STORY}</div></main>',
+        f"<article>{STORY}</article><div class=comments>" + "<p>A reader says a lot about all of it, and more.</p>" * 9 + "</div>",
+        f"<article>{STORY}</article><article class=comment>{STORY}</article>",
+    ],
+)
+def test_names_weigh_and_do_not_decide(inner):
+    page = f"<html><body><nav><a href=x>Home</a><a href=y>News</a></nav>{inner}<footer>All rights kept</footer></body></html>"
+    assert main_text(page) == TOLD
+
+
+def test_articles_beside_each_other():
+    assert main_text(f"<body><article>{STORY}</article><article>{STORY}</article><div class=ad>Buy</div>") == f"{TOLD} {TOLD}"
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<a x='", "<!", "<b>", "</x>", "<li>", "<body>", "<p><b>", "<a \"<a '>\" ", '<a x="b>" ', "<", "<form>"])
+@pytest.mark.parametrize("end", ["", ">", "\">"])
+def test_time_is_in_proportion_to_the_page(unit, end):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        main_text((unit * (n // len(unit) + 1))[:n] + end)
+        return time.process_time() - began
+
+    assert seconds(200_000) < 4 * max(0.1, seconds(100_000))
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", f"<body>{ARTICLE}"), (3, "u", f"<body>{ARTICLE}"), (None, "u", "x")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text")
