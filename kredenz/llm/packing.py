@@ -32,7 +32,7 @@ from kredenz.llm.batches import gather, slices, texts, totals, word_table
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 JOINED = 512  # words per call in the joined form
 AT_ONCE = 8_192
-PACKED_BYTES = 10_000_000  # text packed at a time
+PACKED_BYTES = 6_000_000  # text packed at a time
 PIECE_COST, PAIR_COST = 1.0, 1.0 / 1024  # per token, and per pair of tokens
 
 

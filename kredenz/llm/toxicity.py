@@ -34,6 +34,7 @@ from kredenz.llm.batches import Words, gather, slices, texts, totals, word_table
 
 SAMPLE = 2_000  # documents of each label
 SAMPLE_BYTES = 20_000  # longest document of the sample
+SLICE_BYTES = 4_000_000  # text scored at a time
 BITS = 18
 BLOCK = 64
 AT_ONCE = 200_000  # words whose messages are held at a time
@@ -314,9 +315,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, bool]
     for label in (True, False):
         order = (F.xxhash64("doc_id"), "doc_id")
         ids = known.where(F.col("toxic") == label).orderBy(*order).limit(SAMPLE).select("doc_id")
-        rows = fitting.join(F.broadcast(ids), "doc_id").limit(2 * SAMPLE).toArrow()
-        got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()))
-        out += [(text, label) for _, text in dict(got).items()][:SAMPLE]
+        one = fitting.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("of"))
+        rows = one.select("doc_id", "of.text").toArrow()
+        out += [(text, label) for _, text in sorted(zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()))]
     return out
 
 
@@ -345,7 +346,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, keep: tuple[str, ...] =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 array = texts(part)
                 words = word_table(array)
                 n = len(words.offsets) - 1
