@@ -1,7 +1,9 @@
 """Chunked uploads: assembling, listing, looking up and deleting files.
 
 A chunk log has ``path, mime_type, seq, chunk, complete``; ``seq`` is unique
-and gives the arrival order. One path may own a large part of the log, so the
+and gives the arrival order. A log may have a column ``deleted``: such a row removes the
+path's file and its unfinished upload. A row may stand for ``n`` chunks that were joined
+already. One path may own a large part of the log, so the
 log is never grouped or joined on the path alone: it is cut into blocks of
 ``BLOCK`` consecutive ``seq`` values and joined on ``(path, block)``.
 """
@@ -22,28 +24,35 @@ SMALL_PAYLOAD = "Data too small to be a valid image"
 MINIMUM_BYTES = 100
 
 
-def _block(seq: Column | str) -> Column:
+def block_of(seq: Column | str) -> Column:
     return F.shiftright(seq, BLOCK_BITS)
 
 
+def _chunks(rows: DataFrame) -> Column:
+    """How many chunks the rows of a group stand for."""
+    return F.sum("n") if "n" in rows.columns else F.count("*")
+
+
 def upload_bounds(chunks: DataFrame) -> DataFrame:
-    """Per path: ``done``, its last completing seq, ``prior``, the one before, and
-    the MIME type the last completing chunk named.
+    """Per path: ``done``, the seq at which its last upload completed or it was deleted last,
+    ``prior``, the one before, whether it was ``removed`` at ``done``, and the MIME type named there.
 
-    Only completing rows matter and only two per path; Spark keeps two per path
+    Only those rows matter and only two per path; Spark keeps two per path
     in every map task before it shuffles.
     """
     newest = Window.partitionBy("path").orderBy(F.desc("seq"))
     last = F.col("rank") == 1
+    deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in chunks.columns else F.lit(False)
     return (
-        chunks.where("complete")
-        .select("path", "seq", "mime_type", F.row_number().over(newest).alias("rank"))
+        chunks.where(F.col("complete") | deleted)
+        .select("path", "seq", "mime_type", deleted.alias("removed"), F.row_number().over(newest).alias("rank"))
         .where("rank <= 2")
         .groupBy("path")
         .agg(
             F.max(F.when(last, F.col("seq"))).alias("done"),
             F.max(F.when(~last, F.col("seq"))).alias("prior"),
             F.max(F.when(last, F.col("mime_type"))).alias("mime_type"),
+            F.bool_or(last & F.col("removed")).alias("removed"),
         )
     )
 
@@ -55,17 +64,18 @@ def _with_bounds(chunks: DataFrame, bounds: DataFrame, how: str, keep: Column) -
     keys and flags are read to find the blocks; payloads of other blocks meet
     no partner.
     """
-    blocks = chunks.select("path", _block("seq").alias("block")).distinct()
+    blocks = chunks.select("path", block_of("seq").alias("block")).distinct()
     needed = blocks.join(bounds, "path", how).where(keep)
-    log = chunks.drop("mime_type").withColumn("block", _block("seq"))
+    log = chunks.drop("mime_type", "deleted").withColumn("block", block_of("seq"))
     return log.join(needed, ["path", "block"])
 
 
 def _published(chunks: DataFrame, bounds: DataFrame) -> DataFrame:
     """The chunks of the last completed upload of every path in ``bounds``."""
-    before_end = F.col("block") <= _block(F.col("done"))
-    after_start = F.col("prior").isNull() | (F.col("block") >= _block(F.col("prior")))
-    return _with_bounds(chunks, bounds, "inner", before_end & after_start).where(
+    before_end = F.col("block") <= block_of(F.col("done"))
+    after_start = F.col("prior").isNull() | (F.col("block") >= block_of(F.col("prior")))
+    shown = bounds.where("NOT removed")
+    return _with_bounds(chunks, shown, "inner", before_end & after_start).where(
         "seq <= done AND (prior IS NULL OR seq > prior)"
     )
 
@@ -90,15 +100,20 @@ def asset_assemble(
     if without is not None:
         bounds = delete_by_key(bounds, without, "path")
     if carry_over:
-        early = F.col("block") <= _block(F.col("done"))
-        rows = _with_bounds(chunks, bounds, "inner", early).where(
-            "seq = done OR (seq < done AND NOT complete)"
+        early = F.col("block") <= block_of(F.col("done"))
+        if "deleted" in chunks.columns:
+            gone = chunks.where("deleted").groupBy("path").agg(F.max("seq").alias("gone"))
+            bounds = bounds.join(gone, "path", "left")
+        else:
+            bounds = bounds.withColumn("gone", F.lit(None).cast("bigint"))
+        rows = _with_bounds(chunks, bounds.where("NOT removed"), "inner", early).where(
+            "(seq = done OR (seq < done AND NOT complete)) AND (gone IS NULL OR seq > gone)"
         )
     else:
         rows = _published(chunks, bounds)
     # The join has dealt rows out by path and block, so pieces are made where they are.
     pieces = rows.groupBy("path", "block", "mime_type").agg(
-        F.count("*").alias("n"),
+        _chunks(rows).alias("n"),
         F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("piece"),
     )
     return pieces.groupBy("path", "mime_type").agg(
@@ -114,12 +129,12 @@ def asset_pending(chunks: DataFrame, without: DataFrame | None = None) -> DataFr
     """
     if without is not None:
         chunks = delete_by_key(chunks, without, "path")
-    unfinished = F.col("done").isNull() | (F.col("block") >= _block(F.col("done")))
+    unfinished = F.col("done").isNull() | (F.col("block") >= block_of(F.col("done")))
     return (
         _with_bounds(chunks, upload_bounds(chunks), "left", unfinished)
         .where("done IS NULL OR seq > done")
         .groupBy("path")
-        .agg(F.count("*").alias("n_chunks"))
+        .agg(_chunks(chunks).alias("n_chunks"))
     )
 
 

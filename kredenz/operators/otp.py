@@ -250,8 +250,13 @@ def otp_state(
     last = happened.groupBy("phone").agg(
         F.max(F.struct("micros", "event_id", "action", "code")).alias("last")
     )
-    left = F.floor((F.col("last.micros") + ttl_seconds * MICROS - as_of_micros) / MICROS)
-    code = F.col("last.code") if show_code else F.regexp_replace("last.code", ".", "*")
-    return last.where("last.action = 'send'").select(
-        "phone", code.alias("code"), F.greatest(left, F.lit(0)).cast("bigint").alias("remaining_secs")
-    )
+    expiry = F.col("last.micros") + ttl_seconds * MICROS
+    held = last.where("last.action = 'send'").select("phone", F.col("last.code").alias("code"), expiry.alias("expiry"))
+    return held_codes(held, as_of_micros, show_code)
+
+
+def held_codes(held: DataFrame, as_of_micros: Column, show_code: bool = False) -> DataFrame:
+    """``phone, code, remaining_secs`` of held codes (``phone, code, expiry`` in microseconds); codes are masked."""
+    left = F.floor((F.col("expiry") - as_of_micros) / MICROS)
+    code = F.col("code") if show_code else F.regexp_replace("code", ".", "*")
+    return held.select("phone", code.alias("code"), F.greatest(left, F.lit(0)).cast("bigint").alias("remaining_secs"))

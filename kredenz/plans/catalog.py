@@ -27,6 +27,7 @@ from kredenz.sources.images import apply_detector, image_adjust
 from kredenz.sources.tables import Inputs, image_struct
 
 TEST_TTL = 14_400  # seconds; events are sparse, so the usual 30 would never collide
+STATE_AS_OF = "2024-01-20 00:00:00"
 PLACES = 9
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,7 +554,7 @@ def verified_phones(t: Inputs) -> DataFrame:
 
 @query
 def otp_state(t: Inputs) -> DataFrame:
-    as_of = F.unix_micros(F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    as_of = F.unix_micros(F.lit(STATE_AS_OF).cast("timestamp"))
     return otp.otp_state(otp.otp_replay(t.otp_events(), TEST_TTL), as_of, TEST_TTL)
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kredenz.operators.otp import MICROS, OUTCOMES, TTL_SECONDS, code_events, step
+from kredenz.operators.otp import MICROS, OUTCOMES, TTL_SECONDS, code_events, held_codes, step
+
+HELD = "held"
 
 
 class OtpProcessor(StatefulProcessor):
@@ -23,28 +24,19 @@ class OtpProcessor(StatefulProcessor):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "code string, expiry bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["micros", "event_id"], ignore_index=True)
-        stored = self.held.get() if self.held.exists() else None
-        state = (stored[0], int(stored[1])) if stored else None
-        results = []
-        for action, now, code, error in zip(pdf.action, pdf.micros, pdf.code, pdf.delivery_error):
-            state, *result = step(state, action, int(now), code, self.ttl, error)
-            results.append(result)
-        if state is None:
+        self.held = handle.getValueState(HELD, "code string, expiry bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.held.get()
+        state = (before[0], int(before[1])) if before else None
+        kept, outcome = state, Row(*(field.split()[0] for field in OUTCOMES.split(", ")))
+        for r in sorted(rows, key=lambda r: (r.micros, r.event_id)):
+            state, success, message, stored = step(state, r.action, r.micros, r.code, self.ttl, r.delivery_error)
+            yield outcome(r.event_id, key[0], r.action, r.code, r.micros, success, message, stored)
+        if state is None and kept is not None:
             self.held.clear()
-        else:
+        elif state != kept:
             self.held.update(state)
-        yield pd.DataFrame(
-            {
-                "event_id": pdf.event_id, "phone": key[0], "action": pdf.action, "code": pdf.code,
-                "micros": pdf.micros,
-                "success": [r[0] for r in results], "message": [r[1] for r in results],
-                "stored": [r[2] for r in results],
-            }
-        )
 
     def close(self) -> None:
         pass
@@ -52,6 +44,16 @@ class OtpProcessor(StatefulProcessor):
 
 def otp_stream(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Outcome of every event as it arrives; same columns as ``otp_replay``."""
-    return code_events(events).groupBy("phone").transformWithStateInPandas(
+    return code_events(events).groupBy("phone").transformWithState(
         OtpProcessor(ttl_seconds * MICROS), OUTCOMES, outputMode="append", timeMode="none"
     )
+
+
+def otp_state_live(spark: SparkSession, checkpoint: str, as_of_micros: Column, show_code: bool = False) -> DataFrame:
+    """Codes that the stream with this checkpoint holds after its last committed batch, seconds counted from ``as_of_micros``.
+
+    Read from the stream's keyed state by Spark's own reader; nothing is replayed, and the stream may be running.
+    """
+    held = spark.read.format("statestore").option("stateVarName", HELD).load(checkpoint)
+    rows = held.select(F.col("key.phone").alias("phone"), "value.code", "value.expiry")
+    return held_codes(rows, as_of_micros, show_code)

@@ -1,4 +1,4 @@
-"""Stored results on a stream: latest per key, appended per micro-batch."""
+"""Stored results on a stream: latest per key, committed per micro-batch."""
 
 from __future__ import annotations
 
@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from kredenz.operators.results import result_upsert
+from kredenz.streaming.log import BatchLog
 
 
-def result_upsert_stream(results: DataFrame, target: str) -> DataStreamWriter:
-    """Reduce each micro-batch to its latest rows and add them to ``target``.
+def result_upsert_stream(results: DataFrame, target: str, writer: str = "main") -> DataStreamWriter:
+    """Reduce each micro-batch to its latest rows and commit them to the log at ``target``.
 
-    A micro-batch owns one folder and overwrites it, so a replayed batch
-    changes nothing. Readers settle batches against each other.
+    A batch that was cut off is not seen and is written again; a committed one is skipped.
+    Readers settle batches against each other.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        result_upsert(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        BatchLog(batch.sparkSession, target).write(result_upsert(batch), writer, batch_id)
 
     return results.writeStream.foreachBatch(write)
 
 
 def read_results(spark: SparkSession, target: str) -> DataFrame:
-    return result_upsert(spark.read.parquet(target))
+    """The latest row of each key among all committed batches."""
+    return result_upsert(BatchLog(spark, target).read())
 
 
-def compact_results(spark: SparkSession, target: str, compacted: str) -> None:
-    """Write the settled rows as one batch of a new target."""
-    read_results(spark, target).write.mode("overwrite").parquet(f"{compacted}/batch_id=0")
+def compact_results(spark: SparkSession, target: str) -> bool:
+    """Replace committed batches by their settled rows; readers are not disturbed."""
+    return BatchLog(spark, target).compact(result_upsert)

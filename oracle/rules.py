@@ -507,14 +507,13 @@ _OUTCOMES = "SELECT event_id, phone, action, success, message FROM replay WHERE
 rule("otp_replay", i.OTP, _OUTCOMES)
 rule("otp_stream", i.OTP, _OUTCOMES)
 rule("verified_phones", i.OTP, "SELECT DISTINCT phone FROM replay WHERE action = 'verify' AND success")
-rule(
-    "otp_state", i.OTP,
-    """SELECT phone, repeat('*', length(held)) AS code,
+_HELD = """SELECT phone, repeat('*', length(held)) AS code,
          greatest(0, (expiry - epoch_us(TIMESTAMP '2024-01-20 00:00:00')) // 1000000) AS remaining_secs
        FROM (SELECT * FROM replay WHERE n > 0 AND micros <= epoch_us(TIMESTAMP '2024-01-20 00:00:00')
          QUALIFY row_number() OVER (PARTITION BY phone ORDER BY n DESC) = 1)
-       WHERE held IS NOT NULL""",
-)
+       WHERE held IS NOT NULL"""
+rule("otp_state", i.OTP, _HELD)
+rule("otp_state_live", i.OTP, _HELD)
 
 # -- ratings and cases ----------------------------------------------------
 

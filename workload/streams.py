@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kredenz.operators import otp
-from kredenz.plans.catalog import OUTCOME, TEST_TTL, _facts
+from kredenz.plans.catalog import OUTCOME, STATE_AS_OF, TEST_TTL, _facts
 from kredenz.runtime import scratch_path
 from kredenz.sources.images import image_scan
 from kredenz.sources.tables import Inputs, image_struct
-from kredenz.streaming.assets import asset_stream, latest_assets
+from kredenz.streaming.assets import asset_stream, read_assets
 from kredenz.streaming.capture import capture_stream
-from kredenz.streaming.otp import otp_stream
+from kredenz.streaming.otp import otp_state_live, otp_stream
 from kredenz.streaming.results import read_results, result_upsert_stream
 from kredenz.streaming.runs import drain, to_files
 from workload.pictures import picture_folder
@@ -56,13 +56,29 @@ def _otp_stream(t: Inputs) -> DataFrame:
     return _streamed(t, events, "arrival", "phone", lambda s: otp_stream(s, TEST_TTL)).select(*OUTCOME)
 
 
+def _otp_state_live(t: Inputs) -> DataFrame:
+    """What the stream holds once it has read everything up to a moment."""
+    as_of = F.unix_micros(F.lit(STATE_AS_OF).cast("timestamp"))
+    events = t.otp_events().withColumn("arrival", otp.micros()).where(F.col("arrival") <= as_of)
+
+    def consume(stream: DataFrame, folder: str) -> None:
+        drain(t.spark, to_files(otp_stream(stream, TEST_TTL), f"{folder}/out"), f"{folder}/checkpoint")
+
+    return otp_state_live(t.spark, f"{arrive(events, 'arrival', 'phone', consume)}/checkpoint", as_of)
+
+
 def _asset_stream(t: Inputs) -> DataFrame:
-    return latest_assets(_streamed(t, t.asset_chunks(), "seq", "path", asset_stream))
+    def consume(stream: DataFrame, folder: str) -> None:
+        drain(t.spark, asset_stream(stream, f"{folder}/out"), f"{folder}/checkpoint")
+
+    return read_assets(t.spark, f"{arrive(t.asset_chunks(), 'seq', 'path', consume)}/out")
 
 
 def _capture_stream(t: Inputs) -> DataFrame:
+    """Slices arrive session by session, so frames are late by a slice at most."""
     facts = _facts(t).drop("missing_labels", "ready_for_capture").withColumn("arrival", otp.micros())
-    return _streamed(t, facts, "arrival", "session_id", capture_stream).select("session_id", "frame_id", otp.micros().alias("micros"))
+    operator = lambda s: capture_stream(s, idle="400 days", late="400 days")
+    return _streamed(t, facts, "arrival", "session_id", operator).select("session_id", "frame_id", otp.micros().alias("micros"))
 
 
 def _result_upsert_stream(t: Inputs) -> DataFrame:
@@ -86,5 +102,5 @@ def _over(build: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str],
 
 QUERIES = {
     build.__name__.lstrip("_"): _over(build)
-    for build in (_otp_stream, _asset_stream, _capture_stream, _result_upsert_stream, _image_scan)
+    for build in (_otp_stream, _otp_state_live, _asset_stream, _capture_stream, _result_upsert_stream, _image_scan)
 }
