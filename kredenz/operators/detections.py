@@ -167,21 +167,27 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+COLUMNS = 64  # pixel columns that are put together at a time
+
+
 def digit_assemble(digits: DataFrame, *keys: str) -> DataFrame:
     """ID number from digit boxes, left to right; ties in arrival order.
 
-    Boxes are put together per pixel column first, so the boxes of one image are
-    dealt out by ``(image, x1)``, then from one piece for each column. ``keys`` tell
+    Boxes are put together for each block of ``COLUMNS`` pixel columns first, so the boxes of one image
+    are dealt out by ``(image, block)``, then from one piece for each block. ``keys`` tell
     the groups apart; an image by default.
     """
     keys = keys or ("image_id",)
-    # An exchange on all of the keys: the columns of a crowded image go to many tasks.
-    columns = digits.groupBy(*keys, "x1").agg(
-        F.expr("listagg(cast(digit AS STRING)) WITHIN GROUP (ORDER BY det_seq)").alias("piece"),
-        F.count("*").alias("n"),
+    # An exchange on all of the keys: the blocks of a crowded image go to many tasks.
+    blocks = digits.groupBy(*keys, F.floor(F.col("x1") / COLUMNS).alias("x_block")).agg(
+        F.collect_list(F.struct("x1", "det_seq", F.col("digit").cast("string").alias("digit"))).alias("boxes")
+    )
+    pieces = blocks.select(
+        *keys, "x_block", F.size("boxes").alias("n"),
+        F.array_join(F.transform(F.array_sort("boxes"), lambda box: box.digit), "").alias("piece"),
     )
-    return columns.groupBy(*keys).agg(
-        F.expr("listagg(piece) WITHIN GROUP (ORDER BY x1)").alias("id_number"),
+    return pieces.groupBy(*keys).agg(
+        F.expr("listagg(piece) WITHIN GROUP (ORDER BY x_block)").alias("id_number"),
         F.sum("n").alias("n_digits"),
     )
 

@@ -66,7 +66,7 @@ def test_digits_are_dealt_by_image_and_column(shuffled, folder):
     """Two exchanges, no join: the first on image and column, the second of short pieces."""
     plan = plan_of(QUERIES["digit_assemble"](shuffled, folder))
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
-    assert [re.sub(r"#\d+L?", "", k) for k in keys] == ["image_id", "image_id, x1"]
+    assert [re.sub(r"#\d+L?", "", k) for k in keys] == ["image_id", "image_id, x_block"]
     assert "Join" not in plan and plan.count("FileScan") == 1
 
 
