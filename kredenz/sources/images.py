@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LOAD_ERROR = "Could not load image"
@@ -26,22 +30,44 @@ def image_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+DETECTORS = "_kredenz_detectors"  # where a worker process keeps what it has loaded
+KEPT = 2
+
+
+def loaded(key: str, load: Callable[[], Callable]) -> Callable:
+    """The detector of this worker process; it outlives tasks, up to ``KEPT`` of them."""
+    held = sys.__dict__.setdefault(DETECTORS, {})
+    if key in held:
+        held[key] = held.pop(key)  # the last used stands last
+    else:
+        while len(held) >= KEPT:
+            del held[next(iter(held))]
+        held[key] = load()
+    return held[key]
+
+
 def apply_detector(
     images: DataFrame,
     load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
     schema: str,
+    profile: ResourceProfile | None = None,
+    version: str = "",
 ) -> DataFrame:
     """Run a detector over image rows.
 
-    ``load`` builds the detector once per task; the detector turns a batch of
-    image rows into detection rows of ``schema``.
+    ``load`` builds the detector once per worker process, which runs many tasks; the detector turns
+    a batch of image rows into detection rows of ``schema``. The same ``load`` (by its code and what it
+    captures) and ``version`` are one detector; another ``version`` makes workers load anew, as when
+    a model file changes. ``profile`` asks for executors with, say, a GPU or more memory.
     """
+    key = hashlib.sha256(cloudpickle.dumps(load)).hexdigest() + version
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        detect = load()
+        detect = loaded(key, load)
         for batch in batches:
             yield detect(batch)
 
-    return images.where("error IS NULL").mapInPandas(run, schema)
+    return images.where("error IS NULL").mapInPandas(run, schema, profile=profile)
 
 
 def _store(values: np.ndarray) -> np.ndarray:

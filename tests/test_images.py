@@ -123,16 +123,46 @@ def test_adjust_on_rows_keeps_errors(spark, pictures):
         assert bytes(rows[name].data) == naive_adjust(pixels, True, 0, 0, 20).tobytes()
 
 
-def test_detector_is_loaded_once_per_task(spark, pictures):
-    folder, made = pictures
-
+def token_of(name):
+    """A detector that tells which process loaded it, and when."""
     def load():
-        token = random.random()
+        import os
+
+        token = f"{name} {random.random()}"
 
         def detect(batch: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"path": batch.path, "token": token})
+            return pd.DataFrame({"path": batch.path, "token": token, "worker": os.getpid()})
 
         return detect
 
-    found = apply_detector(scanned(spark, folder).coalesce(1), load, "path string, token double").collect()
-    assert {r.path for r in found} == set(made) and len({r.token for r in found}) == 1
+    return load
+
+
+def test_detector_is_loaded_once_per_worker(spark, pictures):
+    """Several tasks and several jobs of one worker process share what it loaded."""
+    folder, made = pictures
+    images = scanned(spark, folder).repartition(12)
+    schema, load = "path string, token string, worker long", token_of("a")
+    tokens = {}
+    for _ in range(3):
+        found = apply_detector(images, load, schema).collect()
+        assert {r.path for r in found} == set(made)
+        for r in found:
+            tokens.setdefault(r.worker, set()).add(r.token)
+    assert all(len(t) == 1 for t in tokens.values())
+    for other in (apply_detector(images, token_of("b"), schema), apply_detector(images, load, schema, version="2")):
+        assert not {r.token for r in other.collect()} & set.union(*tokens.values())
+
+
+def test_worker_keeps_few_detectors():
+    import sys
+
+    from kredenz.sources.images import DETECTORS, KEPT, loaded
+
+    made = []
+    try:
+        for key in ("a", "b", "a", "c", "a", "b"):
+            loaded(key, lambda: made.append(key) or len(made))
+        assert made == ["a", "b", "c", "b"] and len(getattr(sys, DETECTORS)) == KEPT
+    finally:
+        delattr(sys, DETECTORS)
