@@ -17,6 +17,7 @@ from kredenz.functions.boxes import bbox_expand, bbox_globalize, bbox_pad_card,
 from kredenz.functions.images import compress_plan, fit_within, resize_plan
 from kredenz.functions.mrz import mrz_clean, mrz_date, mrz_read_error, mrz_sex
 from kredenz.functions.numbers import exact_round
+from kredenz.functions.sql import STAND_INS, register as register_functions
 from kredenz.functions.status import progress_pct, status_flags, stepper_pct
 from kredenz.functions.text import (
     confidence_band, field_fallback, path_sanitize, path_valid, phone_mask,
@@ -176,6 +177,14 @@ def decode_national_id(t: Inputs) -> DataFrame:
     return decoded.withColumn("birth_date_valid", F.col("birth_date_valid").cast("string"))
 
 
+@query
+def decode_national_id_sql(t: Inputs) -> DataFrame:
+    """The same rule as an SQL function with a struct for its results."""
+    register_functions(t.spark, "decode_national_id")
+    decoded = t.national_ids().selectExpr("person_id", "id_number", "decode_national_id(id_number) AS d").select("person_id", "id_number", "d.*")
+    return decoded.withColumn("birth_date_valid", F.col("birth_date_valid").cast("string"))
+
+
 @query
 def governorate_lookup(t: Inputs) -> DataFrame:
     return documents.governorate_lookup(documents.decode_ids(t.national_ids())).select(
@@ -384,6 +393,13 @@ def _phone_mask(t: Inputs) -> DataFrame:
     return t.phones().select("event_id", phone_mask(F.col("phone")).alias("masked"))
 
 
+@query
+def phone_mask_sql(t: Inputs) -> DataFrame:
+    """The same rule as an SQL function."""
+    register_functions(t.spark, "phone_mask")
+    return t.phones().selectExpr("event_id", "phone_mask(phone) AS masked")
+
+
 @query
 def _confidence_band(t: Inputs) -> DataFrame:
     return t.detections().select(*KEYS, *_named(confidence_band(F.col("confidence"))))
@@ -391,18 +407,9 @@ def _confidence_band(t: Inputs) -> DataFrame:
 
 @query
 def _field_fallback(t: Inputs) -> DataFrame:
-    # Shown fields and the keys that may stand in for them.
-    stand_ins = {
-        "full_name": ["first_name", "second_name", "name"],
-        "national_id": ["id", "national_id_number"],
-        "address": ["location", "residence"],
-        "birth_date": ["date_of_birth", "birthday"],
-        "gender": ["sex"],
-        "governorate": ["state", "province"],
-    }
     fields = F.col("ocr_fields")
     return t.case_docs().select(
-        "case_id", *[field_fallback(fields, k, v).alias(k) for k, v in stand_ins.items()],
+        "case_id", *[field_fallback(fields, k, v).alias(k) for k, v in STAND_INS.items()],
         field_fallback(fields, "full_name").alias("built_name"),
     )
 

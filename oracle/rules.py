@@ -163,11 +163,12 @@ rule(
 
 # -- documents ------------------------------------------------------------
 
-rule(
-    "decode_national_id", i.DECODED,
-    """SELECT person_id, id_number, birth_date, governorate_code, gender, decode_status,
-         try_cast(CASE WHEN decode_status = 'ok' THEN birth_date END AS DATE)::VARCHAR AS birth_date_valid FROM decoded""",
-)
+for _name in ("decode_national_id", "decode_national_id_sql"):
+    rule(
+        _name, i.DECODED,
+        """SELECT person_id, id_number, birth_date, governorate_code, gender, decode_status,
+             try_cast(CASE WHEN decode_status = 'ok' THEN birth_date END AS DATE)::VARCHAR AS birth_date_valid FROM decoded""",
+    )
 rule(
     "governorate_lookup", i.DECODED,
     """SELECT person_id, governorate_code, coalesce(name, 'Unknown') AS governorate
@@ -397,12 +398,13 @@ rule(
          regexp_full_match(clean, '[a-zA-Z0-9\\-_./]+') AND instr(clean, '..') = 0
          AND clean[1] <> '/' AND clean[-1] <> '/' AS clean_ok FROM clean_paths""",
 )
-rule(
-    "phone_mask", i.PHONES,
-    """SELECT event_id, CASE WHEN length(phone) <= 4 THEN phone
-         ELSE regexp_replace(phone[1:length(phone) - 4], '[0-9]', '*', 'g') || right(phone, 4) END AS masked
-       FROM phones""",
-)
+for _name in ("phone_mask", "phone_mask_sql"):
+    rule(
+        _name, i.PHONES,
+        """SELECT event_id, CASE WHEN length(phone) <= 4 THEN phone
+             ELSE regexp_replace(phone[1:length(phone) - 4], '[0-9]', '*', 'g') || right(phone, 4) END AS masked
+           FROM phones""",
+    )
 
 # -- quality and capture --------------------------------------------------
 
