@@ -21,8 +21,10 @@ q-grams are passed over. Candidates come from the keys alone.
 The benchmark is the stated query set: it is read in blocks of ``BLOCK_WORDS`` words at most,
 each block travels with its own pass over the documents, and nothing is shuffled.
 
-Items under ``min_words`` words match exactly only: word by word, or by characters if the
-item holds a script written without spaces. Items and documents are split alike.
+Items under ``min_words`` words that hold a script written without spaces are compared by characters,
+without white space and marks, in the same way: embedding, keys and exact distance. Other items under
+``min_words`` words, and such texts under ``min_words`` characters, match exactly only. Items and documents
+are split alike. Texts are whole, of any length; of other columns, whatever their names, none is read.
 
 Null and empty texts never match. Equal items are reported each under their own id, equal
 documents each with their own rows. A pair of document and item gives one row, its
@@ -49,6 +51,7 @@ SAMPLED = 2
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»‘’“”„…–—·"
 #: Thai, Lao, Tibetan, Myanmar, Khmer, Japanese and Chinese: words without spaces between them.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+NO_MARKS = dict.fromkeys(map(ord, MARKS + "、。，！？；：（）「」『』【】《》"))
 TABLE_BITS = 22
 CHUNK = 20_000  # windows embedded at a time
 TRIALS = 160  # edited items of a length to measure repetitions on
@@ -166,38 +169,13 @@ def length_class(n: int) -> int:
     return -(-n // step) * step
 
 
-def plain(words: Iterable[str]) -> str:
-    """Words in lower case with one space between them, without marks at either end."""
-    text = " ".join(words).lower()
-    return text.strip(MARKS + " ") or text
+class Index:
+    """Keys and q-grams of items, which are sequences of words or characters."""
 
-
-class Block:
-    """Keys and q-grams of a block of items."""
-
-    def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float, min_words: int):
+    def __init__(self, items: dict[tuple, list[int]], similarity: float, recall: float):
         self.similarity = similarity
-        self.items: dict[tuple, list[int]] = defaultdict(list)
-        self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.passages: dict[str, list[int]] = defaultdict(list)
-        split = word_table(pa.array([text or "" for _, text in rows], pa.string()))
-        distinct = split.distinct.to_pylist()
-        for (item_id, _), a, b in zip(rows, split.offsets, split.offsets[1:]):
-            words = [distinct[c] for c in split.codes[a:b]]
-            key, passage = tuple(symbols(words).tolist()), plain(words)
-            if len(words) >= min_words:
-                self.items[key].append(item_id)
-            elif UNSPACED.search(passage):
-                self.passages[passage].append(item_id)
-            elif words:
-                self.short[len(words)][key].append(item_id)
-        self.short = {n: dict(found) for n, found in self.short.items()}
-        self.heads: dict[str, list[str]] = defaultdict(list)
-        self.head = min((len(x) for x in self.passages), default=0)
-        for passage in self.passages:
-            self.heads[passage[: self.head]].append(passage)
-        self.texts = [np.array(t, np.uint64) for t in self.items]
-        self.ids = list(self.items.values())
+        self.texts = [np.array(t, np.uint64) for t in items]
+        self.ids = list(items.values())
         self.lengths = sorted({len(t) for t in self.texts})
         longest = {length_class(n): n for n in self.lengths}
         measured = {c: repetitions([t for t in self.texts if len(t) == n], similarity, recall) for c, n in longest.items()}
@@ -261,8 +239,8 @@ class Block:
                         out.update((p, k) for k in table.get(key, ()))
         return out
 
-    def matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """``(text number, item, first word, words, distance)``, nearest passage of each pair."""
+    def matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """``(text number, item, first symbol, symbols, distance, item's symbols)``, nearest passage of each pair."""
         if not self.texts or not len(text):
             return
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -281,40 +259,77 @@ class Block:
                 yield doc, item_id, first, words, distance, len(self.texts[k])
 
 
+class Block:
+    """A block of items: by words, by characters, and those that must be there exactly."""
+
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float, min_words: int):
+        items: dict[tuple, list[int]] = defaultdict(list)
+        unspaced: dict[tuple, list[int]] = defaultdict(list)
+        self.short: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.passages: dict[tuple, list[int]] = defaultdict(list)
+        split = word_table(pa.array([text or "" for _, text in rows], pa.string()))
+        distinct = split.distinct.to_pylist()
+        for (item_id, _), a, b in zip(rows, split.offsets, split.offsets[1:]):
+            words = [distinct[c] for c in split.codes[a:b]]
+            key = tuple(symbols(words).tolist())
+            if len(words) >= min_words:
+                items[key].append(item_id)
+            elif any(map(UNSPACED.search, words)):
+                signs = tuple(characters(words)[0].tolist())
+                (unspaced if len(signs) >= min_words else self.passages)[signs].append(item_id)
+            elif words:
+                self.short[len(words)][key].append(item_id)
+        self.short = {n: dict(found) for n, found in self.short.items()}
+        self.passages = dict(self.passages)
+        self.words, self.signs = Index(items, similarity, recall), Index(unspaced, similarity, recall)
+
     def short_matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
         """As ``matches``, for items that must be there word by word: the first place of each."""
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         for n, items in self.short.items():
-            if len(text) < n:
-                continue
-            known = np.concatenate([grams(np.array(t, np.uint64), n) for t in items])
-            places = np.flatnonzero(np.isin(grams(text, n), known))
-            seen = set()
-            for p in places[places + n <= offsets[1:][owner[places]]].tolist():
-                key, doc = tuple(text[p : p + n].tolist()), int(owner[p])
-                if key in items and (doc, key) not in seen:
-                    seen.add((doc, key))
-                    for item_id in items[key]:
-                        yield doc, item_id, p - int(offsets[doc]), n, 0, n
-
-    def passage_matches(self, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """As ``matches``, for items that must be there by their characters."""
-        if not self.passages:
+            yield from exact_matches(items, n, text, offsets, owner)
+
+    def unspaced_matches(self, words: Words) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """As ``matches``, by characters, for the texts that hold a script without spaces; places are told in words."""
+        if not self.signs.texts and not self.passages:
             return
         distinct = words.distinct.to_pylist()
         unspaced = np.array([bool(UNSPACED.search(w)) for w in distinct], bool)
         hit = unspaced[words.codes] if len(words.codes) else np.zeros(0, bool)
         for doc in np.unique(words.owner[hit]).tolist():
-            own = words.codes[words.offsets[doc] : words.offsets[doc + 1]]
-            text = " ".join([distinct[c] for c in own]).lower()
-            seen = set()
-            for at in range(len(text) - self.head + 1):
-                for passage in self.heads.get(text[at : at + self.head], ()):
-                    if passage not in seen and text.startswith(passage, at):
-                        seen.add(passage)
-                        n = passage.count(" ") + 1
-                        for item_id in self.passages[passage]:
-                            yield doc, item_id, text.count(" ", 0, at), n, 0, n
+            text, word = characters([distinct[c] for c in words.codes[words.offsets[doc] : words.offsets[doc + 1]]])
+            offsets = np.array([0, len(text)])
+            found = list(self.signs.matches(text, offsets))
+            for n in {len(t) for t in self.passages}:
+                own = {t: ids for t, ids in self.passages.items() if len(t) == n}
+                found += exact_matches(own, n, text, offsets, np.zeros(len(text), np.int64))
+            for _, item_id, first, n, distance, length in found:
+                begin, end = (int(word[k]) for k in (first, max(first, first + n - 1)))
+                yield doc, item_id, begin, end - begin + 1, distance, length
+
+
+def characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of words in lower case, without marks, as numbers; and the word of each."""
+    plain = [w.lower().translate(NO_MARKS) for w in words]
+    signs = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return scramble(signs) | np.uint64(1), np.repeat(np.arange(len(plain)), [len(w) for w in plain])
+
+
+def exact_matches(
+    items: dict[tuple, list[int]], n: int, text: np.ndarray, offsets: np.ndarray, owner: np.ndarray
+) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The first place of each item, all ``n`` symbols long, in each text."""
+    if len(text) < n or not n:
+        return
+    known = np.concatenate([grams(np.array(t, np.uint64), n) for t in items])
+    places = np.flatnonzero(np.isin(grams(text, n), known))
+    seen = set()
+    for p in places[places + n <= offsets[1:][owner[places]]].tolist():
+        key, doc = tuple(text[p : p + n].tolist()), int(owner[p])
+        if key in items and (doc, key) not in seen:
+            seen.add((doc, key))
+            for item_id in items[key]:
+                yield doc, item_id, p - int(offsets[doc]), n, 0, n
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -341,7 +356,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall
                 for part in slices(batch, "text"):
                     words = word_table(texts(part))
                     text = symbols(words.distinct.to_pylist())[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-                    rows = [*block.matches(text, words.offsets), *block.short_matches(text, words.offsets), *block.passage_matches(words)]
+                    rows = [*block.words.matches(text, words.offsets), *block.short_matches(text, words.offsets), *block.unspaced_matches(words)]
                     ids = part.column("doc_id").cast(pa.int64()).take(pa.array([r[0] for r in rows], pa.int64()))
                     columns = [ids] + [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3)]
                     columns += [pa.array([r[4] for r in rows], pa.int32()), pa.array([1 - r[4] / r[5] for r in rows], pa.float64())]

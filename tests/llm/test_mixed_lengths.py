@@ -20,8 +20,8 @@ def test_candidates_reach_recall_at_each_length(length):
     for n in range(trials):
         item = own[n % len(own)]
         text = symbols(edited(dice, item, edits_allowed(length, 0.8)))
-        number = next(k for k, t in enumerate(block.texts) if t.tolist() == symbols(item).tolist())
-        found += any(k == number for _, k in block.candidates(text, np.full(len(text), len(text))))
+        number = next(k for k, t in enumerate(block.words.texts) if t.tolist() == symbols(item).tolist())
+        found += any(k == number for _, k in block.words.candidates(text, np.full(len(text), len(text))))
     assert found >= 0.95 * trials
 
 
