@@ -178,18 +178,19 @@ WITH RECURSIVE parts AS (
      WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS fit
   FROM hosts
 ), links AS (
-  SELECT *,
-    replace(coalesce(regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\s[^>]*>'),
-      lambda t: regexp_matches(t, '(?i)\srel\s*=\s*["'']?canonical["''\s/>]'))[1],
-      '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1), ''), '&amp;', '&') AS canonical,
-    replace(coalesce(regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\s[^>]*>'),
-      lambda t: regexp_matches(t, '(?i)\shttp-equiv\s*=\s*["'']?refresh["''\s/>]'))[1],
-      '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1), ''), '&amp;', '&') AS refresh
+  SELECT *, list_concat(
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\s[^<>]*>'),
+      lambda t: regexp_matches(t, '(?i)\srel\s*=\s*["'']?canonical["''\s/>]')),
+      lambda t: regexp_extract(t, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\s[^<>]*>'),
+      lambda t: regexp_matches(t, '(?i)\shttp-equiv\s*=\s*["'']?refresh["''\s/>]')),
+      lambda t: regexp_extract(t, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1))) AS targets
   FROM ruled
 ), addresses AS (
-  SELECT page_id, 0 AS kind, host, path, url, url AS address FROM links
-  UNION ALL SELECT page_id, 1, host, path, url, canonical FROM links WHERE canonical <> '' AND contains(url, '://')
-  UNION ALL SELECT page_id, 2, host, path, url, refresh FROM links WHERE refresh <> '' AND contains(url, '://')
+  SELECT page_id, 0 AS kind, host, path, url AS address FROM links
+  UNION ALL
+  SELECT page_id, 1, host, path, replace(target, '&amp;', '&')
+  FROM (SELECT page_id, host, path, unnest(targets) AS target FROM links WHERE contains(url, '://')) WHERE target <> ''
 ), full_addresses AS (
   SELECT page_id, kind, CASE
     WHEN contains(address, '://') THEN address

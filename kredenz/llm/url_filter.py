@@ -11,7 +11,8 @@ in the html. Urls that differ in scheme, a leading ``www.`` or ``m.``, a trailin
 ``.html``, a fragment or tracking parameters only are one node.
 
 Null urls and urls without ``://`` have empty host and path, no rule, no aliases, and are
-allowed. Null and empty html has no links. Repeated pages give one row each. A url
+allowed. Null and empty html has no links. Repeated pages give one row each; null ids stay, very long html is
+read once, and other columns are not read, whatever their names. An empty table gives no rows. A url
 that a third of all pages share is one node; pages meet the blocked nodes in one
 equi-join of checkpointed tables, which adaptive execution can split.
 """
@@ -28,7 +29,7 @@ from kredenz.runtime import pin
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 TRACKING = r"(^\?|&)(utm_[^&=]*|ref|fbclid|gclid)=[^&]*"
-LINK, META = r"(?is)<link\s[^>]*>", r"(?is)<meta\s[^>]*>"
+LINK, META = r"(?is)<link\s[^<>]*>", r"(?is)<meta\s[^<>]*>"  # a tag that is never closed ends at the next
 CANONICAL, REFRESH = r"(?i)\srel\s*=\s*[\"']?canonical[\"'\s/>]", r"(?i)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
 HREF, TARGET = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)", r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)"
 
