@@ -7,7 +7,8 @@ pair as soon as that exceeds ``budget``.
 
 The first ``depth`` levels of the walk are a Spark join: one task group for each pair
 of subtrees whose prefixes differ in at most ``budget`` bits. ``depth`` follows the number
-of distinct fingerprints, so a subtree holds about ``SUBTREE`` of them at any scale.
+of distinct fingerprints, so a subtree holds about ``SUBTREE`` of them at any scale; pairs of subtrees that
+hold more, because fingerprints crowd under a prefix, are split by further bits.
 Below, a subtree is a sorted array, a node is a range of it, and a level of node
 pairs is expanded at once, in blocks of bounded size. A group returns the links of a
 spanning forest, never all its pairs, so no link between groups is lost and a dense
@@ -17,7 +18,8 @@ Documents with one fingerprint are collapsed first (smallest id, with partial
 aggregates), so copies cost nothing, however many there are.
 
 Null and empty texts and texts without words have fingerprint zero, which links like
-any other. Rows with equal ids are separate rows with equal results. Null ids come last:
+any other. Texts are whole, of any length; other columns are not read, whatever their names. An empty table gives
+no rows. Rows with equal ids are separate rows with equal results. Null ids come last:
 they are the component's id only if it has no other.
 """
 
@@ -151,28 +153,46 @@ def forest_links(values: np.ndarray, cross: tuple[int, int] | None, bit: int, bu
     return out
 
 
-def linked(distinct: DataFrame, budget: int, depth: int) -> DataFrame:
-    """``u, v``: links of the self-join of ``distinct(fp)`` over pairs of subtrees of ``depth`` bits."""
-    masks = [sum(1 << b for b in c) for k in range(min(budget, depth) + 1) for c in combinations(range(depth), k)]
+STEP = 8  # further bits by which a crowded pair of subtrees is split
+LINKS = "u long, v long"
+
+
+def flips(bits: int, budget: int) -> list[int]:
+    """All ways to change up to ``budget`` of ``bits`` bits."""
+    return [sum(1 << b for b in c) for k in range(min(budget, bits) + 1) for c in combinations(range(bits), k)]
+
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tops(fp: np.ndarray, depth: int) -> np.ndarray:
+    return (fp.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(fp), np.int64)
+
+
+def paired(rows: DataFrame, budget: int, depth: int, step: int) -> DataFrame:
+    """``p, q, fp``: each value of each pair ``(p, q)`` of subtrees of ``depth`` bits, under its pairs ``step`` bits further down."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            if not len(fp):
-                continue
-            top = (fp.view(np.uint64) >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(fp), np.int64)
-            for mask in masks:
-                other = top ^ mask
+            p, q, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "fp"))
+            away = p ^ q
+            spent, top = np.bitwise_count(away), tops(fp, depth + step)
+            for flip in flips(step, budget):
+                within = spent + flip.bit_count() <= budget
+                own, other = top[within], top[within] ^ (away[within] << step) ^ flip
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(top, other)), pa.array(np.maximum(top, other)), pa.array(fp)], names=["p", "q", "fp"]
+                    [pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), pa.array(fp[within])], names=["p", "q", "fp"]
                 )
 
+    return rows.mapInArrow(run, "p long, q long, fp long")
+
+
+def joined(rows: DataFrame, budget: int, depth: int) -> DataFrame:
+    """``u, v``: forests of links of each pair of subtrees."""
+
     def join(key: tuple, table: pa.Table) -> pa.Table:
         p, q = key[0].as_py(), key[1].as_py()
         values = np.sort(np.asarray(table.column("fp").combine_chunks(), np.int64).view(np.uint64))
         cross = None
         if p != q:
-            own = int(((values >> np.uint64(64 - depth)) == p).sum())
+            own = int((tops(values, depth) == p).sum())
             cross = (own, len(values) - own)
         links = [] if cross and 0 in cross else forest_links(values, cross, 63 - depth, budget, (p ^ q).bit_count())
         signed = values.view(np.int64)
@@ -180,7 +200,30 @@ def linked(distinct: DataFrame, budget: int, depth: int) -> DataFrame:
             {"u": pa.array(signed[[x for x, _ in links]], pa.int64()), "v": pa.array(signed[[y for _, y in links]], pa.int64())}
         )
 
-    return distinct.mapInArrow(pairs, "p long, q long, fp long").groupBy("p", "q").applyInArrow(join, "u long, v long")
+    return rows.groupBy("p", "q").applyInArrow(join, LINKS)
+
+
+def linked(distinct: DataFrame, budget: int, depth: int) -> DataFrame:
+    """``u, v``: links of the self-join of ``distinct(fp)`` over pairs of subtrees.
+
+    The walk begins with the pairs ``depth`` bits down. Pairs that hold more than twice ``SUBTREE`` values, because
+    values crowd under few prefixes, go on ``STEP`` bits further down, until none does.
+    """
+    rows = paired(distinct.select(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), "fp"), budget, 0, depth)
+    if not depth:
+        return joined(rows, budget, 0)
+    found = None
+    while True:
+        rows = pin(rows)
+        crowded = pin(rows.groupBy("p", "q").count().where(F.col("count") > 2 * SUBTREE)) if depth < 64 else None
+        if crowded is None or crowded.isEmpty():
+            more = joined(rows, budget, depth)
+            return more if found is None else found.unionByName(more)
+        more = joined(rows.join(crowded, ["p", "q"], "left_anti"), budget, depth)
+        found = more if found is None else found.unionByName(more)
+        step = min(STEP, 64 - depth)
+        rows = paired(rows.join(crowded, ["p", "q"], "left_semi"), budget, depth, step)
+        depth += step
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:

@@ -150,3 +150,32 @@ def test_small_frontier_blocks_find_the_same_links(monkeypatch):
     for x, y in forest_links(np.array(values, np.uint64), None, 63, 2, 0):
         forest.join(x, y)
     assert [forest.root(k) for k in range(len(values))] == plain_components(values)
+
+
+def test_crowded_prefixes_are_split(spark, monkeypatch):
+    """Values under few prefixes: no group is left large, and no link is lost."""
+    import numpy as np
+
+    from kredenz.llm import simhash
+
+    dice = np.random.default_rng(5)
+    shared = np.uint64(0xABCDE00000000000)
+    values = (dice.integers(0, 1 << 26, 1_500, dtype=np.uint64) << np.uint64(18)) | shared
+    near = values[:600] ^ (np.uint64(1) << dice.integers(0, 64, 600, dtype=np.uint64)) ^ (np.uint64(1) << dice.integers(0, 64, 600, dtype=np.uint64))
+    values = np.unique(np.concatenate([values, near, dice.integers(0, 1 << 63, 200, dtype=np.uint64)]))
+    monkeypatch.setattr(simhash, "SUBTREE", 40)
+    sizes, join = [], simhash.joined
+    monkeypatch.setattr(simhash, "joined", lambda rows, *rest: sizes.extend(r["count"] for r in rows.groupBy("p", "q").count().collect()) or join(rows, *rest))
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    links = [(r.u, r.v) for r in simhash.linked(table, 2, 4).collect()]
+    assert max(sizes) <= 2 * 40 and len(sizes) > 20
+    signed = values.view(np.int64).tolist()
+    place = {v: k for k, v in enumerate(signed)}
+    got, want = simhash.Forest(len(values)), simhash.Forest(len(values))
+    for u, v in links:
+        assert (np.uint64(u & (2**64 - 1)) ^ np.uint64(v & (2**64 - 1))).item().bit_count() <= 2
+        got.join(place[u], place[v])
+    for k in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[k + 1 :] ^ values[k]) <= 2):
+            want.join(k, k + 1 + int(j))
+    assert [got.root(k) for k in range(len(values))] == [want.root(k) for k in range(len(values))]
