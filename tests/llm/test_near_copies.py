@@ -85,6 +85,16 @@ def test_a_passage_that_texts_have_in_common_makes_no_pairs(spark, monkeypatch):
     assert sum(made) < 10 * len(rows)
 
 
+def test_rows_are_picked_alike_by_broadcast_and_by_join(spark, monkeypatch):
+    rows = spark.range(0, 3_000, 1, 7).selectExpr("id * 7919 % 100003 + (id % 5) * (1L << 33) AS _row", "cast(id AS string) AS text")
+    picked = rows.where("_row % 3 = 0").select("_row")
+    want = sorted(map(tuple, rows.where("_row % 3 = 0").collect()))
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(near_copies_module, "MASKS", most)
+        assert sorted(map(tuple, near_copies_module.chosen(rows, picked).collect())) == want
+    assert near_copies_module.chosen(rows, picked.limit(0)).count() == 0
+
+
 def test_null_and_repeated_ids(spark):
     dice = random.Random(7)
     a, b, c, d = (" ".join(words(dice, 80)) for _ in range(4))
