@@ -7,7 +7,7 @@ words, so per-word Python work is done once per distinct word of a slice.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,3 +88,34 @@ def gather(parts: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.nda
     ends = np.cumsum(lengths)
     step = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
     return parts[step + np.repeat(begins - (ends - lengths), lengths)]
+
+
+def answered(
+    batches: Iterable[pa.RecordBatch],
+    build: Callable[[pa.Table], object],
+    answer: Callable[[object, pa.RecordBatch], pa.RecordBatch],
+) -> Iterator[pa.RecordBatch]:
+    """Answers to the questions of each shard, whose rows come first (sorted by ``shard``, then ``kind``: 0 rows, 1 questions).
+
+    Memory holds one shard's index and one batch of questions.
+    """
+    shard, held, index = None, [], None
+    for batch in batches:
+        mark = batch.column("shard").to_numpy().astype(np.int64) * 2 + batch.column("kind").to_numpy()
+        begins = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)] if len(mark) else []
+        for a, b in zip(begins, begins[1:]):
+            now, kind = divmod(int(mark[a]), 2)
+            if now != shard:
+                shard, held, index = now, [], None
+            if not kind:
+                held.append(batch.slice(a, b - a))
+                continue
+            if held:
+                index, held = build(pa.Table.from_batches(held)), []
+            if index:
+                yield answer(index, batch.slice(a, b - a))
+
+
+def shard_count(rows: int, tasks: int, few: int, many: int) -> int:
+    """How many shards: each of ``few`` rows at least while tasks go idle, and of ``many`` at most."""
+    return max(1, -(-rows // many), min(-(-rows // few), 4 * tasks))

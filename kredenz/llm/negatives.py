@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from kredenz.llm.batches import answered, shard_count
 from kredenz.llm.whitening import LONG_MOST
 from kredenz.runtime import pin
 
@@ -133,10 +134,7 @@ def lay_out(rows: DataFrame, d: int) -> Layout:
     for cell, _, far_a, far_b in counted:
         for radii, code, far in zip(layout.radii, divmod(cell, width), (far_a, far_b)):
             radii[code] = max(radii[code], far)
-    few, many = SHARD_ROWS
-    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(-(-n // many), min(-(-n // few), tasks))
-    most = -(-n // wanted)
+    most = -(-n // shard_count(n, int(spark.conf.get("spark.sql.shuffle.partitions")), *SHARD_ROWS))
     shard, held = 0, 0
     for cell, count, _, _ in counted:
         if held and held + count > most:
@@ -340,21 +338,7 @@ def search(index: DataFrame, questions: DataFrame, layout: Layout, k: int, windo
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, index = None, [], None
-        for batch in batches:
-            mark = batch.column("shard").to_numpy() * 2 + batch.column("kind").to_numpy()
-            begins = [0, *(np.flatnonzero(np.diff(mark)) + 1).tolist(), len(mark)] if len(mark) else []
-            for a, b in zip(begins, begins[1:]):
-                now, kind = divmod(int(mark[a]), 2)
-                if now != shard:
-                    shard, held, index = now, [], None
-                if not kind:
-                    held.append(batch.slice(a, b - a))
-                    continue
-                if held:
-                    index, held = Index(pa.Table.from_batches(held), layout), []
-                if index:
-                    yield answer(index, batch.slice(a, b - a))
+        return answered(batches, lambda held: Index(held, layout), answer)
 
     return index.unionByName(questions).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, FOUND)
 

@@ -11,16 +11,21 @@ neighbours; neighbours among all rows are nearer, so recall there is higher. A
 partition that has fewer than k rows within the radius is probed wider until it has
 k or no more rows, so a query always gets k rows if there are that many.
 
-Every row is indexed, in its own partition; partitions keep the k best of each query and
-only those are shuffled. Queries are the stated set; they are sent in blocks of
-``QUERY_BLOCK`` vectors. Equal vectors of a partition are one index row with their
+Rows are dealt into shards of bounded size; each shard is indexed once, in the task that holds it, and answers all
+queries, which reach it through the same shuffle, sorted behind its rows. A task holds one
+shard and one batch of queries; no query passes through the driver. Shards return their k best of each query.
+Equal vectors of a shard are one index row with their
 k + 1 smallest ids: enough for any answer, however many copies there are.
 
+How much the probes leave out depends on the vectors: with the radius near half the bits, as for vectors
+without structure, they mark almost every row, and the check against the radius does the pruning
+(``probed`` tells both shares).
+
 Vectors that are null, zero or hold null or non-finite components take no part.
 Vectors are compared with those of the same dimension only. Ties go to the smaller
 id. An empty table gives no rows; a query alone in its table gives none. Rows that
 share an id are one candidate with the best of their scores; a query id with several
-rows asks with one of them (the smallest vector).
+rows asks with one of them (the smallest vector). Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
+from kredenz.llm.batches import answered, shard_count
+
 SAMPLE = 4_000
 ROTATIONS = 2
 ROUNDS = 30
-QUERY_BLOCK = 4_096
-SHARD_ROWS = 50_000
+SHARD_ROWS = 2_048, 131_072  # least and most rows of a shard
 ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 BY_DISTANCE = [np.flatnonzero(ONES == k).astype(np.uint8) for k in range(9)]
 
@@ -101,8 +107,8 @@ class Index:
             rows = np.argsort(self.codes[:, j], kind="stable")
             self.by_byte.append((rows, np.searchsorted(self.codes[rows, j], np.arange(257))))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every index row whose code is within ``radius`` of ``code``."""
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """The index rows that one of the probed bytes names: all within ``radius``, and others."""
         n = self.codes.shape[1]
         if radius >= 8 * n:
             return np.arange(len(self.codes))
@@ -112,7 +118,11 @@ class Index:
             for distance in range(own + 1):
                 for value in (BY_DISTANCE[distance] ^ code[j]).tolist():
                     seen[rows[begin[value] : begin[value + 1]]] = True
-        found = np.flatnonzero(seen)
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Every index row whose code is within ``radius`` of ``code``."""
+        found = self.probed(code, radius)
         return found[ONES[self.codes[found] ^ code].sum(1) <= radius]
 
     def search(self, query: np.ndarray, code: np.ndarray, own: int, k: int, radius: int) -> list[tuple[float, int]]:
@@ -140,7 +150,9 @@ def nearest_of(found: list[tuple[float, int]], k: int) -> list[tuple[float, int]
 
 def usable(rows: DataFrame) -> DataFrame:
     """Rows with an id and a finite vector that is not zero."""
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
+    vector = F.col("embedding").cast(f"array<{kind if kind == 'float' else 'double'}>").alias("embedding")
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector).where(
         F.col("vec_id").isNotNull()
         & F.exists("embedding", lambda v: v != 0)
         & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -150,60 +162,42 @@ def usable(rows: DataFrame) -> DataFrame:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def search_block(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, coder: Coder, k: int) -> DataFrame:
-    """The k nearest rows of each query in each partition of ``rows``."""
-    codes = coder.encode(queries)
+def search(rows: DataFrame, queries: DataFrame, shards: int, coder: Coder, k: int) -> DataFrame:
+    """The k nearest rows of each query in each shard of ``rows``."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-
-        def take(held: list[pa.RecordBatch]) -> None:
-            table = pa.Table.from_batches(held)
-            if not table.num_rows:
-                return
-            index = Index(table.column("vec_id").to_numpy(), vectors(table), coder, k)
-            for q in range(len(ids)):
-                more = index.search(queries[q], codes[q], int(ids[q]), k, coder.radius)
-                best[q] = nearest_of(best[q] + more, k)
-
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= SHARD_ROWS:
-                take(held)
-                held, n = [], 0
-        if held:
-            take(held)
-        flat = [(int(q), i, s) for q, found in zip(ids, best) for s, i in found]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[c] for f in flat], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
+    def build(held: pa.Table) -> Index:
+        return Index(held.column("vec_id").to_numpy(), vectors(held), coder, k)
+
+    def answer(index: Index, batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, ids = vectors(batch), batch.column("vec_id").to_pylist()
+        found = [(q, i, s) for q, v, c in zip(ids, x, coder.encode(x)) for s, i in index.search(v, c, q, k, coder.radius)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
             names=["query_id", "vec_id", "score"],
         )
 
-    return rows.mapInArrow(run, FOUND)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return answered(batches, build, answer)
+
+    dealt = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    index = rows.select(dealt.alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    asked = queries.select(every.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    return index.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, FOUND)
 
 
-def nearest(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.99) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k nearest rows of each row whose id is divisible by ``every``."""
     rows = usable(rows)
-    found = rows.sparkSession.createDataFrame([], FOUND)
-    for (size,) in rows.select(F.size("embedding")).distinct().collect():
+    spark = rows.sparkSession
+    found = spark.createDataFrame([], FOUND)
+    for size, n in sorted(rows.groupBy(F.size("embedding")).count().collect()):
         own = rows.where(F.size("embedding") == size)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
         coder = Coder(vectors(sample), k, recall)
-        held: list = []
-
-        def ask(held: list) -> DataFrame:
-            return search_block(own, np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64), coder, k)
-
-        asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding"))
-        for row in asked.toLocalIterator():
-            held.append(row)
-            if len(held) == QUERY_BLOCK:
-                found, held = found.unionByName(ask(held)), []
-        if held:
-            found = found.unionByName(ask(held))
+        asked = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        shards = shard_count(n, int(spark.conf.get("spark.sql.shuffle.partitions")), *SHARD_ROWS)
+        found = found.unionByName(search(own, asked, shards, coder, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -104,6 +104,37 @@ def test_nearest_reaches_recall(spark, folder):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_probes_name_every_code_within_the_radius():
+    from kredenz.llm.neighbours import Coder, Index
+
+    dice = np.random.default_rng(6)
+    middle = dice.normal(size=(12, 16))
+    x = middle[dice.integers(0, 12, 900)] + 0.25 * dice.normal(size=(900, 16))
+    coder = Coder(x, 5, 0.95)
+    index = Index(np.arange(900), x, coder, 5)
+    shares = []
+    for code in index.codes[::30]:
+        far = np.bitwise_count(index.codes ^ code).sum(1)
+        for radius in (0, 3, coder.radius):
+            assert np.array_equal(index.within(code, radius), np.flatnonzero(far <= radius))
+        shares.append(len(index.probed(code, coder.radius)) / 900)
+    assert np.mean(shares) < 0.5  # vectors with structure: probes leave most rows out
+
+
+def test_nearest_over_many_shards(spark, monkeypatch):
+    from kredenz.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", (50, 100))
+    dice = np.random.default_rng(7)
+    rows = [(k, v.tolist()) for k, v in enumerate(dice.normal(size=(700, 6)))]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect()
+    want = brute(rows, 50, 5)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(f)] for q, f in found.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def test_nearest_with_copies_ties_and_unusable_vectors(spark):
     dice = random.Random(1)
     rows = [(k, [dice.gauss(0, 1) for _ in range(8)]) for k in range(1, 40)]
