@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Errors of a pair with an image missing, and with an image that shows no face.
+# Errors of a pair with an image missing, with one that can't be read, and with one that shows no face.
+BROKEN = "Invalid image data: "
 NO_IMAGE = "Both id_image and live_image are required"
 NO_FACE = "Face not detected in one of the images"
 

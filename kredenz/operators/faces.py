@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kredenz.functions.faces import NO_FACE, NO_IMAGE, cosine, match_band
+from kredenz.functions.faces import BROKEN, NO_FACE, NO_IMAGE, cosine, match_band
 
 
 def face_pair_join(id_faces: DataFrame, live_faces: DataFrame) -> DataFrame:
     """ID and live vector per case, with an error for an incomplete pair.
 
-    A side without a row sent no image; a row without a vector shows no face.
+    A side without a row sent no image; a row without a vector shows no face. A side may have a column
+    ``load_error``, why its image could not be read; the ID image is read first.
     """
-    pairs = id_faces.withColumn("_id", F.lit(True)).join(live_faces.withColumn("_live", F.lit(True)), "case_id", "full")
+    def side(faces: DataFrame, name: str) -> DataFrame:
+        broken = F.col("load_error") if "load_error" in faces.columns else F.lit(None)
+        return faces.withColumns({f"_{name}": F.lit(True), f"_{name}_broken": broken.cast("string")}).drop("load_error")
+
+    pairs = side(id_faces, "id").join(side(live_faces, "live"), "case_id", "full")
     absent = F.col("_id").isNull() | F.col("_live").isNull()
-    return pairs.withColumn("error", F.when(absent, NO_IMAGE).when(_incomplete(), NO_FACE)).drop("_id", "_live")
+    broken = F.coalesce("_id_broken", "_live_broken")
+    error = F.when(absent, NO_IMAGE).when(broken.isNotNull(), F.concat(F.lit(BROKEN), broken)).when(_incomplete(), NO_FACE)
+    return pairs.withColumn("error", error).drop("_id", "_live", "_id_broken", "_live_broken")
 
 
 def _incomplete() -> Column:
@@ -23,7 +30,7 @@ def _incomplete() -> Column:
 
 def face_similarity(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Cosine score and match band; incomplete pairs keep their error."""
-    score = F.when(~_incomplete(), cosine(F.col("id_embedding"), F.col("live_embedding")))
+    score = F.when(F.col("error").isNull(), cosine(F.col("id_embedding"), F.col("live_embedding")))
     scored = pairs.select("case_id", score.alias("similarity_score"), "error")
     return scored.withColumns(match_band(F.col("similarity_score"), threshold))
 

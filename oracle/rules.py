@@ -29,11 +29,12 @@ rule(
        HAVING NOT bool_or(complete)""",
 )
 rule("asset_list", i.SIZED, "SELECT path, mime_type, size, size_label FROM labelled ORDER BY path")
-rule(
-    "asset_get", i.ASSETS,
-    "SELECT k.path, mime_type, n_chunks, content FROM lookup_keys k LEFT JOIN assets a ON a.path = k.path",
-    i.LOOKUP_KEYS,
-)
+for _name in ("asset_get", "asset_get_stored"):
+    rule(
+        _name, i.ASSETS,
+        "SELECT k.path, mime_type, n_chunks, content FROM lookup_keys k LEFT JOIN assets a ON a.path = k.path",
+        i.LOOKUP_KEYS,
+    )
 rule(
     "asset_delete", i.ASSETS,
     "SELECT path, mime_type, n_chunks, content FROM assets WHERE path NOT IN (SELECT path FROM delete_paths)",
@@ -80,10 +81,11 @@ ORACLE["outcall_results"] = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'id' ELSE
       WHEN c_custkey % 17 = 2 THEN '' ELSE '{"n":' || c_custkey || '}' END AS result_json
   FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 2, c_custkey // 3 ORDER BY c_custkey DESC) = 1"""
 rule("result_list", i.RESULTS, LATEST + " ORDER BY doc_type, path")
-rule(
-    "result_get", i.RESULTS,
-    "SELECT k.doc_type, k.path, result_json FROM result_keys k LEFT JOIN latest USING (doc_type, path)",
-)
+for _name in ("result_get", "result_get_stored"):
+    rule(
+        _name, i.RESULTS,
+        "SELECT k.doc_type, k.path, result_json FROM result_keys k LEFT JOIN latest USING (doc_type, path)",
+    )
 rule(
     "result_counts", i.RESULTS,
     """SELECT store, count(doc_type) AS n FROM (VALUES ('id'), ('passport')) AS v(store)

@@ -1,4 +1,4 @@
-"""Queries whose input must first arrive: streams over files, and the image scan."""
+"""Queries whose input must first arrive: streams over files, stores for lookups, and the image scan."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kredenz.operators import otp
+from kredenz.operators import assets, otp, results
 from kredenz.plans.catalog import OUTCOME, STATE_AS_OF, TEST_TTL, _facts
 from kredenz.runtime import scratch_path
 from kredenz.sources.images import image_scan
+from kredenz.sources.stores import look_up, write_store
 from kredenz.sources.tables import Inputs, image_struct
 from kredenz.streaming.assets import asset_stream, read_assets
 from kredenz.streaming.capture import capture_stream
@@ -88,6 +89,21 @@ def _result_upsert_stream(t: Inputs) -> DataFrame:
     return read_results(t.spark, f"{arrive(t.ocr_results(), 'seq', 'path', consume)}/out")
 
 
+def _asset_get_stored(t: Inputs) -> DataFrame:
+    store = scratch_path(t.spark, "assets")
+    write_store(assets.asset_assemble(t.asset_chunks()), store, "path")
+    return look_up(t.spark, store, t.lookup_keys(), "path")
+
+
+def _result_get_stored(t: Inputs) -> DataFrame:
+    """By the type and path of a result, as one key."""
+    store, key = scratch_path(t.spark, "results"), F.concat_ws("/", "doc_type", "path").alias("key")
+    latest = results.result_upsert(t.ocr_results())
+    write_store(latest.select(key, "result_json"), store, "key")
+    keys = t.result_keys().select("doc_type", "path").distinct()
+    return keys.select("*", key).join(look_up(t.spark, store, keys.select(key), "key"), "key").drop("key")
+
+
 def _image_scan(t: Inputs) -> DataFrame:
     scanned = image_scan(t.spark, picture_folder(image_struct(t.pixels())))
     return scanned.select(
@@ -102,5 +118,5 @@ def _over(build: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str],
 
 QUERIES = {
     build.__name__.lstrip("_"): _over(build)
-    for build in (_otp_stream, _otp_state_live, _asset_stream, _capture_stream, _result_upsert_stream, _image_scan)
+    for build in (_otp_stream, _otp_state_live, _asset_stream, _capture_stream, _result_upsert_stream, _asset_get_stored, _result_get_stored, _image_scan)
 }
