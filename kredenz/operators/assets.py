@@ -122,6 +122,31 @@ def asset_assemble(
     )
 
 
+def asset_pages(chunks: DataFrame) -> DataFrame:
+    """Chunks of published files by their place: ``path, mime_type, chunk_index, chunk, next_index``.
+
+    ``next_index`` is where a paged read goes on, null after the last chunk. A path's chunks are numbered
+    inside their block, after the chunks of its earlier blocks; only block counts meet in one window.
+    """
+    rows = _published(chunks, upload_bounds(chunks))
+    keys = rows.select("path", "block").groupBy("path", "block").agg(F.count("*").alias("_rows"))
+    path = Window.partitionBy("path")
+    earlier = path.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keys.select(
+        "path", "block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), F.sum("_rows").over(path).alias("_all")
+    )
+    place = F.row_number().over(Window.partitionBy("path", "block").orderBy("seq")) - 1
+    index = (F.col("_before") + F.col("_place")).cast("bigint")
+    placed = rows.withColumn("_place", place).join(starts, ["path", "block"])
+    return placed.select("path", "mime_type", index.alias("chunk_index"), "chunk", F.when(index + 1 < F.col("_all"), index + 1).alias("next_index"))
+
+
+def recognition_input(chunks: DataFrame) -> DataFrame:
+    """What recognition is sent of each file: its first chunk, and whether that cuts the file off."""
+    first = asset_pages(chunks).where("chunk_index = 0")
+    return first.select("path", "mime_type", "chunk", F.col("next_index").isNotNull().alias("cut_off"))
+
+
 def asset_pending(chunks: DataFrame, without: DataFrame | None = None) -> DataFrame:
     """Unfinished uploads: ``path, n_chunks`` after the last completing chunk.
 

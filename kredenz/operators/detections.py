@@ -167,7 +167,7 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-COLUMNS = 64  # pixel columns that are put together at a time
+COLUMNS = 32  # pixel columns that are put together at a time
 
 
 def digit_assemble(digits: DataFrame, *keys: str) -> DataFrame:
@@ -179,7 +179,7 @@ def digit_assemble(digits: DataFrame, *keys: str) -> DataFrame:
     """
     keys = keys or ("image_id",)
     # An exchange on all of the keys: the blocks of a crowded image go to many tasks.
-    blocks = digits.groupBy(*keys, F.floor(F.col("x1") / COLUMNS).alias("x_block")).agg(
+    blocks = digits.withColumn("x_block", F.floor(F.col("x1") / COLUMNS)).groupBy(*keys, "x_block").agg(
         F.collect_list(F.struct("x1", "det_seq", F.col("digit").cast("string").alias("digit"))).alias("boxes")
     )
     pieces = blocks.select(

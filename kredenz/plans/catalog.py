@@ -78,6 +78,16 @@ def asset_get(t: Inputs) -> DataFrame:
     return assets.get_by_key(assets.asset_assemble(t.asset_chunks(), only=keys), keys, "path")
 
 
+@query
+def asset_pages(t: Inputs) -> DataFrame:
+    return assets.asset_pages(t.asset_chunks())
+
+
+@query
+def recognition_input(t: Inputs) -> DataFrame:
+    return assets.recognition_input(t.asset_chunks())
+
+
 @query
 def asset_delete(t: Inputs) -> DataFrame:
     return assets.asset_assemble(t.asset_chunks(), without=t.delete_paths())

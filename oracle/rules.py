@@ -35,6 +35,22 @@ for _name in ("asset_get", "asset_get_stored"):
         "SELECT k.path, mime_type, n_chunks, content FROM lookup_keys k LEFT JOIN assets a ON a.path = k.path",
         i.LOOKUP_KEYS,
     )
+_PAGES = """pages_of AS (
+  SELECT path, mime_type, chunk, row_number() OVER w - 1 AS chunk_index, count(*) OVER (PARTITION BY path) AS n
+  FROM (SELECT s.path, f.mime_type, s.chunk, s.seq, s.session, max(s.session) OVER (PARTITION BY s.path) AS newest
+        FROM sessions s JOIN finished_sessions f USING (path, session))
+  WHERE session = newest WINDOW w AS (PARTITION BY path ORDER BY seq))"""
+rule(
+    "asset_pages", i.ASSETS,
+    """SELECT path, mime_type, chunk_index, chunk, CASE WHEN chunk_index + 1 < n THEN chunk_index + 1 END AS next_index
+       FROM pages_of""",
+    _PAGES,
+)
+rule(
+    "recognition_input", i.ASSETS,
+    "SELECT path, mime_type, chunk, n > 1 AS cut_off FROM pages_of WHERE chunk_index = 0",
+    _PAGES,
+)
 rule(
     "asset_delete", i.ASSETS,
     "SELECT path, mime_type, n_chunks, content FROM assets WHERE path NOT IN (SELECT path FROM delete_paths)",

@@ -106,3 +106,26 @@ def test_ratings_by_position_and_by_id(spark):
     assert by_position == {"a.png": (5, "Excellent - Perfect for OCR"), "b.png": (0, "No rating")}
     by_id = {r.path: (r.rating, r.rating_label) for r in cases.rating_join(files, ratings, key="doc_id").collect()}
     assert by_id == {"a.png": (6, "No rating"), "b.png": (0, "No rating")}
+
+
+def test_pages_join_to_the_file(spark, monkeypatch):
+    """Blocks of four: places go on from block to block, and the pages of a path in order are its content."""
+    from pyspark.sql import functions as F
+
+    from kredenz.operators import assets
+
+    monkeypatch.setattr(assets, "BLOCK_BITS", 2)
+    log = [("p", "m", 2 * k, f"<{k}>", k in (4, 17)) for k in range(20)] + [("q", "n", 2 * k + 1, f"({k})", k in (0, 9)) for k in range(10)]
+    log += [("one", "o", 101, "only", True), ("open", "x", 103, "never", False)]
+    chunks = spark.createDataFrame(log, "path string, mime_type string, seq long, chunk string, complete boolean").repartition(3)
+    files = {r.path: r for r in assets.asset_assemble(chunks).collect()}
+    pages = {}
+    for r in assets.asset_pages(chunks).orderBy("path", "chunk_index").collect():
+        pages.setdefault(r.path, []).append(r)
+    assert set(pages) == set(files) == {"p", "q", "one"}
+    for path, rows in pages.items():
+        assert [r.chunk_index for r in rows] == list(range(files[path].n_chunks))
+        assert [r.next_index for r in rows] == [*range(1, len(rows)), None]
+        assert "".join(r.chunk for r in rows) == files[path].content
+    sent = {r.path: (r.chunk, r.cut_off) for r in assets.recognition_input(chunks).collect()}
+    assert sent == {"p": ("<5>", True), "q": ("(1)", True), "one": ("only", False)}
