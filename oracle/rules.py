@@ -698,6 +698,12 @@ rule(
     """SELECT image_id, 8 AS height, 8 AS width, string_agg(repeat(printf('%02X', g), 3), '' ORDER BY y, x) AS pixels,
          NULL::VARCHAR AS error FROM pixels GROUP BY image_id""",
 )
+rule(
+    "image_sizes", i.PIXELS,
+    """SELECT image_id, width, height, NULL::VARCHAR AS error, (width * grow)::INTEGER AS new_width, (height * grow)::INTEGER AS new_height
+       FROM (SELECT image_id, (max(x) + 1)::INTEGER AS width, (max(y) + 1)::INTEGER AS height,
+               greatest(400::DOUBLE / (max(x) + 1), 300::DOUBLE / (max(y) + 1)) AS grow FROM pixels GROUP BY image_id)""",
+)
 rule(
     "apply_detector", i.PIXELS,
     """SELECT image_id, 'card' AS class_name, min(x)::INTEGER AS x1, min(y)::INTEGER AS y1, max(x)::INTEGER AS x2,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kredenz.operators import quality
-from kredenz.sources.images import LOAD_ERROR, adjust_pixels, apply_detector, image_adjust, image_scan
+from kredenz.sources.images import LOAD_ERROR, adjust_pixels, apply_detector, image_adjust, image_scan, image_sizes
 from workload.pictures import png_bytes
 
 
@@ -123,6 +123,39 @@ def test_adjust_on_rows_keeps_errors(spark, pictures):
         assert bytes(rows[name].data) == naive_adjust(pixels, True, 0, 0, 20).tobytes()
 
 
+def test_sizes_come_from_heads(spark, pictures, tmp_path):
+    import struct
+
+    folder, made = pictures
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.error) for r in image_sizes(spark, folder).collect()}
+    assert {n: got[n] for n in made} == {n: (p.shape[1], p.shape[0], None) for n, p in made.items()}
+    assert got["cut.png"] == (8, 8, None)  # its head is whole
+    heads = {
+        "a.gif": b"GIF89a" + struct.pack("<HH", 300, 20) + b"rest",
+        "b.bmp": b"BM" + bytes(16) + struct.pack("<ii", 64, -48),
+        "c.jpg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc4\x00\x03c\xff\xc2\x00\x0b\x08" + struct.pack(">HH", 480, 640) + b"\x01",
+        "d.jpg": b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\xff",
+        "e.txt": b"no image", "f.png": b"\x89PNG\r\n\x1a\n\x00\x00", "g.png": b"", "deep/h.gif": b"GIF87a" + struct.pack("<HH", 0, 7),
+    }
+    for name, data in heads.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.error) for r in image_sizes(spark, str(tmp_path)).collect()}
+    assert got["a.gif"] == (300, 20, None) and got["b.bmp"] == (64, 48, None) and got["c.jpg"] == (640, 480, None)
+    assert got["h.gif"] == (0, 7, LOAD_ERROR)
+    assert {n for n, (w, _, e) in got.items() if w is None and e == LOAD_ERROR} == {"d.jpg", "e.txt", "f.png"}
+    assert "g.png" not in got  # Spark lists no empty files
+    assert {r.path[-5:] for r in image_sizes(spark, str(tmp_path), "*.gif").collect()} == {"a.gif", "h.gif"}
+
+
+def test_listing_opens_no_file(spark, pictures):
+    """Columns that need no head: files are listed, neither read nor handed to Python."""
+    plan = image_sizes(spark, pictures[0]).select("path", "bytes")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "Python" not in plan
+    full = image_sizes(spark, pictures[0])._jdf.queryExecution().executedPlan().toString()
+    assert "content" in full and full.count("ArrowEvalPython") == 1
+
+
 def token_of(name):
     """A detector that tells which process loaded it, and when."""
     def load():

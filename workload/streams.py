@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kredenz.functions.images import resize_plan
 from kredenz.operators import assets, otp, results
 from kredenz.plans.catalog import OUTCOME, STATE_AS_OF, TEST_TTL, _facts
 from kredenz.runtime import scratch_path
-from kredenz.sources.images import image_scan
+from kredenz.sources.images import image_scan, image_sizes
 from kredenz.sources.stores import look_up, write_store
 from kredenz.sources.tables import Inputs, image_struct
 from kredenz.streaming.assets import asset_stream, read_assets
@@ -112,11 +113,21 @@ def _image_scan(t: Inputs) -> DataFrame:
     )
 
 
+def _image_sizes(t: Inputs) -> DataFrame:
+    """Sizes of stored pictures, and what they are resized to before text is read."""
+    sizes = image_sizes(t.spark, picture_folder(image_struct(t.pixels())), "*.png")
+    plan = resize_plan(F.col("width"), F.col("height"))
+    return sizes.select(
+        F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint").alias("image_id"), "width", "height", "error",
+        *[c.alias(name) for name, c in plan.items() if name.startswith("new_")],
+    )
+
+
 def _over(build: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: build(Inputs(spark, folder))
 
 
 QUERIES = {
     build.__name__.lstrip("_"): _over(build)
-    for build in (_otp_stream, _otp_state_live, _asset_stream, _capture_stream, _result_upsert_stream, _asset_get_stored, _result_get_stored, _image_scan)
+    for build in (_otp_stream, _otp_state_live, _asset_stream, _capture_stream, _result_upsert_stream, _asset_get_stored, _result_get_stored, _image_scan, _image_sizes)
 }
