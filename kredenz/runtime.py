@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{spark.sparkContext.applicationId}"
+    _passing(spark, folder)
+    return folder
+
+
+def _passing(spark: SparkSession, folder: str) -> None:
+    """Make a folder that is deleted when the session's process ends."""
     context = spark.sparkContext
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(context._jsc.hadoopConfiguration())
     if not store.exists(path) and store.mkdirs(path):
         store.deleteOnExit(path)
-    return folder
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -42,8 +47,16 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared folder; what is written there goes when the session's process ends."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _passing(spark, folder)
+    return f"{folder}/rows"
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that is not read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -88,7 +101,7 @@ RANK_BITS = 16  # values in a block, and blocks in a span, of a whole-number ord
 
 
 def with_rank(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense 0-based rank by a whole-number column, in one plan.
+    """Dense 0-based rank by a whole-number column, in one plan. Rows that tie get neighbouring ranks in any order.
 
     Rows are numbered inside blocks of neighbouring values; a block starts after all
     rows of earlier blocks of its span and all earlier spans. Only the spans, one row

@@ -5,13 +5,17 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from kredenz.runtime import scratch_path, shared_dir, with_rank
+from kredenz.runtime import drop_scratch, scratch_path, shared_dir, with_rank
 
 
 def test_scratch_lies_in_the_folder_the_session_names(spark, tmp_path):
-    named = SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/"})
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/"}, sparkContext=spark.sparkContext)
     assert shared_dir(named) == str(tmp_path)
-    assert scratch_path(named, "x").startswith(f"{tmp_path}/x-")
+    one, other = (scratch_path(named, "x") for _ in range(2))
+    assert one != other and one.startswith(f"{tmp_path}/x-")
+    spark.range(3).write.parquet(one)
+    drop_scratch(spark, one)
+    assert [p.name for p in tmp_path.glob("x-*")] == [other.split("/")[-2]]
 
 
 def test_scratch_without_a_named_folder_lies_beside_the_tables(spark, tmp_path):
