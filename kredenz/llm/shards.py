@@ -9,7 +9,8 @@ row (and the row at any place, ``row_at``) can be computed without the table.
 Row numbers follow ``(doc_id, text_crc32, size)``. Rows equal in all three are
 interchangeable: whichever is numbered first, the table of places is the same.
 Null texts count as empty (crc 0); null ids come first. An empty table gives no rows.
-Only ids, sizes and checksums are shuffled, never texts.
+Only ids, sizes and checksums are shuffled, never texts, so their length doesn't matter. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

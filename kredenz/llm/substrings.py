@@ -9,7 +9,7 @@ one document that equals a rolling ``block``-word window of the other.
 1. Rolling windows of all documents probe the block index, bucket by bucket.
    A window that equals an indexed block and stands in two documents is a hit.
 2. Hits are extended: every full window around a hit is compared over all
-   documents by a 128-bit value of its words, keeping the smallest id that has it.
+   documents by 96 bits of a 128-bit value of its words (32 in the first step, 64 more) and its bucket, keeping the smallest id that has it.
    Adjoining repeated windows together are the maximal exact repeats.
 3. Words under a window with a smaller id elsewhere are removed.
 
@@ -23,7 +23,8 @@ three steps read the same exchange.
 
 Null and empty texts have no words; their hash is that of an empty text. Rows
 with equal ids are one document for each other: none removes the other's words.
-Null ids come before all others, equal among themselves.
+Null ids come before all others, equal among themselves. Texts are whole, of any length, hashed in pieces
+of bounded size. Of other columns only those named in ``keep`` are read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ highest marginal gives the score. Words above 1/2 are the offending spans.
 Labels, language, source and id are never inputs of a score. Nulls and empty texts score
 by the curve at no words. Documents with several label rows are toxic if any row says
 so; null labels and ids don't count. With no usable labels of both kinds every score is 0.
-Repeated rows give one row each; an empty table gives none.
+Repeated rows give one row each; an empty table gives none. Columns named in ``keep`` are handed through beside
+the results; others are not read, whatever their names.
 """
 
 from __future__ import annotations
