@@ -8,7 +8,7 @@ results, so an image with very many boxes does not land in one task whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from kredenz.dims import ANGLES, FIELD_LABELS, FIELDS, OPTIONAL_FIELDS, REQUIRED_FIELDS, STAGE_FLOORS
 from kredenz.functions.numbers import exact_mean, exact_round, exact_sum, exact_units
@@ -168,26 +168,32 @@ def missing_fields(detections: DataFrame, images: DataFrame) -> DataFrame:
 
 
 COLUMNS = 32  # pixel columns that are put together at a time
+PLACES = 18  # digits that a whole number holds
 
 
 def digit_assemble(digits: DataFrame, *keys: str) -> DataFrame:
     """ID number from digit boxes, left to right; ties in arrival order.
 
-    Boxes are put together for each block of ``COLUMNS`` pixel columns first, so the boxes of one image
-    are dealt out by ``(image, block)``, then from one piece for each block. ``keys`` tell
+    Boxes are put in order for each block of ``COLUMNS`` pixel columns, so the boxes of one image
+    are dealt out by ``(image, block)``, and added up to numbers of ``PLACES`` places; the texts of these are
+    joined per image. Boxes whose class is no digit count and are not written. ``keys`` tell
     the groups apart; an image by default.
     """
     keys = keys or ("image_id",)
+    block = Window.partitionBy(*keys, "x_block")
+    order = block.orderBy("x1", "det_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_digit = F.coalesce(F.col("digit").between(0, 9), F.lit(False))
     # An exchange on all of the keys: the blocks of a crowded image go to many tasks.
-    blocks = digits.withColumn("x_block", F.floor(F.col("x1") / COLUMNS)).groupBy(*keys, "x_block").agg(
-        F.collect_list(F.struct("x1", "det_seq", F.col("digit").cast("string").alias("digit"))).alias("boxes")
-    )
-    pieces = blocks.select(
-        *keys, "x_block", F.size("boxes").alias("n"),
-        F.array_join(F.transform(F.array_sort("boxes"), lambda box: box.digit), "").alias("piece"),
+    placed = digits.select(*keys, "x1", "det_seq", "digit", F.floor(F.col("x1") / COLUMNS).alias("x_block"))
+    placed = placed.withColumn("place", F.sum(is_digit.cast("int")).over(order) - 1)
+    worth = F.col("digit") * F.pow(F.lit(10), F.lit(PLACES - 1) - F.col("place") % PLACES).cast("bigint")
+    numbers = placed.groupBy(*keys, "x_block", F.expr(f"place div {PLACES}").alias("part")).agg(
+        F.sum(F.when(is_digit, worth)).alias("number"), F.count(F.when(is_digit, 1)).alias("written"), F.count("*").alias("n")
     )
+    text = F.lpad(F.col("number").cast("string"), PLACES, "0")
+    pieces = numbers.withColumn("piece", F.when(F.col("written") > 0, F.substring(text, F.lit(1), F.col("written").cast("int"))))
     return pieces.groupBy(*keys).agg(
-        F.expr("listagg(piece) WITHIN GROUP (ORDER BY x_block)").alias("id_number"),
+        F.expr("listagg(piece) WITHIN GROUP (ORDER BY x_block, part)").alias("id_number"),
         F.sum("n").alias("n_digits"),
     )
 

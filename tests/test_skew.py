@@ -89,3 +89,19 @@ def test_positions_with_equal_leading_keys(spark):
     rows = spark.range(5000).select(F.lit("same").alias("k"), (F.col("id") * 7919 % 5003).alias("v"))
     got = with_position(rows.repartition(6), "k", "v").orderBy("v").collect()
     assert [r.position for r in got] == list(range(5000))
+
+
+def test_digits_of_long_rows_and_other_classes(spark):
+    """More digits than a whole number holds, leading zeros, ties, and boxes that are no digit."""
+    dice = random.Random(9)
+    boxes = [(1, k, 0 if k < 25 else dice.randrange(10), 5) for k in range(60)]  # one column, in arrival order
+    boxes += [(2, k, dice.choice([None, 0, 3, 9, 12, -1]), dice.randrange(-70, 140)) for k in range(80)]
+    boxes += [(3, 0, None, 4), (3, 1, 77, 4)]
+    dice.shuffle(boxes)
+    frame = spark.createDataFrame(boxes, "image_id int, det_seq int, digit int, x1 int").repartition(5)
+    got = {r.image_id: (r.id_number, r.n_digits) for r in detections.digit_assemble(frame).collect()}
+    want = {}
+    for image in (1, 2, 3):
+        own = sorted(((x, s, d) for i, s, d, x in boxes if i == image), key=lambda b: b[:2])
+        want[image] = ("".join(str(d) for _, _, d in own if d is not None and 0 <= d <= 9) or None, len(own))
+    assert got == want
