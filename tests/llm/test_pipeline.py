@@ -38,7 +38,7 @@ def test_stages_keep_the_columns_and_do_their_work(spark, tmp_path):
             assert sum(kept != toxic for kept, toxic in known) >= 0.95 * len(known)
             assert sum(kept for kept, toxic in known if not toxic) >= 0.98 * sum(not t for _, t in known)
         elif name == "simhash":
-            assert Counter(ids) == wanted([(r.doc_id, r.text) for r in old])
+            assert Counter(list(ids)) == wanted([(r.doc_id, r.text) for r in old])
         elif name == "substrings":
             want = plain_removal([(r.doc_id, r.text) for r in old])
             assert Counter(len((r.text or "").split()) for r in ids.values()) == Counter(n - gone for _, n, gone, _ in want.elements())
