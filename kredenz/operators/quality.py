@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kredenz.functions.images import quality_band
@@ -23,6 +23,8 @@ MEASURES = (
     "path string, width int, height int, error string, card_found boolean, laplacian_variance double, "
     "mean_grey double, variance double"
 )
+TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64()}
+MEASURED = pa.schema([(name, TYPES[kind]) for name, kind in (f.split() for f in MEASURES.split(", "))])
 
 
 def grey(bgr: np.ndarray) -> np.ndarray:
@@ -37,34 +39,40 @@ def variance_of(values: np.ndarray) -> float | None:
     return (n * int((values * values).sum()) - int(values.sum()) ** 2) / (n * n) if n else None
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixels are read in place, one image at a time; of a batch only its rows of statistics are kept beside it."""
+    for batch in batches:
         rows = []
-        for r in pdf.itertuples(index=False):
-            if r.error is not None:
-                rows.append((r.path, None, None, r.error, None, None, None, None))
+        for k in range(batch.num_rows):
+            path, error, height, width, channels = (batch.column(c)[k].as_py() for c in ("path", "error", "height", "width", "nChannels"))
+            if error is not None:
+                rows.append((path, None, None, error, None, None, None, None))
                 continue
-            img = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.nChannels))
-            g = grey(img) if r.nChannels >= 3 else img[..., 0].astype(np.int64)
+            img = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(int(height), int(width), int(channels))
+            g = grey(img) if channels >= 3 else img[..., 0].astype(np.int64)
             p = g  # borders mirror around the edge pixel; a one-pixel axis onto itself
             for axis, margin in enumerate((((1, 1), (0, 0)), ((0, 0), (1, 1)))):
                 p = np.pad(p, margin, mode="reflect" if g.shape[axis] > 1 else "edge")
             edges = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * g
-            found = not pd.isna(r.crop_x1)
+            x1, y1, x2, y2 = (batch.column(c)[k].as_py() for c in CROP)
+            found = x1 is not None and x1 == x1
             photo = None
             if found:
-                crop = g[int(r.crop_y1) : int(r.crop_y2), int(r.crop_x1) : int(r.crop_x2)]
+                crop = g[int(y1) : int(y2), int(x1) : int(x2)]
                 photo = variance_of(crop[:, : int(crop.shape[1] * PHOTO_SHARE)])
-            rows.append((r.path, r.width, r.height, None, found, variance_of(edges), int(g.sum()) / g.size, photo))
-        columns = [f.split()[0] for f in MEASURES.split(", ")]
-        yield pd.DataFrame(rows, columns=columns).astype({"width": "Int32", "height": "Int32", "card_found": "boolean"})
+            rows.append((path, width, height, None, found, variance_of(edges), int(g.sum()) / g.size, photo))
+        columns = zip(*rows) if rows else [()] * len(MEASURED)
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MEASURED)], schema=MEASURED)
+        del batch
+        pa.default_memory_pool().release_unused()
+        yield out
 
 
 def measured(images: DataFrame) -> DataFrame:
     """The pixel statistics of every image, with one pass over its bytes."""
     crop = [F.col(c) if c in images.columns else F.lit(None).cast("int").alias(c) for c in CROP]
     rows = images.select("path", "height", "width", "nChannels", "data", "error", *crop)
-    return rows.mapInPandas(_measure, MEASURES)
+    return rows.mapInArrow(_measure, MEASURES)
 
 
 def quality_columns() -> list[Column]:
