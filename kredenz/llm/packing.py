@@ -32,6 +32,8 @@ from kredenz.llm.batches import gather, slices, texts, totals, word_table
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 JOINED = 512  # words per call in the joined form
 AT_ONCE = 8_192
+WORDS_AT_ONCE = 131_072  # words of texts put together at a time
+PIECES_AT_ONCE = 512  # rows in a batch of results
 PACKED_BYTES = 10_000_000  # text packed at a time
 PIECE_COST, PAIR_COST = 1.0, 1.0 / 1024  # per token, and per pair of tokens
 
@@ -78,7 +80,7 @@ def tokenize(tokenizer, closes: np.ndarray, array: pa.Array, end_id: int) -> tup
     words = word_table(array)
     n = len(words.distinct)
     if not n:
-        return np.full(len(array), end_id, np.int64), np.arange(len(array) + 1)
+        return np.full(len(array), end_id, "<u4"), np.arange(len(array) + 1)
     marked = np.asarray(pc.match_substring_regex(words.distinct, f"^[{LETTERS}]+[.,]$"))
     cores = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words.distinct, 0, -1), words.distinct)
     cores = pc.ascii_lower(cores).dictionary_encode() if _lowers(tokenizer) else cores.dictionary_encode()
@@ -100,12 +102,20 @@ def tokenize(tokenizer, closes: np.ndarray, array: pa.Array, end_id: int) -> tup
     pool = gather(pool, np.column_stack([begins[which], mark_at]).ravel(), lengths)
     per_word = lengths.reshape(-1, 2).sum(1)
     word_at = np.cumsum(per_word) - per_word
-    # texts: their words, then the end id
-    pool = np.append(pool, end_id)
+    # texts: their words, then the end id; put together some words at a time, so that nothing wide is held for all
+    pool = np.append(pool, end_id).astype("<u4")
     per_word, word_at = np.append(per_word, 1), np.append(word_at, len(pool) - 1)
-    codes = np.insert(words.codes, words.offsets[1:], n)
-    sizes = totals(per_word[codes], words.offsets + np.arange(len(words.offsets)))
-    return gather(pool, word_at[codes], per_word[codes]), np.concatenate([[0], np.cumsum(sizes)])
+    codes, ends = np.insert(words.codes.astype(np.int32), words.offsets[1:], n), words.offsets + np.arange(len(words.offsets))
+    del words, cores, which, comma, mark_at, mark_n, lengths
+    lengths = per_word.astype(np.int32)[codes]
+    begins = np.concatenate([[0], np.cumsum(totals(lengths, ends))])
+    out, done = np.empty(begins[-1], "<u4"), 0
+    for k in range(0, len(codes), WORDS_AT_ONCE):
+        some = codes[k : k + WORDS_AT_ONCE]
+        ids = gather(pool, word_at[some], per_word[some])
+        out[done : done + len(ids)] = ids
+        done += len(ids)
+    return out, begins
 
 
 def _lowers(tokenizer) -> bool:
@@ -180,7 +190,6 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         for batch in batches:
             for part in slices(batch, "text", PACKED_BYTES):
                 ids, begins = tokenize(tokenizer, closes, texts(part), end_id)
-                ids = ids.astype("<u4")
                 sizes = np.diff(begins)
                 pieces = np.array(pack(sizes.tolist(), capacity), np.int64).reshape(-1, 4)
                 pieces = pieces[np.lexsort((pieces[:, 1], pieces[:, 0], pieces[:, 3]))]
@@ -189,10 +198,10 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 new = np.concatenate([[True], sequence[1:] != sequence[:-1]])
                 offset = running - running[new][np.cumsum(new) - 1]
                 at = begins[k] + start
-                raw = memoryview(ids.tobytes())
+                raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
-                for a in range(0, len(k), 4_096):
-                    s = slice(a, a + 4_096)
+                for a in range(0, len(k), PIECES_AT_ONCE):
+                    s = slice(a, a + PIECES_AT_ONCE)
                     columns = [
                         part.column("doc_id").cast(pa.int64()).take(pa.array(k[s])),
                         pa.array(start[s]),
