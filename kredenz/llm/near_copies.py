@@ -3,10 +3,13 @@
 Texts are sets of hashed shingles (lower case ASCII, split at ASCII white space; a text under
 ``shingle`` words is one shingle). Equal sets are one node, named by a hash of the set.
 
-* Nodes without company are set aside: ``BANDS`` keys of ``ROWS`` least hashes each tell who shares a
-  bucket. A pair at similarity 0.8 shares one with probability 0.9999.
-* The shingles of the others are put in one order, rarest first, by counts over all of them. The
-  middle of a bucket is its node with the fewest shingles of its own; every node of the bucket meets the middle.
+* A node has a 64-bit fingerprint: a bit is set if over half of its shingle hashes have it set. The binary trie of all fingerprints is joined
+  with itself under ``BITS`` bits, as operator 7 does it.
+* At similarity 0.8 fingerprints differ in 10 to 12 bits, more than one trie over everything can be walked with. So the trie is divided:
+  ``BANDS`` keys of ``ROWS`` least hashes each tell who shares a bucket (a pair at similarity 0.8 shares one with probability 0.9999), and each
+  bucket's own trie is joined with itself under ``NEAR`` bits. Buckets of the same nodes are one. The join returns spanning forests, not pairs.
+* The shingles of nodes with company are put in one order, rarest first, by counts over all of them. A bucket of more than ``CROWD``
+  nodes isn't walked with ``NEAR`` bits: its middle is its node with the fewest shingles of its own, and every node of the bucket meets the middle.
 * Nodes that this leaves in different components meet on a prefix of their ordered shingles. Two sets of
   similarity s share one of the first ``n - ceil(s * n) + 1``, and from the places of the first one they share
   follows how much they can share at all; a pair that can't reach s is never made. Shingles of a common line come
@@ -22,6 +25,7 @@ other. All texts without words are one group. Texts are whole, of any length.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,13 @@ from xxhash import xxh64_intdigest
 from kredenz.llm.batches import slices, texts, word_table
 from kredenz.llm.components import components
 from kredenz.llm.shards import scramble
+from kredenz.llm.simhash import CHUNK, joined, linked, trie_depth
 from kredenz.runtime import pin, scratch_path
 
 BANDS, ROWS = 24, 5
+BITS = 2  # by which fingerprints may differ anywhere
+NEAR = 20  # by which they may within a bucket
+CROWD = 512  # nodes of a bucket whose trie is walked with so many bits
 MASKS = 1 << 18  # words of 64 rows that are broadcast; 16 bytes each
 FACTORS = scramble(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -78,26 +86,59 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return node, buckets
 
 
+def prints(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is set if over half of its hashes have it set."""
+    sums = np.zeros((len(offsets) - 1, 64), np.int64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    for a in range(0, len(values), CHUNK):
+        own = owner[a : a + CHUNK]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        bits = np.unpackbits(values[a : a + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > np.diff(offsets)[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def sketched(docs: DataFrame, columns: tuple[str, ...], shingle: int) -> DataFrame:
-    """``docs`` with ``_row``, ``_node`` and ``_buckets``, written out so that row numbers stay."""
+    """``docs`` with ``_row``, ``_node``, ``_print`` and ``_buckets``, written out so that row numbers stay."""
     schema = docs.select(*columns).schema
     numbered = docs.select(*columns, F.monotonically_increasing_id().alias("_row"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                node, buckets = sketches(*shingle_sets(texts(part), shingle))
+                values, offsets = shingle_sets(texts(part), shingle)
+                node, buckets = sketches(values, offsets)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(node) + 1) * BANDS, pa.int32()), pa.array(buckets.ravel().view(np.int64))
                 )
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node.view(np.int64)), lists], names=[*part.schema.names, "_node", "_buckets"])
+                own = [pa.array(x.view(np.int64)) for x in (node, prints(values, offsets))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own, lists], names=[*part.schema.names, "_node", "_print", "_buckets"])
 
-    out = schema.add("_row", "long", False).add("_node", "long").add("_buckets", ArrayType(LongType()))
+    out = schema.add("_row", "long", False).add("_node", "long").add("_print", "long").add("_buckets", ArrayType(LongType()))
     path = scratch_path(docs.sparkSession, "near-copies")
     numbered.mapInArrow(run, out).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def trie_links(fps: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``u, v``: nodes whose fingerprints meet in the trie of all, or in that of a bucket; each is a link of a spanning forest.
+
+    ``fps`` has ``node, fp``; nodes of one fingerprint are linked to the least of them.
+    """
+    distinct = pin(fps.groupBy("fp").agg(F.min("node").alias("least")))
+    near = linked(distinct.select("fp"), BITS, trie_depth(distinct.count()))
+    small = sizes.where(F.col("n") <= CROWD).groupBy("n", "least", "most", "mixed").agg(F.min("bucket").alias("bucket"))
+    own = members.join(small.select("bucket"), "bucket").join(fps, "node")
+    own = own.select(F.col("bucket").alias("p"), F.col("bucket").alias("q"), "fp").distinct()
+    near = pin(near.unionByName(joined(own, NEAR, 0)).distinct())
+    for end in ("u", "v"):
+        near = near.join(distinct.withColumnsRenamed({"fp": end, "least": f"{end}_node"}), end)
+    same = fps.join(distinct, "fp").where("node <> least")
+    return near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(
+        same.select(F.col("least").alias("u"), F.col("node").alias("v"))
+    )
+
+
 def chosen(rows: DataFrame, picked: DataFrame) -> DataFrame:
     """The rows whose ``_row`` is in ``picked``, one bit for each; texts are shuffled only if there are more than ``MASKS`` words of bits."""
     bits = F.expr("shiftleft(1L, cast(_row & 63 AS INT))")
@@ -176,17 +217,23 @@ def met(order: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
 def first_of_near_copies(docs: DataFrame, columns: tuple[str, ...], similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row of each group of near copies: the smallest id (null last), then by a hash of the row."""
     rows = sketched(docs, columns, shingle)
-    nodes = rows.where("_node <> 0").select(F.col("_node").alias("node"), "_buckets").dropDuplicates(["node"])
+    nodes = rows.where("_node <> 0").select(F.col("_node").alias("node"), F.col("_print").alias("fp"), "_buckets").dropDuplicates(["node"])
     members = pin(nodes.select("node", F.explode("_buckets").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    members = pin(members.join(shared.select("bucket"), "bucket"))
-    sets = shingled(rows, members.select("node").distinct(), shingle)
+    sizes = members.groupBy("bucket").agg(
+        F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mixed")
+    )
+    sizes = pin(sizes.where("least < most"))
+    members = pin(members.join(sizes.select("bucket"), "bucket"))
+    near = pin(trie_links(pin(nodes.select("node", "fp")), members, sizes))
+    company = [x.select(F.col(c).alias("node")) for x, c in ((members, "node"), (near, "u"), (near, "v"))]
+    sets = shingled(rows, reduce(DataFrame.unionByName, company).distinct(), shingle)
     order = prefixes(sets, similarity)
     able = order.groupBy("node").agg(F.min("own").alias("own"))
-    central = pin(members.join(able, "node"))
+    central = pin(members.join(sizes.where(F.col("n") > CROWD).select("bucket"), "bucket").join(able, "node"))
     middle = central.groupBy("bucket").agg(F.min(F.struct("own", "node")).alias("middle"))
     stars = central.join(middle, "bucket").select(F.col("middle.node").alias("u"), F.col("node").alias("v")).where("u <> v")
-    links = verified(pin(stars.distinct()), sets, similarity)
+    pairs = near.unionByName(stars).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    links = verified(pin(pairs.distinct()), sets, similarity)
     links = links.unionByName(verified(pin(met(order, components(links), similarity)), sets, similarity))
 
     groups = components(links).withColumnRenamed("node", "_node")

@@ -226,13 +226,16 @@ def linked(distinct: DataFrame, budget: int, depth: int) -> DataFrame:
         depth += step
 
 
+def trie_depth(count: int) -> int:
+    """Levels that are walked as a join, so that a subtree of ``count`` values holds about ``SUBTREE`` of them."""
+    return max(0, (-(-count // SUBTREE) - 1).bit_length())
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``."""
     prints = pin(fingerprints(docs, shingle))
     distinct = pin(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    count = distinct.count()
-    depth = max(0, (-(-count // SUBTREE) - 1).bit_length())
-    groups = components(linked(distinct.select("fp"), budget, depth))
+    groups = components(linked(distinct.select("fp"), budget, trie_depth(distinct.count())))
     named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )

@@ -124,3 +124,34 @@ def test_buckets_reach_recall():
         total += 1
         found += bool((buckets[k] == buckets[k + 1]).any())
     assert total >= 100 and found >= 0.995 * total
+
+
+def test_prints_are_majorities_of_the_sets_bits(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    dice = random.Random(3)
+    values, offsets = shingle_sets(pa.array([" ".join(words(dice, n)) for n in (0, 3, 90, 400, 1)]), 5)
+    want = [
+        sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in values[x:y]) > y - x) for x, y in zip(offsets, offsets[1:])
+    ]
+    for chunk in (65_536, 7):
+        monkeypatch.setattr(near_copies_module, "CHUNK", chunk)
+        assert near_copies_module.prints(values, offsets).astype(np.uint64).tolist() == want
+
+
+def test_tries_of_fingerprints_find_the_groups(spark, monkeypatch):
+    """What operator 7's join finds is enough, without the steps for the rest; buckets too crowded for it take those."""
+    rows = near_copies(2)
+    docs = documents(spark, rows)
+    walked, join = [], near_copies_module.joined
+    with monkeypatch.context() as patch:
+        patch.setattr(near_copies_module, "joined", lambda *a: walked.append(a[1:]) or join(*a))
+        patch.setattr(near_copies_module, "met", lambda *_: spark.createDataFrame([], "u long, v long"))
+        got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert walked == [(near_copies_module.NEAR, 0)]
+    missed = Counter(r.doc_id for r in got) - wanted(rows)
+    assert not wanted(rows) - Counter(r.doc_id for r in got) and sum(missed.values()) <= 0.02 * len(rows)
+    monkeypatch.setattr(near_copies_module, "CROWD", 2)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in got) == wanted(rows)
