@@ -43,8 +43,9 @@ def national_id_records(
     ``with_boxes`` adds ``detected_fields``, the usable boxes in order. Everything an orientation could
     contribute is reduced per ``(image, angle)`` first, so the boxes are
     shuffled once, as partial aggregates, and choosing the angle works on at
-    most four rows per image. An image without a card box at its best angle
-    gets an error row in place of a record.
+    most four rows per image. Digits are shuffled once, dealt by number box: an image with very many
+    boxes goes to many tasks, and blocks of a box, its number and its record meet where they are.
+    An image without a card box at its best angle gets an error row in place of a record.
     """
     usable = F.col("class_name").isin(FIELDS) & (F.col("confidence") >= STAGE_FLOORS["field"])
     box = F.struct("x1", "y1", "x2", "y2")
@@ -66,12 +67,14 @@ def national_id_records(
     # Without any usable field the image stays at angle 0.
     upright = F.when((F.col("top.score") > 0) | (F.col("top.order") == 0), F.col("top.payload"))
     angle = F.when(F.col("top.score") > 0, -F.col("top.order")).otherwise(0)
+    box_key = ["image_id", "angle", "nid_seq"]
+    numbers = digit_assemble(digits.repartition(*box_key), *box_key)
     joined = (
         images.select("image_id", "width", "height")
         .join(best, "image_id", "left")
         .withColumns({"p": upright, "angle": angle})
         .withColumn("nid_seq", F.col("p.nid_seq"))
-        .join(digit_assemble(digits, "image_id", "angle", "nid_seq"), ["image_id", "angle", "nid_seq"], "left")
+        .join(numbers, box_key, "left")
     )
     crop = bbox_pad_card(
         *[F.col(f"p.crop_box.{c}") for c in ("x1", "y1", "x2", "y2")], F.col("width"), F.col("height")

@@ -70,6 +70,15 @@ def test_digits_are_dealt_by_image_and_column(shuffled, folder):
     assert "Join" not in plan and plan.count("FileScan") == 1
 
 
+def test_digits_of_records_are_shuffled_once(shuffled, folder):
+    """Dealt by number box, where they meet the record: no exchange of blocks or pieces."""
+    for name in ("national_id_records", "national_id_results", "national_id_summary"):
+        plan = plan_of(QUERIES[name](shuffled, folder))
+        keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
+        assert not any("x_block" in k for k in keys), name
+        assert keys.count("image_id, angle, nid_seq") == 2, name
+
+
 def test_pixels_are_not_shuffled(shuffled, folder):
     for name in ("image_quality", "photo_variance", "image_rows_quality"):
         assert "Exchange" not in plan_of(QUERIES[name](shuffled, folder)), name
